@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +73,17 @@ def fresh_name(stem: str) -> str:
 
 def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in like.columns])
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenrank_sent", None) == sc.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="lumenrank-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._lumenrank_sent = sc.applicationId

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, quality_rules, simhash
 from .common import table
 
 
@@ -13,11 +13,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = simhash.decide(table(spark, sf_dir, "documents"), width=4, max_bits=4)
+    return placed.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return judged.select(*first, F.array_join("broken_rules", ",").alias("broken_rules"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_simhash": op4_simhash, "op6_quality_rules": op6_quality_rules}
 SQL: dict[str, str] = {}
