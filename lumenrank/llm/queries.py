@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, simhash
-from .common import table
+from . import exact_dedup, mixing, quality_rules, secret_scan, simhash, url_filter
+from .common import UPPER, table
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,5 +29,75 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, F.array_join("broken_rules", ",").alias("broken_rules"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op4_simhash": op4_simhash, "op6_quality_rules": op6_quality_rules}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mixing.replicate(table(spark, sf_dir, "documents"))
+    out = copies.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 6).alias("rate"), "shuffle_key")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_simhash": op4_simhash,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_mixing": op8_mixing,
+    "op10_url_filter": op10_url_filter,
+}
 SQL: dict[str, str] = {}
+
+SQL["op3_exact_dedup"] = f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')) AS h FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, h AS text_sha256
+FROM d WINDOW g AS (PARTITION BY h)
+"""
+
+_STOPS = ", ".join(f"'{form(w)}'" for w in quality_rules.stop_word_list() for form in (str.lower, str.capitalize, str.upper))
+_BROKEN = ", ".join(
+    "CASE WHEN " + " OR ".join(f"{measure} {op} {bound}" for op, bound in (("<", least), (">", most)) if bound is not None) + f" THEN '{name}' END"
+    for name, measure, least, most in quality_rules.THRESHOLDS
+)
+SQL["op6_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM tri QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1),
+gaps AS (SELECT doc_id, least(3, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -3)) AS gap FROM twice),
+rep AS (SELECT doc_id, sum(gap)::BIGINT AS n FROM gaps GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(list_filter(ws, lambda w: w IN ({_STOPS})))::BIGINT AS n_stop_words,
+         length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]', '', 'g'))::BIGINT AS n_symbols,
+         len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '^\s*[-*•]\s')))::BIGINT AS n_bullet_lines,
+         len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$')))::BIGINT AS n_ellipsis_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)),
+rated AS (
+  SELECT *, coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) AS symbols_per_word,
+         coalesce(n_stop_words / nullif(n_words, 0)::DOUBLE, 0) AS stop_word_ratio, coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS dup_line_ratio,
+         coalesce(n_bullet_lines / nullif(n_lines, 0)::DOUBLE, 0) AS bullet_line_ratio, coalesce(n_ellipsis_lines / nullif(n_lines, 0)::DOUBLE, 0) AS ellipsis_line_ratio,
+         coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0) AS repeat_word_ratio
+  FROM counted),
+ruled AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, concat_ws(',', {_BROKEN}) AS broken_rules FROM rated)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken_rules = '' AS kept, broken_rules FROM ruled
+"""
+
+SQL["op8_mixing"] = f"""
+WITH c AS (SELECT source, count(*) AS n, pow(count(*), {mixing.ALPHA}) AS w FROM documents GROUP BY source),
+t AS (SELECT sum(n)::DOUBLE AS docs, sum(w) AS ws FROM c),
+r AS (SELECT source, w * docs / (ws * n) AS rate FROM c CROSS JOIN t),
+p AS (SELECT source, rate, greatest(ceil(rate / {mixing.PART}), 1)::INT AS parts FROM r),
+k AS (SELECT source, rate, parts, rate / parts AS m, unnest(range(0, ceil(rate / parts + 10 * sqrt(rate / parts) + 25)::INT + 1)) AS k FROM p),
+cdf AS (SELECT source, rate, parts, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS p FROM k),
+tab AS (SELECT source, rate, parts, list(p ORDER BY k) AS ps FROM cdf GROUP BY ALL),
+u AS (SELECT doc_id, d.source, rate, ps, unnest(range(0, parts)) AS j FROM documents d JOIN tab ON d.source IS NOT DISTINCT FROM tab.source),
+drawn AS (SELECT doc_id, source, rate, sum(len(list_filter(ps, lambda p: p < ('0x' || substr(md5('{mixing.SEED}|' || j || '|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0)))::BIGINT AS copies
+          FROM u GROUP BY doc_id, source, rate),
+each AS (SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy, copies, rate FROM drawn)
+SELECT doc_id, source, copy, copies, round(rate, 6) AS rate, md5('{mixing.SEED}|at|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key FROM each
+"""
