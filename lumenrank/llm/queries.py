@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules, secret_scan, simhash, url_filter
+from . import bpe, exact_dedup, html_text, langid, mixing, quality_rules, secret_scan, simhash, url_filter
 from .common import UPPER, table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -29,22 +33,34 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, F.array_join("broken_rules", ",").alias("broken_rules"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = mixing.replicate(table(spark, sf_dir, "documents"))
     out = copies.select("row.doc_id", "row.source", "copy", "copies", F.round("rate", 6).alias("rate"), "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_simhash": op4_simhash,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
     "op8_mixing": op8_mixing,
+    "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
 }
 SQL: dict[str, str] = {}
