@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenrank.llm import common, exact_dedup, quality_rules
+from lumenrank.llm import bpe, common, exact_dedup, mixing, quality_rules, simhash
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,23 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose SimHash fingerprints are linked, the one with the least doc_id stays."""
+    return simhash.deduplicate(docs, width=4, max_bits=4)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at tempered weights, each document a Poisson number of times, in global random order."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every copy, as digests with their number."""
+    return bpe.digests(bpe.encode(docs))
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", dedup), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
+#: SQL has no XXH64 and no tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
