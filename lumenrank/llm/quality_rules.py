@@ -106,8 +106,9 @@ def measures(text: Column, stop_words=None) -> dict[str, Column]:
     }
 
 
-def ratios() -> dict[str, Column]:
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+def ratios(of) -> dict[str, Column]:
+    """Ratios of the counts that ``of(name)`` gives."""
+    per = lambda a, b: F.coalesce(F.try_divide(of(a), of(b)), F.lit(0.0))
     return {
         "mean_word_chars": per("word_chars", "n_words"),
         "symbols_per_word": per("n_symbols", "n_words"),
@@ -119,31 +120,49 @@ def ratios() -> dict[str, Column]:
     }
 
 
-def compile_rules(thresholds=THRESHOLDS) -> Column:
-    """The names of the rules that a row of measures breaks, as one array expression."""
+def compile_rules(thresholds, value) -> Column:
+    """The names of the rules that are broken, as one array expression; ``value(name)`` is a measure."""
     breaks = []
     for name, measure, least, most in thresholds:
-        low = F.lit(False) if least is None else F.col(measure) < F.lit(least)
-        high = F.lit(False) if most is None else F.col(measure) > F.lit(most)
+        low = F.lit(False) if least is None else value(measure) < F.lit(least)
+        high = F.lit(False) if most is None else value(measure) > F.lit(most)
         breaks.append(F.when(low | high, F.lit(name)))
     return F.array_compact(F.array(*breaks)) if breaks else F.array().cast("array<string>")
 
 
+COUNTS = {
+    "words": ("n_words", "word_chars", "n_stop_words", "n_repeat_words"),
+    "lines": ("n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines"),
+    "chars": ("n_symbols",),
+}
+
+
+def verdict(text: Column, thresholds=THRESHOLDS) -> Column:
+    """A struct of counts, ratios, base_failed, broken_rules and kept, each measured once however it is used."""
+    groups = measures(text)
+
+    def rate(m: Column) -> Column:
+        counts = {n: m[g][n] for g, names in COUNTS.items() for n in names}
+        return F.struct(*[c.alias(n) for n, c in counts.items()], *[c.alias(n) for n, c in ratios(counts.__getitem__).items()])
+
+    def rule(r: Column) -> Column:
+        base = (r["n_words"] < 50) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
+        broken = compile_rules(thresholds, lambda n: r[n])
+        names = [n for ns in COUNTS.values() for n in ns] + list(ratios(F.col))
+        return F.struct(*[r[n].alias(n) for n in names], base.alias("base_failed"), broken.alias("broken_rules"), (~base & (F.size(broken) == 0)).alias("kept"))
+
+    return let(let(F.struct(*[c.alias(k) for k, c in groups.items()]), rate), rule)
+
+
 def stop_word_list() -> list[str]:
     return sorted({w for words in STOP_WORDS.values() for w in words.split()})
 
 
 def judge(docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: the id, counts, ratios, broken rules and the verdict."""
-    counted = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", *[c.alias(k) for k, c in measures(F.col("text")).items()])
-    flat = counted.select("doc_id", "words.*", "lines.*", "chars.*")
-    rated = flat.select("*", *[c.alias(k) for k, c in ratios().items()])
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rated.select("*", base.alias("base_failed"), compile_rules(thresholds).alias("broken_rules")).withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
-
-
-def keep(docs: DataFrame, thresholds=THRESHOLDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that pass, with all their columns: still one projection and a filter over the scan."""
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    verdict = judge(whole.select(F.col("row").alias("doc_id"), "text"), thresholds)
-    return verdict.filter("kept").select("doc_id.*")
+    return docs.select(F.col(id_col).alias("doc_id"), verdict(text_or_empty(text_col), thresholds).alias("v")).select("doc_id", "v.*")
+
+
+def keep(docs: DataFrame, thresholds=THRESHOLDS, text_col: str = "text") -> DataFrame:
+    """The documents that pass, with all their columns: a filter over the scan, whose condition is one expression."""
+    return docs.filter(verdict(text_or_empty(text_col), thresholds)["kept"])
