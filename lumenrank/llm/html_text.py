@@ -198,6 +198,8 @@ def extract_text(html: str | None) -> str:
     found = regions(weights)
     if not found:
         return " ".join([t for t, w in zip(texts, weights) if w])
+    # A centred window reaches one line too far on either side of a border.
+    found = [(a + next(i for i, w in enumerate(weights[a:b]) if w), b - next(i for i, w in enumerate(weights[a:b][::-1]) if w)) for a, b in found if any(weights[a:b])]
     mass = [sum(weights[a:b]) for a, b in found]
     kept = [r for r, w in zip(found, mass) if has_main or w >= LEAST_REGION * max(mass)]
     return " ".join([texts[i] for a, b in kept for i in range(a, b) if texts[i] and lines[i].inside])
