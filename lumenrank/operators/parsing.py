@@ -77,6 +77,27 @@ def genres(text: Column) -> Column:
     return F.sort_array(_looked_up(named(text, V.GENRES), V.GENRES))
 
 
+def subgenre_keywords(text: Column) -> Column:
+    """The keywords of all sub-genres that a text names."""
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in V.SUBGENRES.items() for x in kv])
+    return F.array_distinct(F.flatten(F.transform(named(text, V.SUBGENRES), lambda k: F.element_at(table, k))))
+
+
+def phrases(text: Column, most: int = 6) -> Column:
+    """All runs of one to ``most`` words, in lower case: keys for equality joins with dictionaries."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
+    starts = F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))
+    return F.array_distinct(F.flatten(starts))
+
+
+def mentioned_items(requests: DataFrame, items: DataFrame, titles: Column, least: int = 3) -> DataFrame:
+    """(request_id, doc): items one of whose ``titles`` stands in the request's text as whole words."""
+    key = lambda t: F.array_join(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), F.lit(0)), " ")
+    asked = requests.select("request_id", F.explode(phrases(F.coalesce("text", F.lit("")))).alias("phrase"))
+    named_by = items.select("doc", F.explode(F.array_distinct(F.transform(titles, key))).alias("phrase")).filter(F.char_length("phrase") >= least)
+    return asked.join(named_by, "phrase").select("request_id", "doc").distinct()
+
+
 def longest(keys: Column) -> Column:
     """The longest of several mentioned terms, the earlier of equals: a longer term isn't shadowed by a part of it."""
     ordered = F.array_sort(keys, lambda a, b: F.char_length(b) - F.char_length(a))
@@ -102,6 +123,7 @@ def profile(requests: DataFrame, text_col: str = "text") -> DataFrame:
             "similar_request": low.rlike(V.SIMILAR),
             "fuzzy": low.rlike(V.FUZZY),
             "mood": low.rlike(V.MOOD),
+            "subgenre_keywords": subgenre_keywords(text),
         }
     )
     avoid_text = F.array_join("avoid_phrases", " ")

@@ -19,6 +19,7 @@ def prepare(catalogue: DataFrame) -> DataFrame:
             "year_n": N.number(F.col("year").cast("string")).cast("int"),
             "runtime_n": N.number(F.col("runtime_min").cast("string")),
             "genre_set": T.csv_set(F.col("genres")),
+            "keyword_set": T.csv_set(F.col("keywords")),
             "people": F.array_union(T.csv_set(F.col("top_cast")), T.csv_set(F.col("director"))),
             "similar_ids": N.json_ints(F.col("similar_tmdb_ids")),
             "recommended_ids": N.json_ints(F.col("recommended_tmdb_ids")),
@@ -45,6 +46,13 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     by_title = told.join(items.select("doc", F.lower("title").alias("t")), F.lower(F.trim("h.name")) == F.col("t")).select("request_id", "doc")
     seen = told.select("request_id", F.col("h.id").cast("long").alias("doc")).unionByName(by_title).filter("doc is not null").distinct()
 
+    titles = F.array_compact(F.concat(F.array("title", "original_title"), N.json_strings(F.col("alternative_titles"))))
+    seeds = parsing.mentioned_items(asked, items, titles).join(asked.filter("similar_request").select("request_id"), "request_id", "left_semi")
+    seeds = seeds.join(items.select("doc", "similar_ids", "recommended_ids", "genre_set"), "doc")
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    seeds = seeds.groupBy("request_id").agg(F.collect_set("doc").alias("seed_docs"), union("similar_ids").alias("seed_similar"), union("recommended_ids").alias("seed_recommended"), union("genre_set").alias("seed_genres")).persist()
+    seen = seen.unionByName(seeds.select("request_id", F.explode("seed_docs").alias("doc"))).distinct()
+
     postings, stats, lengths = index.build(items, "doc", long_field="overview")
     terms = asked.select("request_id", F.explode("query_terms").alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("qtf"))
     hits = lexical.search(terms, postings, stats, lengths, seen)
@@ -61,7 +69,10 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     good = good.filter("votes >= 1000 and (size(genres) = 0 or arrays_overlap(genres, genre_set))").join(seen, ["request_id", "doc"], "left_anti")
     pool = ranking.append_missing(pool, good.select("request_id", "doc", "consensus"), ["request_id", "doc"], ["request_id"], [F.desc("consensus"), F.col("doc")], 20, "quality").drop("consensus")
 
-    full = pool.join(asked.drop("history", "query_terms"), "request_id").join(items.drop("genres", "year", "text"), "doc")
+    linked = seeds.select("request_id", F.explode(F.array_union("seed_similar", "seed_recommended")).alias("doc")).join(items.select("doc", "consensus"), "doc").join(seen, ["request_id", "doc"], "left_anti")
+    pool = ranking.append_missing(pool, linked, ["request_id", "doc"], ["request_id"], [F.desc("consensus"), F.col("doc")], 20, "seed").drop("consensus")
+
+    full = pool.join(seeds.drop("seed_docs"), "request_id", "left").join(asked.drop("history", "query_terms"), "request_id").join(items.drop("genres", "year", "text"), "doc")
     full = full.filter(~_yes(F.arrays_overlap("genre_set", "blocked_genres")))
     none = F.lit(0)
     names = {
@@ -70,14 +81,14 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
         "wrong_certificate": F.col("certificates").isNotNull() & ~_yes(F.array_contains("certificates", F.lower("us_rating"))),
         "bm25_rank": F.col("bm25_rank"),
         "sem_rank": F.col("sem_rank"),
-        "similar_request": F.col("similar_request"),
-        "seed_relation": F.lit(""),
-        "seed_overlap": F.lit(False),
+        "similar_request": F.col("similar_request") & F.col("seed_genres").isNotNull(),
+        "seed_relation": F.when(F.array_contains("seed_similar", F.col("doc")), "similar").when(F.array_contains("seed_recommended", F.col("doc")), "recommended").otherwise(""),
+        "seed_overlap": _yes(F.arrays_overlap("genre_set", "seed_genres")),
         "constraint_source": F.col("constraint_source"),
         "quality_request": F.col("wants_quality"),
         "broad_request": F.col("broad_request"),
         "needs_backup": F.col("wants_quality") | F.col("broad_request") | F.col("similar_request"),
-        "subgenre_overlap": none,
+        "subgenre_overlap": F.coalesce(F.size(F.array_intersect("keyword_set", "subgenre_keywords")), none),
         "consensus": F.col("consensus"),
         "genre_match": F.arrays_overlap("genre_set", "all_genres"),
         "person_match": F.exists("people", lambda p: F.contains(F.lower("text"), p)),

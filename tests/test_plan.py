@@ -1,5 +1,8 @@
 """The whole plan, over a small catalogue, and resumable enrichment."""
 
+from pyspark.sql import functions as F
+
+from lumenrank.operators import parsing
 from lumenrank.plans.recommend import recommend, shortlist
 from lumenrank.sources import catalogue as C
 
@@ -51,3 +54,15 @@ def test_enrichment_resumes(spark):
     df = spark.createDataFrame([("a", "", ""), ("b", "old", "v2"), ("c", "", "")], "k string, f string, s string")
     out = C.enrich(df, "k", "s", "v2", lambda keys: {k: {"f": k.upper()} for k in keys if k != "c"}, ["f"])
     assert sorted(map(tuple, out.collect())) == [("a", "A", "v2"), ("b", "old", "v2"), ("c", "", "")]
+
+
+def test_seeds_pull_their_neighbours(spark):
+    df = items(spark).drop("similar_tmdb_ids").withColumn("similar_tmdb_ids", F.when(F.col("tmdb_id") == 1, "[5]").otherwise(""))
+    ask = spark.createDataFrame([(1, "something like Storm Race", [])], "request_id int, text string, history array<struct<id:bigint,name:string>>")
+    got = {r.doc: r for r in shortlist(df, ask).collect()}
+    assert 1 not in got and got[5].constraint_source == "seed" and got[5].score > 0.65
+
+
+def test_subgenre_keywords(spark):
+    row = spark.createDataFrame([("a courtroom drama",)], "text string").select(parsing.subgenre_keywords(F.col("text")).alias("k")).first()
+    assert "verdict" in row.k
