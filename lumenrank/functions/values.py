@@ -70,6 +70,15 @@ SHORT = r"\b(short|quick|brief|light(\s+watch)?)\b"
 LONG = r"\b(long|epic|lengthy)\b"
 MAX_RUNTIME = r"\b(?:under|less than|within|below|max(?:imum)?|up to)\s+(\d+(?:\.\d+)?)\s*(hours?|hrs?|h|minutes?|mins?|m)?\b"
 MIN_RUNTIME = r"\b(?:over|more than|at least|min(?:imum)?)\s+(\d+(?:\.\d+)?)\s*(hours?|hrs?|h|minutes?|mins?|m)?\b"
+MODERN = r"\b(based in modern times|set in modern times|takes place in modern times|modern setting|modern day|modern-day|present day|present-day)\b"
+PAST = r"\b(period piece|period drama|historical setting|set in the past)\b"
+ERA = r"\bset (?:in|during) (?:the )?((?:19|20)\d0s|80s|90s|(?:19|20)\d{2})\b"
+MIN_RATING = (
+    r"\b(?:imdb\s+)?(?:rating|rated|score)\s*(?:above|over|at least|higher than|>=)\s*(\d(?:\.\d+)?)\b"
+    r"|\b(?:above|over|at least|higher than|>=)\s*(\d(?:\.\d+)?)\s*(?:/10)?\s*(?:imdb\s+)?(?:rating|rated|score)\b"
+)
+LIKES = r"\b(?:likes?|loves?)\s+([a-z0-9][a-z0-9\-\s]{0,32}?)(?:\s+(?:films?|movies?)\b|,|\.|;|$)"
+FANS = r"\b([a-z0-9][a-z0-9\-\s]{0,24}?)\s+fans?\b"
 NEGATION = r"\b(?:no|not|without|avoid)\s+([a-z0-9][a-z0-9\- ]{0,32})"
 
 #: Year that "recent" and the decades count from.

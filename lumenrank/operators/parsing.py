@@ -1,10 +1,10 @@
 """Free-text requests to constraint columns: regular expressions and lookups, one projection."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import stem, stems
+from ..functions.text import stem, stems, tokens
 
 
 def _int(c: Column, pattern: str, group: int) -> Column:
@@ -104,18 +104,125 @@ def longest(keys: Column) -> Column:
     return F.get(ordered, 0)
 
 
+def setting_period(text: Column) -> Column:
+    """The period a story shall be set in; empty if none is named."""
+    t = F.lower(text)
+    era = F.regexp_extract(t, V.ERA, 1)
+    return F.when(t.rlike(V.MODERN), "contemporary setting").when(t.rlike(V.PAST), "historical setting").when(era != "", F.concat(F.lit("set in "), era)).otherwise("")
+
+
+def min_rating(text: Column) -> Column:
+    """The least rating asked for, null unless above 0 and at most 10."""
+    t = F.lower(text)
+    n = F.coalesce(*[F.nullif(F.regexp_extract(t, V.MIN_RATING, g), F.lit("")).try_cast("double") for g in (1, 2)])
+    return F.when((n > 0) & (n <= 10), n)
+
+
+def affinity_phrases(text: Column, most: int = 3) -> Column:
+    """What a text says somebody likes, loves or is a fan of."""
+    t = F.lower(text)
+    found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in (V.LIKES, V.FANS)])
+    clean = F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    return F.slice(F.array_distinct(F.filter(clean, lambda p: p != "")), 1, most)
+
+
+def named_from(requests: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+    """(request_id, names): terms of ``dictionary`` (name) that a text mentions as whole words, longest first.
+
+    Words meet words: an equality join on runs of up to six of them, whatever the
+    dictionary's size. Longer names and names without a word are never met.
+    """
+    words = F.array_join(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9']+"), F.lit(0)), " ")
+    known = dictionary.select(F.lower(F.trim("name")).alias("name")).distinct().withColumn("phrase", words).filter("phrase <> ''")
+    asked = requests.select("request_id", F.explode(phrases(F.coalesce("text", F.lit("")))).alias("phrase"))
+    met = asked.join(known, "phrase").groupBy("request_id").agg(F.sort_array(F.collect_set(F.struct((-F.char_length("name")).alias("n"), "name"))).alias("found"))
+    return met.select("request_id", F.slice(F.col("found.name"), 1, most).alias("names"))
+
+
+def affinity_terms(requests: DataFrame, items: DataFrame, most: int = 8, first: int = 40) -> DataFrame:
+    """(request_id, affinity_terms): the leading genre and keyword terms of items that contain a liked phrase.
+
+    ``requests``: request_id, affinity_phrases, avoid_terms. ``items``: doc, blob,
+    genre_set, keyword_set. Of each phrase the ``first`` items by doc count, a genre
+    term three times a keyword term, of the first ten keywords. Candidates meet on the
+    phrase's longest word, so a phrase that starts inside a word isn't found.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9']+"), F.lit(0)))
+    asked = requests.select("request_id", "avoid_terms", F.explode("affinity_phrases").alias("liked")).withColumn("word", longest(words(F.col("liked"))))
+    met = asked.join(items.select("doc", "blob", "genre_set", "keyword_set", F.explode(words(F.col("blob"))).alias("word")), "word").filter(F.contains("blob", "liked"))
+    n = F.row_number().over(Window.partitionBy("request_id", "liked").orderBy("doc"))
+    met = met.withColumn("n", n).filter(F.col("n") <= first)
+    weighed = lambda c, w: F.transform(F.flatten(F.transform(c, lambda x: F.array_distinct(stems(x)))), lambda x: F.struct(x.alias("term"), F.lit(w).alias("w")))
+    terms = F.concat(weighed(F.col("genre_set"), 3), weighed(F.slice(F.sort_array("keyword_set"), 1, 10), 1))
+    counted = met.select("request_id", "avoid_terms", F.explode(terms).alias("t")).filter(~F.array_contains("avoid_terms", F.col("t.term")))
+    counted = counted.groupBy("request_id", "t.term").agg(F.sum("t.w").alias("w"))
+    best = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("w"), "term"))
+    return counted.withColumn("n", best).filter(F.col("n") <= most).groupBy("request_id").agg(F.sort_array(F.collect_list("term")).alias("affinity_terms"))
+
+
+#: What a model may add to a request; every field may be null.
+OVERRIDE = (
+    "struct<genres:array<string>,avoid:array<string>,people:array<string>,year:struct<min:int,max:int>,runtime:struct<min:int,max:int,short:boolean>,"
+    "setting:string,tone:array<string>,hints:array<string>,quality:boolean,countries:array<string>>"
+)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """Parsed requests with their ``override`` (of type OVERRIDE) merged in.
+
+    Lists are joined to what the text says, at their limits (six phrases to avoid,
+    four tones, five hints); valid years, runtimes, a setting and countries replace
+    it; quality is wanted if either says so. Without the column all extras are empty.
+    """
+    empty = F.array().cast("array<string>")
+    if "override" not in df.columns:
+        df = df.withColumn("override", F.lit(None).cast(OVERRIDE))
+    o = lambda k: F.col(f"override.{k}")
+    clean = lambda k: F.coalesce(F.filter(F.transform(o(k), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), empty)
+    low = lambda k: F.transform(clean(k), F.lower)
+    alias = F.create_map(*[F.lit(x) for kv in V.GENRES.items() for x in kv])
+    year = F.when((o("year.min") > 0) & (F.coalesce(o("year.max"), F.lit(9999)) >= o("year.min")), F.struct(o("year.min").alias("min"), F.coalesce(o("year.max"), F.lit(9999)).alias("max")))
+    short = F.coalesce(o("runtime.short"), F.lit(False))
+    longest_, least = F.coalesce(o("runtime.max"), F.when(short, 110)), o("runtime.min")
+    runtime = F.when(longest_.isNotNull() | least.isNotNull(), F.struct(least.alias("min"), longest_.alias("max")))
+    setting = F.nullif(F.substring(F.trim(F.coalesce(o("setting"), F.lit(""))), 1, 80), F.lit(""))
+    avoid = F.array_distinct(F.concat("avoid_phrases", low("avoid")))
+    return df.withColumns(
+        {
+            "all_genres": F.array_union("all_genres", F.transform(low("genres"), lambda g: F.coalesce(F.element_at(alias, g), g))),
+            "avoid_all": avoid,
+            "avoid_phrases": F.slice(avoid, 1, 6),
+            "said_people": low("people"),
+            "year": F.coalesce(year, F.col("year")),
+            "short_requested": F.when(runtime.isNotNull(), short).otherwise(F.col("short_requested")),
+            "runtime": F.coalesce(runtime, F.col("runtime")),
+            "setting": F.coalesce(setting, F.col("setting")),
+            "tone": F.slice(clean("tone"), 1, 4),
+            "hints": F.slice(clean("hints"), 1, 5),
+            "said_countries": F.slice(clean("countries"), 1, 3),
+            "wants_quality": F.col("wants_quality") | F.coalesce(o("quality"), F.lit(False)),
+        }
+    ).drop("override")
+
+
 def profile(requests: DataFrame, text_col: str = "text") -> DataFrame:
-    """Requests with their constraint columns."""
+    """Requests with the constraint columns that follow from their text and ``override`` alone."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lang = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.array(*map(F.lit, x[0])).cast("array<string>").alias("codes"), F.array(*map(F.lit, x[1])).cast("array<string>").alias("countries")) for kv in V.LANGUAGES.items() for x in kv])
     certs = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in V.CERTIFICATES.items() for x in kv])
     low = F.lower(text)
+    phrases_ = negations(text)
     df = requests.withColumns(
         {
             "year": year_range(text),
             "runtime": runtime_range(text),
-            "avoid_phrases": negations(text),
+            "short_requested": low.rlike(V.SHORT),
+            "min_rating": min_rating(text),
+            "setting": setting_period(text),
+            "avoid_phrases": phrases_,
+            "affinity_phrases": affinity_phrases(text),
             "all_genres": genres(text),
+            "blocked_genres": genres(F.array_join(phrases_, " ")),
             "language": F.element_at(lang, longest(named(text, V.LANGUAGES))),
             "certificates": F.element_at(certs, longest(named(text, V.CERTIFICATES))),
             "wants_quality": low.rlike(V.QUALITY),
@@ -126,17 +233,38 @@ def profile(requests: DataFrame, text_col: str = "text") -> DataFrame:
             "subgenre_keywords": subgenre_keywords(text),
         }
     )
-    avoid_text = F.array_join("avoid_phrases", " ")
-    df = df.withColumns({"avoid_terms": F.array_distinct(stems(avoid_text)), "blocked_genres": genres(avoid_text)})
-    signals = [F.size("all_genres") > 0, F.size("avoid_phrases") > 0, F.col("year").isNotNull(), F.col("runtime.min").isNotNull() | F.col("runtime.max").isNotNull(), F.col("similar_request"), F.col("fuzzy"), F.col("language").isNotNull(), F.col("certificates").isNotNull()]
-    n = sum((s.cast("int") for s in signals), F.lit(0))
-    fillers = F.array(*[stem(F.lit(w)) for w in V.QUALITY_FILLERS + V.REQUEST_FILLERS])
-    mood = F.when(F.col("mood"), F.array(*map(F.lit, V.MOOD_TERMS))).otherwise(F.array().cast("array<string>"))
-    return df.withColumns(
+    df = merged(df)
+    return df.withColumns({"avoid_terms": F.array_distinct(stems(F.array_join("avoid_all", " "))), "genres": F.array_except("all_genres", "blocked_genres")}).drop("avoid_all")
+
+
+def completed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Profiles joined with ``people``, ``countries``, ``affinity_terms`` and seed columns: breadth, specificity and query terms.
+
+    A request is a similarity request only if a seed was found. Query terms are the
+    text's tokens without fillers, avoided terms and seed titles, then the tokens of
+    everything else that was understood.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    some = lambda c: F.size(c) > 0
+    df = df.withColumn("similar_request", F.col("similar_request") & some("seed_docs"))
+    year, runtime = F.col("year").isNotNull(), F.col("runtime.min").isNotNull() | F.col("runtime.max").isNotNull()
+    shared = [some("genres"), some("avoid_phrases"), some("people"), F.col("min_rating").isNotNull(), F.col("setting") != "", F.col("similar_request")]
+    count = lambda xs: sum((x.cast("int") for x in xs), F.lit(0))
+    n, broad = count([*shared, year, runtime]), count([*shared, year, some("tone") | some("hints")])
+    df = df.withColumns(
         {
-            "genres": F.array_except("all_genres", "blocked_genres"),
             "specificity": F.when(n >= 3, "high").when(n == 2, "medium").otherwise("low"),
-            "broad_request": F.col("wants_quality") | (~F.col("similar_request") & ~F.col("mood") & (n <= 1)),
-            "query_terms": F.concat(F.filter(stems(text), lambda t: ~F.array_contains(fillers, t) & ~F.array_contains(F.col("avoid_terms"), t)), mood),
+            "broad_request": F.col("wants_quality") | (~F.col("similar_request") & ~F.col("mood") & (broad <= 1)),
+            "affinity_genres": F.filter(F.array(*[F.lit(g) for g in sorted(set(V.GENRES.values()))]), lambda g: F.arrays_overlap(stems(g), "affinity_terms")),
+            "fuzzy": F.col("fuzzy") | F.col("similar_request") | (F.col("setting") != "") | some("tone") | some("hints"),
         }
     )
+    aimed = (some("genres") | some("affinity_genres")) & ~some("people") & ~year & ~runtime
+    df = df.withColumn("needs_backup", F.col("broad_request") | F.col("similar_request") | aimed)
+    empty = F.array().cast("array<string>")
+    listed = lambda xs: F.array(*map(F.lit, xs))
+    filler = F.concat(listed(V.REQUEST_FILLERS), F.when(F.col("wants_quality"), listed(V.QUALITY_FILLERS)).when(F.col("wants_all_time"), listed(["all", "best", "greatest", "time"])).otherwise(empty))
+    own = F.filter(F.array_except(F.array_except(tokens(text), filler), "seed_title_tokens"), lambda w: ~F.array_contains("avoid_terms", stem(w)))
+    seed = F.when(F.col("similar_request"), F.concat("seed_genres", F.slice(F.sort_array("seed_keywords"), 1, 8))).otherwise(empty)
+    more = tokens(F.array_join(F.concat("genres", "countries", F.when(F.col("mood"), listed(V.MOOD_TERMS)).otherwise(empty), seed, "affinity_terms", "subgenre_keywords", "tone", "hints", F.array("setting")), " "))
+    return df.withColumn("query_terms", F.transform(F.array_union(own, more), stem))

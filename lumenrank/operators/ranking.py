@@ -53,18 +53,48 @@ def score_gaps(df: DataFrame, by: list[str], order: list[Column], score: str) ->
 
 
 def source_score(f: dict[str, Column]) -> Column:
-    """The additive score; ``f`` names its inputs, all of which are columns (boolean unless numeric)."""
+    """The additive score; ``f`` names its inputs, all of which are columns (boolean unless numeric).
+
+    Excluded rows score -10000 and rows of a wrong language or certificate -5000, whatever else they have.
+    """
     yes = lambda k, v: F.when(F.coalesce(f[k], F.lit(False)), v).otherwise(0.0)
     rank = lambda k: F.coalesce(30.0 / (RRF + f[k]), F.lit(0.0))
-    seed = F.when(~f["similar_request"], 0.0).when(f["seed_relation"] == "similar", 0.65).when(f["seed_relation"] == "recommended", 0.5).when(f["seed_overlap"], 0.12).otherwise(0.0)
-    source = F.when(f["constraint_source"] == "quality", F.when(f["quality_request"], 0.45).otherwise(0.35)).when(f["constraint_source"] != "", 0.18).otherwise(0.0)
-    sub = f["subgenre_overlap"] > 0
+    seed = F.when(f["seed_relation"] == "similar", 0.65).when(f["seed_relation"] == "recommended", 0.5).when(f["similar_request"] & f["seed_overlap"], 0.12).otherwise(0.0)
+    source = F.when(f["constraint_source"] == "quality", F.when(f["needs_backup"], 0.45).otherwise(0.35)).when(f["constraint_source"] != "", 0.18).otherwise(0.0)
+    sub = f.get("subgenre_request", f["subgenre_overlap"] > 0)
     weight = (
         F.when(f["quality_request"], F.when(sub, 0.28).otherwise(0.35))
         .when(f["broad_request"], F.when(sub, 0.18).otherwise(0.25))
         .when(f["needs_backup"], F.when(sub, 0.12).otherwise(0.18))
         .otherwise(0.08)
     )
-    gates = yes("excluded", -10000.0) + yes("wrong_language", -5000.0) + yes("wrong_certificate", -5000.0)
     match = yes("genre_match", 0.10) + yes("person_match", 0.22) + yes("year_match", 0.08) + yes("runtime_match", 0.06) + yes("avoid_hit", -0.35)
-    return gates + rank("bm25_rank") + rank("sem_rank") + F.coalesce(seed, F.lit(0.0)) + F.coalesce(source, F.lit(0.0)) + match + 0.12 * F.least(F.lit(3), f["subgenre_overlap"]) + weight * f["consensus"]
+    total = rank("bm25_rank") + rank("sem_rank") + F.coalesce(seed, F.lit(0.0)) + F.coalesce(source, F.lit(0.0)) + match + 0.12 * F.least(F.lit(3), f["subgenre_overlap"]) + weight * f["consensus"]
+    wrong = F.coalesce(f["wrong_language"], F.lit(False)) | F.coalesce(f["wrong_certificate"], F.lit(False))
+    return F.when(F.coalesce(f["excluded"], F.lit(False)), -10000.0).when(wrong, -5000.0).otherwise(total)
+
+
+def tag_or_append(df: DataFrame, matches: Column, source: str, order: list[Column], most: int | None = 20) -> DataFrame:
+    """Present rows that match and have no source yet get ``source``; up to ``most`` matching absent rows of each request come in under it.
+
+    ``df`` has request_id, present, constraint_source and recall columns; rows that come
+    in have no recall. A request's rows are bounded, so its window is too.
+    """
+    match = F.coalesce(matches, F.lit(False))
+    df = df.withColumn("__in", match).withColumn("__new", match & ~F.col("present"))
+    if most is not None:
+        n = F.row_number().over(Window.partitionBy("request_id", "__new").orderBy(*order))
+        df = df.withColumn("__new", F.col("__new") & (n <= most))
+    new = F.col("__new")
+    tag = F.when(new | (F.lit(most is not None) & F.col("__in") & F.col("present") & (F.col("constraint_source") == "")), source).otherwise(F.col("constraint_source"))
+    gone = {c: F.when(~new, F.col(c)) for c in ("bm25_rank", "sem_rank")} | {c: F.when(new, 0.0).otherwise(F.col(c)) for c in ("bm25_score", "sem_score", "vote_score")}
+    return df.withColumns(gone | {"constraint_source": tag, "present": F.col("present") | new}).drop("__in", "__new")
+
+
+def narrow(df: DataFrame, keep: Column, least: int, when: Column) -> DataFrame:
+    """Present rows that don't pass leave, if at least min(least, present) of their request do, and ``when`` holds."""
+    w = Window.partitionBy("request_id")
+    keep = F.coalesce(keep, F.lit(False))
+    n, ok = F.count_if("present").over(w), F.count_if(F.col("present") & keep).over(w)
+    enough = (ok > 0) & (ok >= F.least(F.lit(least), n)) & F.coalesce(when, F.lit(False))
+    return df.withColumn("__enough", enough).withColumn("present", F.col("present") & (keep | ~F.col("__enough"))).drop("__enough")

@@ -15,6 +15,33 @@ def route(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence", level).withColumn("route", way)
 
 
+def confidence(df: DataFrame) -> DataFrame:
+    """convergence, contradictions, fulfilment, confidence and route of each request's leading row.
+
+    ``df`` has one row per request: the profile, the row's evidence, scores, ``top``
+    and ``gap1``. A contradiction makes confidence low; a vague wish is never ``high``.
+    """
+    c = F.col
+    misses = {
+        "genre_miss": c("has_genres") & ~c("genre_match"),
+        "avoid_hit": c("has_avoid") & c("avoid_hit"),
+        "person_miss": c("has_people") & ~c("person_match"),
+        "year_miss": c("has_year") & c("year_available") & ~c("year_match"),
+        "runtime_miss": c("has_runtime") & c("runtime_available") & ~c("runtime_match"),
+        "seed_miss": c("similar_request") & ~c("seed_match"),
+    }
+    clashes = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in misses.items()]))
+    rating, votes = F.coalesce("rating", F.lit(0.0)), F.coalesce("votes", F.lit(0.0))
+    safe = F.when(c("wants_quality"), (rating >= 6.8) & (votes >= 500) & (c("consensus") >= 0.60)).otherwise((rating >= 6.4) & (votes >= 120) & (c("consensus") >= 0.55))
+    lexical, dense = F.coalesce(c("bm25_score") > 0, F.lit(False)), F.coalesce(c("sem_score") > 0, F.lit(False))
+    df = df.withColumns({"contradictions": clashes, "convergence": F.when(lexical & dense, "strong").when(lexical | dense, "partial").otherwise("weak")})
+    calm, top = F.size("contradictions") == 0, c("top")
+    high = calm & (top >= 0.5) & (c("gap1") >= 0.05) & safe & ~c("fuzzy") & ~(c("wants_quality") & c("has_genres")) & (c("min_rating").isNull() | (rating >= c("min_rating")))
+    level = F.when(high, "high").when(calm & (top >= 0.28), "medium").otherwise("low")
+    done = df.withColumns({"fulfilment": F.when(calm & (top >= 0.5), "high").when(calm & (top >= 0.28), "medium").otherwise("low"), "confidence": level})
+    return done.withColumn("route", F.when(c("confidence") == "high", "description_only").when((c("confidence") == "medium") & ~c("fuzzy"), "judge_5").otherwise("judge_8"))
+
+
 def choose(shortlist: DataFrame, by: list[str], viable: Column, rated: Column, votes: Column) -> DataFrame:
     """One row per group: the best rated of the viable top three, else of the top five, else the first."""
     tier = F.when(viable & (F.col("rank") <= 3), 0).when(viable & (F.col("rank") <= 5), 1).otherwise(2)

@@ -1,12 +1,21 @@
 """The whole retrieval plan over a table of requests: parse, recall, fuse, constrain, score, shortlist, route, choose."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.values import FIELD_WEIGHTS, POOL, SHORTLIST
+from ..functions.values import DENSE_TOP, FIELD_WEIGHTS, LEXICAL_TOP, POOL, SECOND_STAGE, SHORTLIST
 from ..operators import dense, index, lexical, parsing, quality, ranking, selection
+from ..sources.stages import written
+
+#: Appended rows of each kind, and how many a request can have before they are taken: all recalled and appended ones.
+APPENDED = 20
+KINDS = ("person", "quality", "year", "runtime")
+WIDE = LEXICAL_TOP + DENSE_TOP + APPENDED * (len(KINDS) + 1)
+TEXTS = "array<string>"
 
 
 def prepare(catalogue: DataFrame) -> DataFrame:
@@ -14,6 +23,7 @@ def prepare(catalogue: DataFrame) -> DataFrame:
     votes = quality.effective(N.votes(F.col("imdb_votes")), N.votes(F.col("vote_count").cast("string")))
     rating = quality.effective(N.number(F.col("imdb_rating")), N.number(F.col("vote_average").cast("string")))
     df = catalogue.withColumns({"doc": F.col("tmdb_id").cast("long"), "rating": rating, "votes": votes})
+    blob = F.concat_ws(" ", *[F.col(c) for c in FIELD_WEIGHTS if c in catalogue.columns])
     df = df.withColumns(
         {
             "year_n": N.number(F.col("year").cast("string")).cast("int"),
@@ -21,38 +31,201 @@ def prepare(catalogue: DataFrame) -> DataFrame:
             "genre_set": T.csv_set(F.col("genres")),
             "keyword_set": T.csv_set(F.col("keywords")),
             "people": F.array_union(T.csv_set(F.col("top_cast")), T.csv_set(F.col("director"))),
+            "places": F.array_union(T.csv_set(F.col("production_countries")), T.csv_set(F.col("spoken_languages"))),
             "similar_ids": N.json_ints(F.col("similar_tmdb_ids")),
             "recommended_ids": N.json_ints(F.col("recommended_tmdb_ids")),
             "root": T.title_root(F.col("title")),
-            "terms": F.array_distinct(T.stems(F.concat_ws(" ", *[F.col(c) for c in FIELD_WEIGHTS if c in catalogue.columns]))),
+            "blob": T.normalize(blob),
+            "terms": F.array_distinct(T.stems(blob)),
         }
     )
     return quality.add_quality(df)
 
 
-def _yes(c):
+def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, k: int = SHORTLIST) -> DataFrame:
-    """Top ``k`` per request. ``requests``: request_id, text, history array<struct<id, name>>.
+def understand(requests: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per request with its whole profile: text, override, and what the catalogue's own names add.
 
-    Requests are one side of every join and partition every window by request_id,
-    so many requests are one job.
+    People, places and titles are met by equality joins; ``seen`` holds the documents
+    that must not come back: the history by id or title, and seeds of a similarity request.
     """
-    items = prepare(catalogue).persist()
-    asked = parsing.profile(requests).persist()
+    asked = written(parsing.profile(requests), "profile")
+    titles = F.array_compact(F.concat(F.array("title", "original_title"), N.json_strings(F.col("alternative_titles"))))
+    people = parsing.named_from(asked, items.select(F.explode("people").alias("name")), 6)
+    places = parsing.named_from(asked, items.select(F.explode("places").alias("name")), 3)
+    liked = parsing.affinity_terms(asked, items)
     told = asked.select("request_id", F.explode("history").alias("h"))
     by_title = told.join(items.select("doc", F.lower("title").alias("t")), F.lower(F.trim("h.name")) == F.col("t")).select("request_id", "doc")
-    seen = told.select("request_id", F.col("h.id").cast("long").alias("doc")).unionByName(by_title).filter("doc is not null").distinct()
+    seen = told.select("request_id", F.col("h.id").cast("long").alias("doc")).unionByName(by_title).filter("doc is not null")
+    seen = seen.groupBy("request_id").agg(F.collect_set("doc").alias("history_docs"))
 
-    titles = F.array_compact(F.concat(F.array("title", "original_title"), N.json_strings(F.col("alternative_titles"))))
-    seeds = parsing.mentioned_items(asked, items, titles).join(asked.filter("similar_request").select("request_id"), "request_id", "left_semi")
-    seeds = seeds.join(items.select("doc", "similar_ids", "recommended_ids", "genre_set"), "doc")
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
-    seeds = seeds.groupBy("request_id").agg(F.collect_set("doc").alias("seed_docs"), union("similar_ids").alias("seed_similar"), union("recommended_ids").alias("seed_recommended"), union("genre_set").alias("seed_genres")).persist()
-    seen = seen.unionByName(seeds.select("request_id", F.explode("seed_docs").alias("doc"))).distinct()
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(f"seed_{c}")
+    seeds = parsing.mentioned_items(asked, items, titles).join(items.select("doc", "title", "similar_ids", "recommended_ids", "genre_set", "keyword_set"), "doc")
+    seeds = seeds.withColumns({"genres": F.col("genre_set"), "keywords": F.slice(F.sort_array("keyword_set"), 1, 10), "title_tokens": T.tokens(F.col("title"))})
+    seeds = seeds.groupBy("request_id").agg(F.collect_set("doc").alias("seed_docs"), *map(union, ("similar_ids", "recommended_ids", "genres", "keywords", "title_tokens")))
+
+    for extra in (people.withColumnRenamed("names", "found_people"), places.withColumnRenamed("names", "found_places"), liked, seen, seeds):
+        asked = asked.join(extra, "request_id", "left")
+    lists = ("found_people", "found_places", "affinity_terms", "seed_genres", "seed_keywords", "seed_title_tokens")
+    ids = ("history_docs", "seed_docs", "seed_similar_ids", "seed_recommended_ids")
+    asked = asked.withColumns({c: F.coalesce(c, F.array().cast(TEXTS)) for c in lists} | {c: F.coalesce(c, F.array().cast("array<bigint>")) for c in ids})
+    countries = F.when(F.size("said_countries") > 0, F.col("said_countries")).otherwise(F.col("found_places"))
+    asked = asked.withColumns({"people": F.slice(F.array_union("found_people", "said_people"), 1, 6), "countries": countries})
+    asked = parsing.completed(asked)
+    seeds_out = F.when(F.col("similar_request"), F.col("seed_docs")).otherwise(F.array().cast("array<bigint>"))
+    floor = F.when(F.col("wants_all_time"), 8.0).when(F.col("wants_quality"), 7.4).otherwise(7.2)
+    target = F.when(F.size("genres") > 0, F.col("genres")).when(F.col("similar_request") & (F.size("seed_genres") > 0), F.col("seed_genres")).otherwise(F.col("affinity_genres"))
+    return asked.withColumns({"seen": F.array_union("history_docs", seeds_out), "quality_floor": floor, "target_genres": target}).drop("history", "found_people", "found_places", "said_people", "said_countries")
+
+
+def _matches(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """(request_id, doc, kind): catalogue rows that a request's people, quality, years or running time ask for.
 
+    Ranges become equalities: the few distinct years, minutes and quality floors of the
+    catalogue meet the requests first. Genres narrow the quality rows where at least
+    min(5, all) of a request's rows have one; this is counted before anything is gathered.
+    """
+    year = F.col("y").between(F.col("year.min"), F.col("year.max"))
+    years = asked.filter("year is not null").select("request_id", "year").join(items.select(F.col("year_n").alias("y")).filter("y is not null").distinct(), year).select("request_id", "y")
+    by_year = years.join(items.select("doc", F.col("year_n").alias("y")), "y").select("request_id", "doc", F.lit("year").alias("kind"))
+    timed = asked.filter("runtime.min is not null or runtime.max is not null").select("request_id", "runtime")
+    fits = (F.col("m") >= F.coalesce("runtime.min", F.lit(0))) & (F.col("m") <= F.coalesce("runtime.max", F.lit(10**6)))
+    minutes = timed.join(items.select(F.col("runtime_n").alias("m")).filter("m is not null").distinct(), fits).select("request_id", "m")
+    by_time = minutes.join(items.select("doc", F.col("runtime_n").alias("m")), "m").select("request_id", "doc", F.lit("runtime").alias("kind"))
+    known = items.select("doc", F.explode("people").alias("name"))
+    by_person = asked.select("request_id", F.explode("people").alias("name")).join(known, "name").select("request_id", "doc", F.lit("person").alias("kind")).distinct()
+    floors = F.filter(F.array(F.lit(8.0), F.lit(7.4), F.lit(7.2)), lambda x: F.col("rating") >= x)
+    good = items.filter("votes >= 1000").select("doc", "genre_set", F.explode(floors).alias("quality_floor"))
+    backed = asked.filter("needs_backup").select("request_id", "quality_floor", "target_genres", "seen", "blocked_genres")
+    rows = backed.join(good, "quality_floor").filter("not array_contains(seen, doc) and not arrays_overlap(genre_set, blocked_genres)").withColumn("aimed", F.arrays_overlap("genre_set", "target_genres"))
+    counts = rows.groupBy("request_id").agg((F.count_if("aimed") >= F.least(F.lit(5), F.count("*"))).alias("narrowed"))
+    by_quality = rows.join(counts, "request_id").filter("aimed or not narrowed or size(target_genres) = 0").select("request_id", "doc", F.lit("quality").alias("kind"))
+    return reduce(DataFrame.unionByName, (by_person, by_quality, by_year, by_time))
+
+
+_RECALL = ["bm25_rank", "sem_rank", "bm25_score", "sem_score", "vote_score"]
+_SAID = "similar_request broad_request needs_backup wants_quality wants_all_time short_requested fuzzy specificity min_rating".split()
+
+
+def _unrecalled(pairs: DataFrame, present: bool) -> DataFrame:
+    """Rows that no search found."""
+    return pairs.select("request_id", "doc", F.lit(present).alias("present"), *[F.lit(None).cast("int").alias(c) if c.endswith("_rank") else F.lit(0.0).alias(c) for c in _RECALL])
+
+
+def _evidence(pairs: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Scalars about (request, item) rows: all that later steps need, so that no text or list is shuffled again.
+
+    Rows of seen items and blocked genres go. ``pairs`` has request_id, doc, present and the recall columns.
+    """
+    wanted = asked.drop("query_terms", "text", "countries").withColumnsRenamed({"genres": "genres_asked", "people": "people_asked"})
+    rows = pairs.join(wanted, "request_id").join(items.drop("genres", "year", "similar_ids", "recommended_ids"), "doc")
+    rows = rows.filter(~F.array_contains("seen", F.col("doc")) & ~_yes(F.arrays_overlap("genre_set", "blocked_genres")))
+    c, size, none = F.col, F.size, F.lit(0)
+    blob_hit = F.exists("avoid_phrases", lambda p: F.contains("blob", p))
+    where = T.normalize(F.coalesce("production_countries", F.lit("")))
+    countries = (size("language.codes") == 0) & F.exists("language.countries", lambda x: F.contains(where, x))
+    shared = F.size(F.array_intersect("genre_set", "genres_asked"))
+    timed = c("runtime.min").isNotNull() | c("runtime.max").isNotNull()
+    fits = (c("runtime_n") >= F.coalesce("runtime.min", none)) & (c("runtime_n") <= F.coalesce("runtime.max", F.lit(10**6)))
+    least = F.when(c("wants_quality"), F.when(c("wants_all_time"), 8.0).otherwise(7.4)).otherwise(6.5)
+    far = (c("sem_score") > 0) & (c("bm25_score") <= 0)
+    trusted = ((size("genres_asked") == 0) | (shared >= F.least(F.lit(2), size("genres_asked")))) & ~F.arrays_overlap("terms", "avoid_terms") & ((size("people_asked") == 0) | (c("sem_score") >= 0.72))
+    flags = {
+        "wrong_language": c("language").isNotNull() & ~_yes(F.array_contains("language.codes", T.normalize(c("original_language"))) | countries),
+        "wrong_certificate": c("certificates").isNotNull() & ~_yes(F.array_contains("certificates", T.normalize(c("us_rating")))),
+        "seed_overlap": _yes(F.arrays_overlap("genre_set", "seed_genres") | F.arrays_overlap("keyword_set", "seed_keywords")),
+        "asked_genre": _yes(shared > 0),
+        "asked_person": _yes(F.arrays_overlap("people", "people_asked")),
+        "asked_year": _yes(c("year_n").between(c("year.min"), c("year.max"))),
+        "asked_runtime": timed & _yes(fits),
+        "avoid_hit": _yes(F.arrays_overlap("terms", "avoid_terms") | blob_hit),
+        "has_genres": size("genres_asked") > 0,
+        "has_people": size("people_asked") > 0,
+        "has_avoid": size("avoid_phrases") > 0,
+        "has_year": c("year").isNotNull(),
+        "has_runtime": timed,
+        "subgenre_request": size("subgenre_keywords") > 0,
+        "good": c("needs_backup") & _yes((c("rating") >= c("quality_floor")) & (c("votes") >= 1000)),
+        "aimed": (size("target_genres") == 0) | _yes(F.arrays_overlap("genre_set", "target_genres")),
+        "stable": _yes((c("rating") >= least) & (c("votes") >= 1000)),
+        "within_180": _yes(c("runtime_n") <= 180),
+        "doubtful": _yes(far) & ~_yes(trusted),
+    }
+    relation = F.when(F.array_contains("seed_similar_ids", c("doc")), "similar").when(F.array_contains("seed_recommended_ids", c("doc")), "recommended").otherwise("")
+    overlap = F.coalesce(size(F.array_intersect("keyword_set", "subgenre_keywords")), none)
+    return rows.select("request_id", "doc", "present", *_RECALL, *_SAID, "root", "rating", "votes", "consensus", F.lit("").alias("constraint_source"), relation.alias("seed_relation"), overlap.alias("subgenre_overlap"), *[v.alias(k) for k, v in flags.items()])
+
+
+def _score(df: DataFrame) -> DataFrame:
+    """``score`` from the evidence, source and recall columns."""
+    c = F.col
+    names = {k: c(k) for k in "wrong_language wrong_certificate bm25_rank sem_rank similar_request seed_relation seed_overlap constraint_source broad_request needs_backup subgenre_overlap subgenre_request consensus avoid_hit".split()}
+    more = {"excluded": F.lit(False), "quality_request": c("wants_quality"), "genre_match": c("asked_genre"), "person_match": c("asked_person"), "year_match": c("asked_year"), "runtime_match": c("asked_runtime")}
+    return df.withColumn("score", F.round(ranking.source_score(names | more), 6))
+
+
+def candidates(asked: DataFrame, items: DataFrame, hits: DataFrame, near: DataFrame) -> DataFrame:
+    """Scored rows of each request: recalled ones, then seeds' neighbours, people, quality, years and running times.
+
+    Every row that could come in is in one table with its evidence, so each step is a
+    change of ``present`` within a request's rows, not another read of the pool. A
+    request's rows are bounded: of each kind only the best WIDE can matter, since no
+    more than that can be present before.
+    """
+    fused = written(ranking.fuse(hits, near).select("request_id", "doc", F.lit(True).alias("present"), *_RECALL), "fused")
+    order = [F.desc("score"), F.desc("consensus"), F.desc("rating"), F.desc("votes"), F.col("doc")]
+    kinds = _matches(asked, items)
+    wide = _score(_evidence(_unrecalled(kinds, False), asked, items))
+    # seeds' neighbours come in first without a limit, so they don't count against the others
+    wide = wide.filter("not similar_request or seed_relation = ''").join(kinds, ["request_id", "doc"]).select("request_id", "doc", "kind", "score", "consensus", "rating", "votes").distinct()
+    n = F.row_number().over(Window.partitionBy("request_id", "kind").orderBy(*order))
+    wide = wide.withColumn("n", n).filter(F.col("n") <= WIDE).select("request_id", "doc")
+    linked = asked.filter("similar_request").select("request_id", F.explode(F.array_union("seed_similar_ids", "seed_recommended_ids")).alias("doc"))
+    rows = fused.unionByName(_unrecalled(wide.unionByName(linked), False))
+    rows = rows.groupBy("request_id", "doc").agg(F.max("present").alias("present"), *[F.max(c).alias(c) for c in _RECALL]).na.fill(0.0, ["bm25_score", "sem_score", "vote_score"])
+    df = written(_score(_evidence(rows, asked, items)), "evidence")
+
+    counted = Window.partitionBy("request_id")
+    fit = F.count_if(F.col("good") & F.col("aimed")).over(counted) >= F.least(F.lit(5), F.count_if("good").over(counted))
+    df = df.withColumns({"narrowed": fit, "year_available": F.max("asked_year").over(counted), "runtime_available": F.max("asked_runtime").over(counted)})
+    df = ranking.tag_or_append(df, F.col("similar_request") & (F.col("seed_relation") != ""), "seed", order, most=None)
+    df = ranking.tag_or_append(df, F.col("asked_person"), "person", order, APPENDED)
+    df = ranking.tag_or_append(df, F.col("good") & (F.col("aimed") | ~F.col("narrowed")), "quality", order, APPENDED)
+    df = df.withColumn("present", F.col("present") & ~F.col("doubtful"))
+    df = ranking.narrow(df, F.col("stable"), 8, F.col("broad_request"))
+    df = ranking.tag_or_append(df, F.col("asked_year"), "year", order, APPENDED)
+    df = ranking.narrow(df, F.col("asked_year"), 1, F.col("year_available"))
+    df = ranking.tag_or_append(df, F.col("asked_runtime"), "runtime", order, APPENDED)
+    df = ranking.narrow(df, F.col("within_180"), 8, F.col("short_requested") & F.col("runtime_available"))
+    df = ranking.narrow(df, F.col("asked_runtime"), 8, F.col("runtime_available"))
+    return _score(df.filter("present")).drop("narrowed")
+
+
+def fallback(asked: DataFrame, items: DataFrame, pool: DataFrame) -> DataFrame:
+    """For requests that nothing was recalled for, the whole catalogue is the pool: a query set in blocks, usually an empty one."""
+    lone = asked.join(pool.select("request_id").distinct(), "request_id", "left_anti")
+    blocks = -(-lone.count() // dense.BLOCK)
+    part = F.pmod(F.xxhash64("request_id"), F.lit(max(blocks, 1)))
+    found = pool
+    for i in range(blocks):
+        pairs = items.select("doc").join(F.broadcast(lone.filter(part == i).select("request_id")), how="cross")
+        df = _evidence(_unrecalled(pairs, True), asked, items).withColumns({"year_available": F.col("asked_year"), "runtime_available": F.col("asked_runtime")})
+        found = found.unionByName(_score(df))
+    return found
+
+
+def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, k: int = SHORTLIST) -> DataFrame:
+    """Top ``k`` per request. ``requests``: request_id, text, history array<struct<id, name>>, and maybe override (parsing.OVERRIDE).
+
+    Requests are one side of every join and partition every window by request_id,
+    so many requests are one job.
+    """
+    items = written(prepare(catalogue), "items")
+    asked = written(understand(requests, items), "asked")
+    seen = asked.select("request_id", F.explode("seen").alias("doc"))
     postings, stats, lengths = index.build(items, "doc", long_field="overview")
     terms = asked.select("request_id", F.explode("query_terms").alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("qtf"))
     hits = lexical.search(terms, postings, stats, lengths, seen)
@@ -60,65 +233,29 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
         near = asked.sparkSession.createDataFrame([], f"request_id {asked.schema['request_id'].dataType.simpleString()}, doc long, sem_raw double, sem_rank int, sem_score double")
     else:
         near = dense.search(vectors, embeddings, seen)
-    pool = ranking.fuse(hits, near).withColumn("constraint_source", F.lit(""))
-
-    wanted = asked.filter("year is not null").select("request_id", "year").join(items.select("doc", "year_n", "consensus"), F.col("year_n").between(F.col("year.min"), F.col("year.max")))
-    wanted = wanted.join(seen, ["request_id", "doc"], "left_anti").select("request_id", "doc", "consensus")
-    pool = ranking.append_missing(pool, wanted, ["request_id", "doc"], ["request_id"], [F.desc("consensus"), F.col("doc")], 20, "year").drop("consensus")
-    good = asked.filter("broad_request").select("request_id", "genres").join(items.select("doc", "genre_set", "rating", "votes", "consensus"), F.col("rating") >= 7.2)
-    good = good.filter("votes >= 1000 and (size(genres) = 0 or arrays_overlap(genres, genre_set))").join(seen, ["request_id", "doc"], "left_anti")
-    pool = ranking.append_missing(pool, good.select("request_id", "doc", "consensus"), ["request_id", "doc"], ["request_id"], [F.desc("consensus"), F.col("doc")], 20, "quality").drop("consensus")
-
-    linked = seeds.select("request_id", F.explode(F.array_union("seed_similar", "seed_recommended")).alias("doc")).join(items.select("doc", "consensus"), "doc").join(seen, ["request_id", "doc"], "left_anti")
-    pool = ranking.append_missing(pool, linked, ["request_id", "doc"], ["request_id"], [F.desc("consensus"), F.col("doc")], 20, "seed").drop("consensus")
-
-    full = pool.join(seeds.drop("seed_docs"), "request_id", "left").join(asked.drop("history", "query_terms"), "request_id").join(items.drop("genres", "year", "text"), "doc")
-    full = full.filter(~_yes(F.arrays_overlap("genre_set", "blocked_genres")))
-    none = F.lit(0)
-    names = {
-        "excluded": F.lit(False),
-        "wrong_language": F.col("language").isNotNull() & ~_yes(F.array_contains("language.codes", F.col("original_language")) | F.arrays_overlap("language.countries", T.csv_set(F.col("production_countries")))),
-        "wrong_certificate": F.col("certificates").isNotNull() & ~_yes(F.array_contains("certificates", F.lower("us_rating"))),
-        "bm25_rank": F.col("bm25_rank"),
-        "sem_rank": F.col("sem_rank"),
-        "similar_request": F.col("similar_request") & F.col("seed_genres").isNotNull(),
-        "seed_relation": F.when(F.array_contains("seed_similar", F.col("doc")), "similar").when(F.array_contains("seed_recommended", F.col("doc")), "recommended").otherwise(""),
-        "seed_overlap": _yes(F.arrays_overlap("genre_set", "seed_genres")),
-        "constraint_source": F.col("constraint_source"),
-        "quality_request": F.col("wants_quality"),
-        "broad_request": F.col("broad_request"),
-        "needs_backup": F.col("wants_quality") | F.col("broad_request") | F.col("similar_request"),
-        "subgenre_overlap": F.coalesce(F.size(F.array_intersect("keyword_set", "subgenre_keywords")), none),
-        "consensus": F.col("consensus"),
-        "genre_match": F.arrays_overlap("genre_set", "all_genres"),
-        "person_match": F.exists("people", lambda p: F.contains(F.lower("text"), p)),
-        "year_match": F.col("year_n").between(F.col("year.min"), F.col("year.max")),
-        "runtime_match": (F.col("runtime.min").isNotNull() | F.col("runtime.max").isNotNull()) & _yes(F.col("runtime_n") >= F.coalesce("runtime.min", none)) & _yes(F.col("runtime_n") <= F.coalesce("runtime.max", F.lit(10**6))),
-        "avoid_hit": F.arrays_overlap("terms", "avoid_terms"),
+    pool = written(candidates(asked, items, hits, near), "pool")
+    pool = fallback(asked, items, pool)
+    order = [F.desc("score"), F.desc("vote_score"), F.desc("consensus"), F.desc("rating"), F.desc("votes"), F.col("doc")]
+    at = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    first = pool.withColumn("__n", at).filter(F.col("__n") <= POOL)
+    first = first.filter((F.col("__n") <= SECOND_STAGE) | (F.col("has_people") & (F.col("bm25_rank") <= 3))).drop("__n")
+    met = {
+        "genre_match": F.col("asked_genre") | ~F.col("has_genres"),
+        "person_match": F.col("asked_person") | ~F.col("has_people"),
+        "year_match": F.col("asked_year") | ~F.col("has_year") | ~F.col("year_available") | (F.col("constraint_source") == "year"),
+        "runtime_match": F.col("asked_runtime") | ~F.col("has_runtime") | ~F.col("runtime_available") | (F.col("constraint_source") == "runtime"),
+        "seed_match": ~F.col("similar_request") | (F.col("seed_relation") != "") | F.col("seed_overlap"),
     }
-    full = full.withColumns({k: _yes(c) for k, c in names.items() if k.endswith(("_match", "_hit")) or k.startswith("wrong_")})
-    full = full.withColumn("score", F.round(ranking.source_score(names | {k: F.col(k) for k in names if k in full.columns}), 6))
-    order = [F.desc("score"), F.desc("consensus"), F.col("doc")]
-    full = ranking.guarded(full, F.col("year").isNull() | F.col("year_match"), 1, ["request_id"])
-    timed = F.col("runtime.min").isNull() & F.col("runtime.max").isNull()
-    full = ranking.guarded(full, timed | F.col("runtime_match"), 8, ["request_id"])
-    pool = full.withColumn("__n", F.row_number().over(_window("request_id", order))).filter(F.col("__n") <= POOL).drop("__n")
-    return ranking.diversify(pool, "root", ["request_id"], order, k)
-
-
-def _window(by, order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(by).orderBy(*order)
+    top = ranking.diversify(first.withColumns(met), "root", ["request_id"], order, k)
+    return top.join(items.select("doc", "title", "genre_set", "year_n", "runtime_n"), "doc")
 
 
 def recommend(catalogue: DataFrame, requests: DataFrame, **more) -> DataFrame:
-    """One item per request: request_id, doc, title, description, confidence, route, score."""
-    top = shortlist(catalogue, requests, **more).persist()
-    gaps = ranking.score_gaps(top, ["request_id"], [F.col("rank")], "score")
+    """One item per request: request_id, doc, title, description, confidence, route, score and the reasons."""
+    top = written(shortlist(catalogue, requests, **more), "top")
+    gaps = ranking.score_gaps(top, ["request_id"], [F.col("rank")], "score").select("request_id", "top", F.coalesce("gap2", "top").alias("gap1"))
+    routed = selection.confidence(top.filter("rank = 1").join(gaps, "request_id")).select("request_id", "confidence", "route", "convergence", "fulfilment", "specificity", "contradictions")
     best = selection.choose(top, ["request_id"], ~F.col("avoid_hit"), F.coalesce("rating", F.lit(0.0)), F.coalesce("votes", F.lit(0.0)))
-    safe = (F.col("rating") >= 6.4) & (F.col("votes") >= 120) & (F.col("consensus") >= 0.55)
-    clash = F.col("avoid_hit") | (F.col("year").isNotNull() & ~F.col("year_match"))
-    joined = best.join(gaps, "request_id").withColumn("safe", _yes(safe)).withColumn("contradicted", clash)
     said = selection.describe(F.col("title"), F.col("genre_set"), F.col("year_n"), F.col("rating"))
-    return selection.route(joined).select("request_id", "doc", "title", said.alias("description"), "confidence", "route", "score")
+    best = best.select("request_id", "doc", "title", said.alias("description"), "score")
+    return best.join(routed, "request_id").select("request_id", "doc", "title", "description", "confidence", "route", "score", "convergence", "fulfilment", "specificity", "contradictions")

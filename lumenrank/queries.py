@@ -116,13 +116,13 @@ def bm25_batch(spark, d):
 
 
 _COS = """SELECT q.vec_id AS request_id, e.vec_id AS doc, round((list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2, 6) AS s
-FROM embeddings q, embeddings e WHERE q.vec_id < 5 AND e.vec_id <> q.vec_id"""
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id"""
 _DENSE = f"dense AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, doc) AS r FROM ({_COS}) QUALIFY r <= 30)"
 
 
 def _dense(spark, d):
     e = t(spark, d, "embeddings")
-    asked = e.filter("vec_id < 5").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector"))
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("request_id"), F.col("embedding").alias("vector"))
     return dense.search(asked, e.select(F.col("vec_id").alias("doc"), "embedding"), asked.select("request_id", F.col("request_id").alias("doc")))
 
 
@@ -131,13 +131,13 @@ def cosine_topk(spark, d):
     return _dense(spark, d).select("request_id", "doc", "sem_score", "sem_rank")
 
 
-@query(f"""WITH {_INDEX}, q AS (SELECT item_id AS request_id, {_stem_sql('w')} AS term, count(*) AS qtf FROM (SELECT item_id, unnest({_terms_sql('text')}) AS w FROM benchmark WHERE item_id < 5) GROUP BY ALL),
+@query(f"""WITH {_INDEX}, q AS (SELECT item_id AS request_id, {_stem_sql('w')} AS term, count(*) AS qtf FROM (SELECT item_id, unnest({_terms_sql('text')}) AS w FROM benchmark WHERE item_id % 50 = 0) GROUP BY ALL),
 hits AS (WITH {_RANKED}), {_DENSE},
 f AS (SELECT coalesce(h.request_id, e.request_id) AS request_id, coalesce(h.doc, e.doc) AS doc, coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + e.r), 0) AS vote
   FROM hits h FULL JOIN dense e ON h.request_id = e.request_id AND h.doc = e.doc)
 SELECT request_id, doc, round(vote, 6) AS vote, round(vote / max(vote) OVER (PARTITION BY request_id), 6) AS vote_score FROM f""")
 def rrf_fusion(spark, d):
-    asked = t(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("request_id"), "text")
+    asked = t(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("request_id"), "text")
     fused = ranking.fuse(_bm25(spark, d, asked), _dense(spark, d))
     return fused.select("request_id", "doc", F.round("vote", 6).alias("vote"), F.round("vote_score", 6).alias("vote_score"))
 
@@ -293,8 +293,8 @@ def score_gaps(spark, d):
 
 
 _SOURCE = f"""{_QUALITY}, hit AS (SELECT *, row_number() OVER (ORDER BY consensus DESC, p_partkey) AS rank FROM qq),
-s AS (SELECT p_partkey, p_brand, rating, votes, consensus, round(30.0 / (60 + rank) + CASE WHEN p_size % 7 = 0 THEN -5000 ELSE 0 END + CASE WHEN p_type LIKE '%STEEL%' OR p_size > 25 THEN 0.1 ELSE 0 END
-  + CASE WHEN p_size BETWEEN 5 AND 15 THEN 0.08 ELSE 0 END + CASE WHEN p_retailprice > 990 THEN -0.35 ELSE 0 END + 0.12 * least(3, p_size % 5) + CASE WHEN p_size % 5 > 0 THEN 0.18 ELSE 0.25 END * consensus, 6) AS score FROM hit)"""
+s AS (SELECT p_partkey, p_brand, rating, votes, consensus, round(CASE WHEN p_size % 7 = 0 THEN -5000 ELSE 30.0 / (60 + rank) + CASE WHEN p_type LIKE '%STEEL%' OR p_size > 25 THEN 0.1 ELSE 0 END
+  + CASE WHEN p_size BETWEEN 5 AND 15 THEN 0.08 ELSE 0 END + CASE WHEN p_retailprice > 990 THEN -0.35 ELSE 0 END + 0.12 * least(3, p_size % 5) + CASE WHEN p_size % 5 > 0 THEN 0.18 ELSE 0.25 END * consensus END, 6) AS score FROM hit)"""
 
 
 def _scored(spark, d):
@@ -450,6 +450,7 @@ def recommend_requests(spark, d):
     from .plans.recommend import recommend
 
     items = catalogue_of_parts(spark, d)
-    words = [r["title"] for r in items.orderBy("tmdb_id").limit(len(REQUESTS)).select("title").collect()]
-    asked = spark.createDataFrame([(i, f"{w} {x}", [(None, w)] if i % 3 == 0 else []) for i, (x, w) in enumerate(zip(REQUESTS, words))], "request_id int, text string, history array<struct<id:bigint,name:string>>")
-    return recommend(items, asked)
+    told = spark.createDataFrame([(i, x) for i, x in enumerate(REQUESTS)], "request_id int, wish string")
+    asked = told.join(items.select((F.col("tmdb_id") - 1).cast("int").alias("request_id"), "title"), "request_id")
+    past = F.when(F.col("request_id") % 3 == 0, F.array(F.struct(F.lit(None).cast("bigint").alias("id"), F.col("title").alias("name")))).otherwise(F.array().cast("array<struct<id:bigint,name:string>>"))
+    return recommend(items, asked.select("request_id", F.concat_ws(" ", "title", "wish").alias("text"), past.alias("history")))
