@@ -380,6 +380,63 @@ def negation_parse(spark, d):
     return requests(spark).select("request_id", F.array_join(parsing.negations(F.col("text")), "|").alias("phrases"))
 
 
+WISHES = [
+    "a thriller in a modern setting rated above 7.5", "something set in the 1970s, score at least 8", "my sister loves heist movies, and I like slow burn drama", "a period drama for jazz fans",
+    "set in the past with imdb rating over 6", "likes quiet films; loves rain", "over 9 rating, present-day", "rating at least 0", "", "set during 1999 for noir fans and western fans", "higher than 6.5/10 imdb score", "he likes  old   trains.",
+]
+_WISHES = "wishes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(WISHES)) + ") v(request_id, text))"
+
+
+def wishes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, x) for i, x in enumerate(WISHES)], "request_id int, text string")
+
+
+@query(f"""WITH {_WISHES} SELECT request_id, CASE WHEN regexp_matches(lower(text), '{V.MODERN}') THEN 'contemporary setting' WHEN regexp_matches(lower(text), '{V.PAST}') THEN 'historical setting'
+WHEN regexp_matches(lower(text), '{V.ERA}') THEN 'set in ' || regexp_extract(lower(text), '{V.ERA}', 1) ELSE '' END AS setting FROM wishes""")
+def setting_parse(spark, d):
+    return wishes(spark).select("request_id", parsing.setting_period(F.col("text")).alias("setting"))
+
+
+@query(f"""WITH {_WISHES}, x AS (SELECT request_id, coalesce(TRY_CAST(nullif(regexp_extract(lower(text), '{V.MIN_RATING}', 1), '') AS DOUBLE), TRY_CAST(nullif(regexp_extract(lower(text), '{V.MIN_RATING}', 2), '') AS DOUBLE)) AS n FROM wishes)
+SELECT request_id, CASE WHEN n > 0 AND n <= 10 THEN n END AS min_rating FROM x""")
+def rating_parse(spark, d):
+    return wishes(spark).select("request_id", parsing.min_rating(F.col("text")).alias("min_rating"))
+
+
+@query(rf"""WITH {_WISHES}, f AS (SELECT request_id, unnest(list_concat(regexp_extract_all(lower(text), '{V.LIKES}', 1), regexp_extract_all(lower(text), '{V.FANS}', 1))) AS p FROM wishes),
+g AS (SELECT request_id, trim(regexp_replace(p, '\s+', ' ', 'g')) AS p FROM f) SELECT DISTINCT request_id, p AS phrase FROM g WHERE p <> ''""")
+def affinity_parse(spark, d):
+    return wishes(spark).select("request_id", F.explode(parsing.affinity_phrases(F.col("text"))).alias("phrase"))
+
+
+_NAMED = """dict AS (SELECT DISTINCT lower(p_brand) AS name FROM part UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT DISTINCT split_part(lower(p_name), ' ', 1) FROM part),
+said AS (SELECT p_partkey AS request_id, 'a ' || p_name || ' like ' || p_brand || ', but ' || p_type AS text FROM part)"""
+
+
+@query(f"""WITH {_NAMED}, hits AS (SELECT request_id, name FROM said JOIN dict ON regexp_matches(' ' || lower(text) || ' ', '[^a-z0-9]' || name || '[^a-z0-9]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY length(name) DESC, name) AS n FROM hits) SELECT request_id, string_agg(name, '|' ORDER BY n) AS names FROM r WHERE n <= 6 GROUP BY request_id""")
+def person_signals(spark, d):
+    """Names of a dictionary in request texts, longest first, by an equality join on runs of words."""
+    p = t(spark, d, "part")
+    names = p.select(F.explode(F.array("p_brand", "p_type", F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("name"))
+    said = p.select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("a "), "p_name", F.lit(" like "), "p_brand", F.lit(", but "), "p_type").alias("text"))
+    return parsing.named_from(said, names, 6).select("request_id", F.array_join("names", "|").alias("names"))
+
+
+@query("""WITH liked AS (SELECT DISTINCT lower(p_name) AS liked FROM part), met AS (SELECT liked, p_partkey, lower(p_type) AS genre, lower(p_brand) AS keyword, row_number() OVER (PARTITION BY liked ORDER BY p_partkey) AS n
+  FROM liked JOIN part ON contains(lower(p_name) || ' ' || lower(p_type), liked)),
+terms AS (SELECT liked, unnest(list_concat(list_distinct(regexp_extract_all(genre, '[a-z0-9'']+')), [])) AS term, 3 AS w FROM met WHERE n <= 40 UNION ALL
+  SELECT liked, unnest(list_distinct(regexp_extract_all(keyword, '[a-z0-9'']+'))), 1 FROM met WHERE n <= 40),
+r AS (SELECT liked, term, row_number() OVER (PARTITION BY liked ORDER BY sum(w) DESC, term) AS n FROM (SELECT liked, STEM AS term, w FROM terms) GROUP BY liked, term)
+SELECT liked AS request_id, string_agg(term, '|' ORDER BY term) AS terms FROM r WHERE n <= 8 GROUP BY liked""".replace("STEM", _stem_sql("term")))
+def affinity_terms(spark, d):
+    """What the items behind a liked phrase have in common; each part name is a liked phrase."""
+    p = t(spark, d, "part")
+    items = p.select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("blob"), F.array(F.lower("p_type")).alias("genre_set"), F.array(F.lower("p_brand")).alias("keyword_set"))
+    asked = p.select(F.lower("p_name").alias("request_id")).distinct().select("request_id", F.array("request_id").alias("affinity_phrases"), F.array().cast("array<string>").alias("avoid_terms"))
+    return parsing.affinity_terms(asked, items).select("request_id", F.array_join("affinity_terms", "|").alias("terms"))
+
+
 @query(f"""SELECT conv_id, turn, regexp_matches(lower(text), '{V.QUALITY}') AS wants_quality, regexp_matches(lower(text), '{V.SIMILAR}') AS similar_request, regexp_matches(lower(text), '{V.FUZZY}') AS fuzzy FROM conversations""")
 def request_profile(spark, d):
     return parsing.profile(t(spark, d, "conversations")).select("conv_id", "turn", "wants_quality", "similar_request", "fuzzy")
