@@ -45,7 +45,7 @@ def csv_set(c: Column) -> Column:
 
 
 def csv_head(c: Column, n: int) -> Column:
-    return F.array_join(F.slice(F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != ""), 1, n), ", ")
+    return F.array_join(F.slice(F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != ""), 1, n), ", ")
 
 
 def title_root(c: Column) -> Column:

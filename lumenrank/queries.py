@@ -11,7 +11,7 @@ from .functions import numbers as N
 from .functions import text as T
 from .functions import values as V
 from .functions.json_object import extract_object
-from .operators import dense, index, lexical, parsing, quality, ranking, selection
+from .operators import answers, dense, evaluation, index, lexical, parsing, prompts, quality, ranking, selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -488,6 +488,43 @@ def brace_scan(spark, d):
 del SQL["brace_scan"]  # a brace scan has no SQL form
 
 
+_TOP5 = "top AS (SELECT p_brand AS request_id, p_partkey AS doc, p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 5)"
+
+
+def _top5(spark, d):
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey"))
+    return t(spark, d, "part").withColumn("rank", n).filter("rank <= 5").select(F.col("p_brand").alias("request_id"), F.col("p_partkey").alias("doc"), F.col("p_name").alias("title"), "rank")
+
+
+@query(f"""WITH {_TOP5}, said AS (SELECT request_id, arg_max(doc, rank) AS last_doc, arg_min(title, rank) AS first_title, hash_key FROM (SELECT *, TRY_CAST(right(request_id, 1) AS INT) % 4 AS hash_key FROM top) GROUP BY request_id, hash_key),
+m AS (SELECT s.request_id, hash_key, last_doc, max(doc) FILTER (doc = last_doc) AS by_id, arg_max(doc, rank) FILTER (lower(title) = lower(first_title)) AS by_title, count(*) FILTER (lower(title) = lower(first_title)) AS mentions FROM said s JOIN top t ON s.request_id = t.request_id GROUP BY ALL)
+SELECT request_id, CASE hash_key WHEN 0 THEN by_id WHEN 1 THEN by_title WHEN 2 THEN CASE WHEN mentions = 1 THEN by_title END END AS doc,
+CASE hash_key WHEN 0 THEN 'id' WHEN 1 THEN 'title' WHEN 2 THEN CASE WHEN mentions = 1 THEN 'mention' ELSE 'none' END ELSE 'none' END AS how FROM m""")
+def answer_resolve(spark, d):
+    """Answers by id, by title, by mention and without use, to rows of their shortlists."""
+    top = _top5(spark, d)
+    told = top.groupBy("request_id").agg(F.max_by("doc", "rank").alias("doc"), F.min_by("title", "rank").alias("title"))
+    way = F.right("request_id", F.lit(1)).try_cast("int") % 4
+    text = F.when(way == 0, F.concat(F.lit('Sure: {"tmdb_id": "'), F.col("doc").cast("string"), F.lit('"}'))).when(way == 1, F.concat(F.lit('```json\n{"tmdb_id": 0, "movie": "'), "title", F.lit('"}\n```'))).when(way == 2, F.concat(F.lit('{"description": "See '), "title", F.lit('!"}'))).otherwise("no idea {")
+    return answers.resolve(told.select("request_id", text.alias("answer")), top)
+
+
+@query("""WITH x AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations),
+y AS (SELECT *, TRY_CAST(nullif(regexp_extract(t, '\\b(19[5-9]0|20[0-2]0)s\\b', 1), '') AS INT) AS a, TRY_CAST(nullif(regexp_extract(t, '\\b([5-9]0)s\\b', 1), '') AS INT) + 1900 AS b, TRY_CAST(nullif(regexp_extract(t, '\\bafter\\s+(19\\d\\d|20\\d\\d)\\b', 1), '') AS INT) AS c,
+TRY_CAST(nullif(regexp_extract(t, '\\bbefore\\s+(19\\d\\d|20\\d\\d)\\b', 1), '') AS INT) AS e, TRY_CAST(nullif(regexp_extract(t, '\\b(?:from|released in|in)\\s+(19\\d\\d|20\\d\\d)\\b', 1), '') AS INT) AS f FROM x)
+SELECT conv_id, turn, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL THEN b WHEN c IS NOT NULL THEN c + 1 WHEN e IS NOT NULL THEN 1900 WHEN f IS NOT NULL THEN f WHEN contains(t, 'recent') OR contains(t, 'new') THEN 2020 WHEN contains(t, 'classic') OR contains(t, 'old') THEN 1900 END AS year_min,
+CASE WHEN a IS NOT NULL THEN a + 9 WHEN b IS NOT NULL THEN b + 9 WHEN c IS NOT NULL THEN 2030 WHEN e IS NOT NULL THEN e - 1 WHEN f IS NOT NULL THEN f WHEN contains(t, 'recent') OR contains(t, 'new') THEN 2030 WHEN contains(t, 'classic') OR contains(t, 'old') THEN 2000 END AS year_max FROM y""")
+def eval_years(spark, d):
+    span = evaluation.asked_years(F.col("text"))
+    return t(spark, d, "conversations").select("conv_id", "turn", span.alias("y")).select("conv_id", "turn", F.col("y.min").alias("year_min"), F.col("y.max").alias("year_max"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_retailprice / 120 >= 8 AND p_size * 4000 >= 100000 THEN 'very strong' WHEN p_retailprice / 120 >= 7.2 AND p_size * 4000 >= 25000 THEN 'strong'
+WHEN p_retailprice / 120 >= 6.2 AND p_size * 4000 >= 1000 THEN 'acceptable' ELSE 'limited' END AS signal FROM part""")
+def quality_label(spark, d):
+    return t(spark, d, "part").select("p_partkey", prompts.quality_signal(F.col("p_retailprice") / 120, F.col("p_size") * 4000.0).alias("signal"))
+
+
 def catalogue_of_parts(spark, d) -> DataFrame:
     """The part table in the catalogue's shape."""
     from .sources.catalogue import ensure_columns
