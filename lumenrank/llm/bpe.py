@@ -47,7 +47,7 @@ SLICE = 256
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: Distinct units that a worker remembers.
-UNITS = 700_000
+UNITS = 300_000
 #: Letters that the tokenizer keeps together, whose lower case is one letter each.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
