@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, ship
+from .common import cut, fresh_name, ship, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -185,24 +185,43 @@ def decide(docs: DataFrame, width: int = 5, max_bits: int = 4, bucket: int = BUC
     return rows.join(placed.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def _one_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame, by: str, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that head their group: least id, nulls last, then least text hash.
+
+    ``rows``: doc_id, mark and the column ``by``; ``roots`` (node, root) has a row for
+    each value of ``by`` that has a link. Groups are told apart by their root, never by an id.
+    """
+    head, mark = fresh_name("head"), fresh_name("mark")
+    placed = rows.join(roots, rows[by] == roots["node"], "left").select("doc_id", "mark", F.coalesce("root", by).alias("root"))
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")).alias("h"))
+    heads = cut(first.select(F.col("h.doc_id").alias(head), F.col("h.mark").alias(mark)))
+    marked = docs.select("*", mark_of(text_col).alias("mark_" + mark))
+    mine = (F.col("mark_" + mark) == heads[mark]) & marked[f"`{id_col}`"].eqNullSafe(heads[head])
+    stay = marked.join(heads, mine, "left_semi")
+    repeated = rows.groupBy("doc_id", "mark").count().filter("count > 1").select(F.col("doc_id").alias(head), F.col("mark").alias(mark))
+    repeated = cut(repeated)
+    if not repeated.take(1):
+        return stay.drop("mark_" + mark)
+    again = (F.col("mark_" + mark) == repeated[mark]) & marked[f"`{id_col}`"].eqNullSafe(repeated[head])
+    once = stay.join(repeated, again, "left_semi").dropDuplicates([id_col, "mark_" + mark])
+    return stay.join(repeated, again, "left_anti").unionByName(once).drop("mark_" + mark)
+
+
+def mark_of(text_col: str) -> Column:
+    """A 64-bit hash of the whole text, which tells rows with one id apart."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def deduplicate(docs: DataFrame, width: int = 5, max_bits: int = 4, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, the one with the least id; all columns stay.
 
-    Ids that several rows share are told apart by fingerprint, and of rows that
-    share both, one is kept.
+    Rows without an id head a group only if no row of it has one. Rows that share an
+    id are told apart by their texts, and of rows that share both, one is kept.
     """
-    head, mark = fresh_name("head"), fresh_name("fp")
-    heads = decide(docs, width, max_bits, bucket, id_col, text_col)
-    heads = cut(heads.filter("doc_id <=> component_id").groupBy(F.col("component_id").alias(head)).agg(F.min("fp").alias(mark), F.count("*").alias("n")))
-    mine = docs[f"`{id_col}`"].eqNullSafe(heads[head])
-    plain = docs.join(heads.filter("n = 1"), mine, "left_semi")
-    shared = heads.filter("n > 1")
-    unsure = docs.join(shared, mine, "left_semi")
-    if shared.take(1):
-        picked = unsure.withColumn(mark, fingerprint(F.col(text_col), width))
-        picked = picked.join(shared.select(head, F.col(mark).alias("fp")), picked[f"`{id_col}`"].eqNullSafe(F.col(head)) & (picked[mark] == F.col("fp")), "left_semi")
-        plain = plain.unionByName(picked.dropDuplicates([id_col, mark]).drop(mark))
-    return plain
+    ship(docs.sparkSession)
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), mark_of(text_col).alias("mark"), fingerprint(F.col(text_col), width).alias("fp")))
+    roots = connected_components(links_of(rows.select("fp").distinct(), max_bits, bucket))
+    return _one_of_each(docs, rows, roots, "fp", id_col, text_col)
 
 
 def hex_of(fp: Column) -> Column:

@@ -65,6 +65,14 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert len([r for r in stay if r.doc_id is not None]) == len({g for g in groups if g is not None})
 
 
+def test_simhash_groups_are_not_told_apart_by_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(4)), (None, text(5)), (9, text(6)), (9, text(6)), (None, text(3))]
+    stay = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, text(k)) for k in (1, 2, 3)] + [(7, text(4)), (7, text(5)), (9, text(6))]
+    assert sorted(map(repr, map(tuple, stay))) == sorted(map(repr, want))
+
+
 def test_pages(pages):
     got = url_filter.judge(pages).collect()
     assert len(got) == pages.count()
