@@ -25,8 +25,8 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose SimHash fingerprints are linked, the one with the least doc_id stays."""
-    return simhash.deduplicate(docs, width=4, max_bits=4)
+    """Of documents linked by 5-word shingle sets of similarity 0.8 or more, the one with the least doc_id stays."""
+    return simhash.deduplicate_similar(docs, width=5, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

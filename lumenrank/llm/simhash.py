@@ -37,18 +37,28 @@ from .components import connected_components
 SEED = 42
 #: Fingerprints of one key that a task compares at once; larger buckets go to block pairs.
 BUCKET = 1024
+#: Min-hash keys of a text and minima in each: of pairs with similarity 0.8, (1 - 0.8**6)**25 = 0.05 % share none.
+BANDS, BAND_ROWS = 25, 6
+_ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
+_ODD |= np.uint64(1)
 
 
-def fingerprint_of(text: str | None, width: int) -> int:
-    """The fingerprint as a signed 64-bit integer."""
+def hashes_of(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z, and \x20 \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     take = min(width, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1])).tolist()
     whole, stops, digest = b" ".join(words), (ends - 1).tolist()[take - 1 :], xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes as a signed 64-bit integer."""
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -56,6 +66,10 @@ def fingerprint_of(text: str | None, width: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint_of(text: str | None, width: int) -> int:
+    return bits_of(hashes_of(text, width))
+
+
 def fingerprint(text: Column, width: int) -> Column:
     @F.pandas_udf("long")
     def compute(texts: pd.Series) -> pd.Series:
@@ -224,5 +238,79 @@ def deduplicate(docs: DataFrame, width: int = 5, max_bits: int = 4, bucket: int
     return _one_of_each(docs, rows, roots, "fp", id_col, text_col)
 
 
+def bands_of(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys: each a hash of ``BAND_ROWS`` minima of the shingle hashes under fixed random maps."""
+    if not len(hashes):
+        return np.arange(BANDS, dtype=np.int64)
+    least = np.full((BANDS * BAND_ROWS, 1), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        least = np.minimum(least, (hashes[at : at + 512] * _ODD + _ADD).min(axis=1, keepdims=True))
+    rows = np.ascontiguousarray(least.reshape(BANDS, BAND_ROWS))
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], dtype=np.uint64).view(np.int64)
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of distinct hashes; empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Of ``pairs`` (u, v) of marks, those whose texts (mark, text) have at least this similarity."""
+
+    @F.pandas_udf("boolean")
+    def alike(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similarity_of(np.unique(hashes_of(a, width)), np.unique(hashes_of(b, width))) >= similarity for a, b in zip(left, right)], dtype="bool")
+
+    side = lambda end: texts.select(F.col("mark").alias(end), F.col("text").alias(f"text_{end}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v")
+    return cut(met.filter(alike("text_u", "text_v")).select("u", "v"))
+
+
+def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 4, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Like ``deduplicate``, but texts are linked if their ``width``-word shingle sets have this Jaccard similarity.
+
+    Candidates are the links of SimHash fingerprints and texts that share one of
+    ``BANDS`` min-hash keys, for at similarity 0.8 two fingerprints differ in some
+    ten of 64 bits, which no few segments of them can find. All candidates are
+    verified exactly. First the texts of each key are held against its least one;
+    then, in keys whose texts aren't one component yet, each against those of other
+    components. So every pair of a key is verified or within one component, and a
+    large group of near copies costs a star for each key.
+    """
+    ship(docs.sparkSession)
+
+    @F.pandas_udf("fp long, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        got = [(bits_of(h), bands_of(np.unique(h))) for h in (hashes_of(t, width) for t in texts)]
+        return pd.DataFrame({"fp": pd.Series([x[0] for x in got], dtype="int64"), "bands": pd.Series([x[1] for x in got], dtype="object")})
+
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), mark_of(text_col).alias("mark"), sketch(text_col).alias("s")).select("doc_id", "mark", "s.fp", "s.bands"))
+    nodes = rows.groupBy("mark").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    reps = cut(nodes.groupBy("fp").agg(F.min("mark").alias("rep"), F.count("*").alias("n")))
+    keyed = cut(nodes.select(F.explode("bands").alias("key"), "mark"))
+    least = cut(keyed.groupBy("key").agg(F.min("mark").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"))
+    shared = cut(keyed.join(least, "key"))
+    # Links of fingerprints and texts with one fingerprint are candidates as well.
+    same = nodes.select("fp", "mark").join(reps.filter("n > 1").select("fp", "rep"), "fp").select(F.col("mark").alias("u"), F.col("rep").alias("v"))
+    near = links_of(reps.select("fp"), max_bits, bucket)
+    end = lambda a, b: reps.select(F.col("fp").alias(a), F.col("rep").alias(b))
+    near = near.join(end("u", "ru"), "u").join(end("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    pairs = shared.select(F.col("mark").alias("u"), F.col("first").alias("v")).unionByName(same).unionByName(near)
+    pairs = cut(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    wanted = shared.select("mark").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("mark"))).distinct()
+    texts = docs.select(mark_of(text_col).alias("mark"), text_or_empty(text_col).alias("text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    links = _alike(pairs, texts, width, similarity)
+    parts = connected_components(links)
+    placed = cut(shared.join(parts, shared["mark"] == parts["node"], "left").select("key", "mark", F.coalesce("root", "mark").alias("root")))
+    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
+    open_ = cut(placed.join(split, "key", "left_semi"))
+    left, right = (open_.select("key", F.col("mark").alias(m), F.col("root").alias(r)) for m, r in (("v", "rv"), ("u", "ru")))
+    more = left.join(right, "key").filter("v < u and rv <> ru").select("u", "v").distinct()
+    more = cut(more.join(pairs, ["u", "v"], "left_anti"))
+    roots = connected_components(links.unionByName(_alike(more, texts, width, similarity))) if more.take(1) else parts
+    return _one_of_each(docs, rows, roots, "mark", id_col, text_col)
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,32 @@ def test_simhash_groups_are_not_told_apart_by_ids(spark):
     assert sorted(map(repr, map(tuple, stay))) == sorted(map(repr, want))
 
 
+def test_near_copies_of_similarity_above_the_bound_go(spark):
+    """Against brute force: word changes that leave a Jaccard similarity around 0.8."""
+    rng, rows = random.Random(5), [(None, None), (None, ""), (900, "two words"), (901, "TWO words"), (None, "two words")]
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        for c in range(3):
+            copy = list(words)
+            for i in rng.sample(range(150), c * rng.randrange(1, 4)):
+                copy[i] = f"x{rng.randrange(10**6)}"
+            rows.append((3 * k + c if k % 7 else None, " ".join(copy)))
+    sets = [frozenset(zip(*[(t or "").lower().split()[i:] for i in range(min(5, len((t or "").split())))])) for _, t in rows]
+    root, linked = list(range(len(rows))), 0
+    for _ in range(4):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if (not a and not b) or (a | b and len(a & b) >= 0.8 * len(a | b)):
+                    root[i] = root[j] = min(root[i], root[j])
+                    linked += 1
+    heads = {}
+    for (ident, _), r in zip(rows, root):
+        heads.setdefault(r, []).append((ident is None, ident))
+    stay = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert linked > 100 and len(heads) > 60
+    assert sorted(((r.doc_id is None, r.doc_id) for r in stay), key=repr) == sorted((min(h, key=lambda x: (x[0], x[1] or 0)) for h in heads.values()), key=repr)
+
+
 def test_pages(pages):
     got = url_filter.judge(pages).collect()
     assert len(got) == pages.count()
