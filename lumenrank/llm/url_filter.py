@@ -6,7 +6,10 @@ subdomains if the URL's path starts with the prefix, and the longest one wins.
 Propagation. URLs without a rule are judged by their host. Hosts of pages that a
 rule allows are trusted seeds and hosts of blocked ones distrusted seeds, each by
 the share of its pages. Trust runs along host edges (personalised PageRank),
-distrust against them, since linking to a bad host is what marks a host. A host
+distrust against them, since linking to a bad host is what marks a host. Trust
+is split over a host's out-links; distrust isn't split over the hosts that link
+to a bad one, which would shrink it with their number: a host takes over the
+mean distrust of its own out-links, so a farm's size doesn't matter. A host
 is blocked if its distrust reaches ``FLOOR`` and its part of both exceeds
 ``SHARE``. Edges are host pairs with a count, taken from absolute links.
 
@@ -37,9 +40,10 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 DAMPING = 0.85
-ROUNDS = 30
 TOLERANCE = 1e-6
-#: A seed that is all bad has distrust 1 - DAMPING by itself; half of that is the floor.
+#: A bound only: DAMPING**200 is 8e-15, so TOLERANCE is reached before it even where a hundred million seeds lead to one host.
+ROUNDS = 200
+#: A seed that is all bad has distrust 1 - DAMPING by itself; half of that is the floor, up to four links away if all links lead there.
 FLOOR = 0.075
 SHARE = 0.5
 BROADCAST_HOSTS = 100_000
@@ -70,12 +74,16 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select("src", host_of(F.col("link")).alias("dst")).filter("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score): personalised PageRank from ``seeds`` (host, seed) along ``edges`` (src, dst, n)."""
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, back: bool = False) -> DataFrame:
+    """(host, score) from ``seeds`` (host, seed) over ``edges`` (src, dst, n), each weighed by its share of src's links.
+
+    Personalised PageRank along the edges; with ``back``, against them.
+    """
     start = cut(seeds.select("host", ((1 - damping) * F.col("seed")).alias("base")))
     now = start.select("host", F.col("base").alias("score"))
     out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    steps = cut(edges.join(out, "src").select("src", "dst", (damping * F.col("n") / F.col("total")).alias("w")))
+    ends = (F.col("dst").alias("src"), F.col("src").alias("dst")) if back else (F.col("src"), F.col("dst"))
+    steps = cut(edges.join(out, "src").select(*ends, (damping * F.col("n") / F.col("total")).alias("w")))
     if not steps.take(1):
         return now
     for _ in range(rounds):
@@ -97,9 +105,8 @@ def judge_hosts(pages: DataFrame, rules=RULES, floor: float = FLOOR, share: floa
     part = lambda v: F.avg(F.when(F.col("verdict") == v, 1.0).otherwise(0.0))
     hosts = cut(ruled.groupBy("host").agg(part("allow").alias("good"), part("block").alias("bad")))
     edges = cut(host_edges(pages))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     trust = propagate(hosts.filter("good > 0").select("host", F.col("good").alias("seed")), edges)
-    distrust = propagate(hosts.filter("bad > 0").select("host", F.col("bad").alias("seed")), back)
+    distrust = propagate(hosts.filter("bad > 0").select("host", F.col("bad").alias("seed")), edges, back=True)
     both = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scored = both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     bad = (F.col("distrust") >= floor) & (F.col("distrust") > share * (F.col("trust") + F.col("distrust")))

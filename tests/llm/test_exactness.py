@@ -131,6 +131,18 @@ def test_url_propagation(spark):
     assert got == {1: ("net/es/", "block"), 2: (None, "block"), 3: ("com/", "allow"), 4: (None, "allow"), 5: ("www.example.com/en/", "allow"), 6: ("example.com/en/", "block")}
 
 
+@pytest.mark.parametrize("farm", [2, 10, 1000])
+def test_url_farms_of_any_size(spark, farm):
+    link = lambda h: f'<a href="http://{h}/">x</a>'
+    pages = [("http://bad.net/es/1", ""), ("http://good.com/a", link("fine.org") + link("bad.net"))]
+    pages += [(f"http://farm{i}.org/", link("bad.net")) for i in range(farm)]
+    pages += [(f"http://two{i}.org/", link(f"farm{i % farm}.org")) for i in range(2 * farm)]
+    pages += [("http://fine.org/", ""), ("http://mixed.org/", link("bad.net") + "".join(link(f"other{i}.org") for i in range(9)))]
+    got = {r.host: r.verdict for r in url_filter.judge(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id int, url string, html string")).collect()}
+    assert {v for h, v in got.items() if h.startswith(("farm", "two"))} == {"block"}
+    assert got["fine.org"] == got["mixed.org"] == got["good.com"] == "allow"
+
+
 def test_held_out_quality(spark):
     sf = "/root/testdata/sf0.01"
     langs = queries.op9_langid(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
