@@ -114,6 +114,17 @@ def test_toxicity_restores():
     assert "idiot" in toxicity.tokens_of("you i d i o t now")
 
 
+SPACED_PHRASES = ["you i d i o t.", "such a c l o w n, go", "are a i d i o t now", "y o u i d i o t", "you i  d  i\n o t now", "I a m a c l o w n!", "(1 d 1 0 t)", "a g i t"]
+
+
+@pytest.mark.parametrize("text", SPACED_PHRASES)
+def test_toxicity_spacing(text):
+    words = [("idiot", 50.0), ("clown", 50.0), ("git", 50.0), ("you", 500.0), ("a", 400.0), ("i", 400.0), ("are", 300.0), ("am", 300.0), ("such", 100.0), ("now", 100.0), ("the", 900.0), ("tion", 80.0)]
+    model = toxicity.Model({"idiot": 0.95, "clown": 0.95, "git": 0.95}, toxicity.CharModel(words))
+    assert model.score(text) > 0.9
+    assert model.score("a b c d e f g, x y z") < 0.1 and model.score("you are a i now") < 0.1
+
+
 def test_html():
     page = """<html><head><title>no</title></head><body><nav><a href=/>Home</a></nav><div class="cookie notice">We use cookies</div>
     <header>Site</header><article><h1>A &amp; B</h1><p>one <b>t</b>wo&nbsp;three<br>four<aside>ad</aside><p>five</p><script>x("</p>")</script>
