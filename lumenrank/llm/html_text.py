@@ -7,9 +7,8 @@ weighs its characters outside links; lines that the page itself marks as article
 or paragraph weigh at least a share of the threshold. Weights are summed over
 sliding windows of ``WINDOW`` lines; a surge is where the sum reaches
 ``THRESHOLD``, a dive is where it falls below again, and the text between each
-surge and its dive is kept, as long as that region is not small beside the
-largest one. Where a page has an article or main element, lines outside weigh
-nothing, so surge and dive fall on its borders.
+surge and its dive is kept. Where a page has an article or main element with text,
+lines outside weigh nothing, so surge and dive fall on its borders.
 
 One pass over the pages without a shuffle. Entities are decoded as HTML does; runs
 of white space become one space; lines join by one space.
@@ -32,8 +31,6 @@ from .common import ship, text_or_empty
 
 WINDOW = 3
 THRESHOLD = 80
-#: A region of less than this share of the largest one's weight is left out.
-LEAST_REGION = 0.2
 BONUS = {"p": 40, "pre": 40, "blockquote": 40, "h1": 30, "h2": 30, "h3": 30, "h4": 30, "h5": 30, "h6": 30, "li": 10, "td": 10}
 
 # HTML's own element names by kind.
@@ -99,9 +96,8 @@ def _end_of(html: str, name: str, at: int) -> int | None:
     return None
 
 
-def lines_of(html: str) -> list[Line]:
-    """The blocks of a page in order; excluded elements are empty lines."""
-    has_main = MAIN.search(html) is not None
+def lines_of(html: str, has_main: bool) -> list[Line]:
+    """The blocks of a page in order; excluded elements are empty lines. ``has_main``: only article and main elements are inside."""
     lines, at, link, depth = [Line(not has_main, 0)], 0, 0, 0
     cache: dict[tuple[str, str], bool | str] = {}
 
@@ -183,9 +179,13 @@ def regions(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD
 def extract_text(html: str | None) -> str:
     if not html:
         return ""
-    lines = lines_of(html)
-    texts = [" ".join(entities.unescape("".join(x.parts)).split()) for x in lines]
     has_main = MAIN.search(html) is not None
+    lines = lines_of(html, has_main)
+    texts = [" ".join(entities.unescape("".join(x.parts)).split()) for x in lines]
+    if has_main and not any(t and x.inside for t, x in zip(texts, lines)):
+        # The mark stands in a script, a comment or an excluded element, or holds no text.
+        has_main, lines = False, lines_of(html, False)
+        texts = [" ".join(entities.unescape("".join(x.parts)).split()) for x in lines]
     weights = []
     for x, text in zip(lines, texts):
         if not text or not x.inside:
@@ -200,9 +200,7 @@ def extract_text(html: str | None) -> str:
         return " ".join([t for t, w in zip(texts, weights) if w])
     # A centred window reaches one line too far on either side of a border.
     found = [(a + next(i for i, w in enumerate(weights[a:b]) if w), b - next(i for i, w in enumerate(weights[a:b][::-1]) if w)) for a, b in found if any(weights[a:b])]
-    mass = [sum(weights[a:b]) for a, b in found]
-    kept = [r for r, w in zip(found, mass) if has_main or w >= LEAST_REGION * max(mass)]
-    return " ".join([texts[i] for a, b in kept for i in range(a, b) if texts[i] and lines[i].inside])
+    return " ".join([texts[i] for a, b in found for i in range(a, b) if texts[i] and lines[i].inside])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

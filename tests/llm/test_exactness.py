@@ -135,6 +135,16 @@ def test_html():
     assert html_text.extract_text("<p>cut &amp; off<b") == "cut & off" and html_text.extract_text(None) == ""
 
 
+def test_html_marks_without_text_and_small_regions():
+    body = "<p>" + "long words here " * 20 + "</p>"
+    want = ("long words here " * 20).strip()
+    for mark in ("<script>'<article>'</script>", "<!-- <main> -->", "<section class=comments><article><p>nice</p></article></section>", "<article></article>"):
+        assert html_text.extract_text(body + mark) == want, mark
+    gap = "<div><a href=1>x</a></div>" * 8
+    long = "long words here " * 200
+    assert html_text.extract_text(f"<p>{long}</p>{gap}<p>{'second part ' * 9}</p>") == f"{long}{'second part ' * 9}".strip()
+
+
 def test_url_propagation(spark):
     link = lambda h: f'<a href="http://{h}/">x</a>'
     pages = [(1, "http://bad.net/es/1", ""), (2, "http://farm.org/", link("bad.net") * 3), (3, "http://good.com/a", link("fine.org")), (4, "http://fine.org/", ""), (5, "http://www.example.com/en/", ""), (6, "http://sub.example.com/en/1", "")]
