@@ -37,6 +37,10 @@ from .components import connected_components
 SEED = 42
 #: Fingerprints of one key that a task compares at once; larger buckets go to block pairs.
 BUCKET = 1024
+#: Verified pairs that a task holds before it folds them into components.
+PAIRS = 1 << 16
+#: Fingerprints that one task turns into index rows (64 each), and about as many whose rows one task compares.
+PART = 8192
 #: Min-hash keys of a text and minima in each: of pairs with similarity 0.8, (1 - 0.8**6)**25 = 0.05 % share none.
 BANDS, BAND_ROWS = 25, 6
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
@@ -96,28 +100,43 @@ def variant_keys(fp: Column, max_bits: int) -> Column:
     return F.array(*keys)
 
 
+def _contracted(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels of the components that links (a, b) and the links behind ``label`` make together."""
+    while True:
+        before = label
+        low = np.minimum(label[a], label[b])
+        label = label.copy()
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def _stars(key: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, root) that join the verified components in each run of equal keys."""
+    """Links (node, root) that join the verified components in each run of equal keys.
+
+    Verified pairs are folded into labels every ``PAIRS`` of them, so memory follows
+    the rows and not their pairs, of which near copies have a square number.
+    """
     n = len(key)
-    left, right = [], []
+    label = np.arange(n)
+    left, right, held = [], [], 0
     first, step = np.arange(n - 1), 1
     while len(first):
         first = first[first + step < n]
         first = first[key[first] == key[first + step]]
-        near = first[np.bitwise_count((fp[first] ^ fp[first + step]).view(np.uint64)) <= max_bits]  # signed counts take absolute values
+        far = first[label[first] != label[first + step]]
+        near = far[np.bitwise_count((fp[far] ^ fp[far + step]).view(np.uint64)) <= max_bits]  # signed counts take absolute values
         left.append(near)
         right.append(near + step)
+        held += len(near)
+        if held >= PAIRS:
+            label = _contracted(label, np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
         step += 1
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    label = np.arange(n)
-    while len(a):
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
+    if held:
+        label = _contracted(label, np.concatenate(left), np.concatenate(right))
     moved = np.nonzero(label != np.arange(n))[0]
     return fp[moved], fp[label[moved]]
 
@@ -171,9 +190,11 @@ def _meet(max_bits: int, most: int | None):
 
 def links_of(fps: DataFrame, max_bits: int, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of ``fps`` within ``max_bits`` bits."""
-    keyed = fps.select(F.explode(variant_keys(F.col("fp"), max_bits)).alias("key"), "fp")
+    parts = -(-fps.count() // PART) + 1
+    # A number of its own for both shuffles: sizes on disk would put all of these short rows in a few tasks.
+    keyed = fps.repartition(parts, "fp").select(F.explode(variant_keys(F.col("fp"), max_bits)).alias("key"), "fp")
     schema = "u long, v long, key long"
-    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(max_bits, bucket), schema))
+    met = cut(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_meet(max_bits, bucket), schema))
     links, hot = met.filter("key is null").select("u", "v"), met.filter("key is not null").select("key", F.col("u").alias("fp"))
     sizes = cut(hot.groupBy("key").agg(F.ceil(F.count("*") / bucket).cast("int").alias("blocks")))
     if not sizes.take(1):
