@@ -8,15 +8,30 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def _stars(links: DataFrame) -> DataFrame:
+#: A node with more than one of this many links is a hub. There are at most twice as many hubs, whatever the input.
+HUBS = 1000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
+    """``rows`` (u, v) with the least neighbour m of u, from ``least`` (u, m, n).
+
+    Hubs, with over ``most`` links of their own, are broadcast, so that no task gets
+    all links of one; the other nodes meet by a shuffle.
+    """
+    hubs = least.filter(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
+    marked = rows.join(F.broadcast(hubs), "u", "left")
+    rest = marked.filter("hub_m is null").drop("hub_m").join(least.filter(F.col("n") <= most).select("u", "m"), "u")
+    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+
+
+def _stars(links: DataFrame, most: int) -> DataFrame:
     """Large-star, then small-star, over links (u, v) with u > v."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    large = large.filter("u > v").distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u")
-    moved = small.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    large = _with_least(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = cut(large.filter("u > v").distinct())
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(large, least, most).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
 
 
@@ -25,13 +40,14 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     ``links`` has columns u and v of one orderable type; order, repeats and loops
     don't matter. Links stay in the cluster: each round is two aggregations and
-    two joins, then a checkpoint, and only two counters reach the driver. The
+    two joins, each with a checkpoint, and only counters reach the driver. The
     number of links never grows, and the rounds end when every link points from a
-    node to a root and none changes.
+    node to a root and none changes. A node with over 1 / ``HUBS`` of the links is
+    joined by broadcast, and its links are aggregated before any shuffle.
     """
     now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
     for _ in range(most_rounds):
-        nxt = cut(_stars(now))
+        nxt = cut(_stars(now, max(16, now.count() // HUBS)))
         counts = nxt.select(F.lit(1).alias("n"), F.lit(0).alias("o"), "u", "v").unionByName(now.select(F.lit(0).alias("n"), F.lit(1).alias("o"), "u", "v"))
         changed = counts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum("o").alias("o")).filter("n != o").limit(1).count()
         now = nxt
