@@ -1,27 +1,31 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Elements that are
-never article text (menus, headers and footers of the page, side bars, notices,
-adverts, forms, reader comments, scripts, styles) become empty lines. Each line
-weighs its characters outside links; lines that the page itself marks as article
-or paragraph weigh at least a share of the threshold. Weights are summed over
-sliding windows of ``WINDOW`` lines; a surge is where the sum reaches
-``THRESHOLD``, a dive is where it falls below again, and the text between each
-surge and its dive is kept. Where a page has an article or main element with text,
-lines outside weigh nothing, so surge and dive fall on its borders.
-
-One pass over the pages without a shuffle. Entities are decoded as HTML does; runs
-of white space become one space; lines join by one space.
+Markup is stripped into lines, one for each block element. A line weighs its
+characters outside links. What the page says of itself only changes weights: a
+paragraph or heading, and a line in an article, weigh some ``BONUS`` more; a line
+outside the article of a page that has one weighs ``OUTSIDE`` of its length; lines
+of menus, headers and footers of the page, side bars, notices, adverts, forms and
+reader comments weigh nothing. Weights are summed over sliding windows of
+``WINDOW`` lines; a surge is where the sum reaches ``THRESHOLD``, a dive is where it
+falls below again, and the lines between each surge and its dive are kept, but for
+those that weigh nothing. On a page that never reaches twice the threshold, it is half of the
+highest sum. No window reaches over an article's border.
+
+One pass over the pages without a shuffle, in time linear in the page. Entities are
+decoded as HTML does; runs of white space become one space; lines join by one space.
 
 Defined cases: null or empty html gives an empty text; a page that ends inside a
 tag, comment or entity is read as far as it goes; an element that is excluded but
-never closed is an ordinary one; repeated pages give repeated rows.
+never closed is an ordinary one; a mark of an article that stands in a script, a
+comment or an excluded element, or holds no text, is none; repeated pages give
+repeated rows; input columns named like a result are kept with ``_of_page`` behind it.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,7 +35,13 @@ from .common import ship, text_or_empty
 
 WINDOW = 3
 THRESHOLD = 80
+#: Characters that a kind of line, and a line of an article, weighs beyond its length. Either is below the threshold.
 BONUS = {"p": 40, "pre": 40, "blockquote": 40, "h1": 30, "h2": 30, "h3": 30, "h4": 30, "h5": 30, "h6": 30, "li": 10, "td": 10}
+IN_ARTICLE = 40
+#: What a character outside the article weighs on a page that has one.
+OUTSIDE = 1 / 16
+#: A line at the edge of a region that weighs less than this was only reached by its neighbour's window.
+EDGE = 5
 
 # HTML's own element names by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,14 +60,17 @@ TAG = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-MAIN = re.compile(r"""<(?:article|main)\b|role\s*=\s*["']?main\b""", re.IGNORECASE)
+MAIN_ROLE = re.compile(r"""(?:^|\s)role\s*=\s*["']?main\b""", re.IGNORECASE)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
 
 
 class Line:
-    __slots__ = ("parts", "linked", "inside", "bonus")
+    """A block's text: ``linked`` characters of it in links, whether it is ``inside`` an article, and whether its markup says that it is ``never`` text."""
 
-    def __init__(self, inside: bool, bonus: int):
-        self.parts, self.linked, self.inside, self.bonus = [], 0, inside, bonus
+    __slots__ = ("parts", "linked", "inside", "never", "bonus", "text")
+
+    def __init__(self, inside: bool, never: bool, bonus: int):
+        self.parts, self.linked, self.inside, self.never, self.bonus, self.text = [], 0, inside, never, bonus, ""
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -86,20 +99,40 @@ def excluded(name: str, attrs: str, inside: bool) -> bool | str:
     return "weak" if words & WEAK and not words & HOLDER else False
 
 
-def _end_of(html: str, name: str, at: int) -> int | None:
-    """Where the element that opened before ``at`` closes, counting nested ones of its name."""
-    depth = 1
-    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).finditer(html, at):
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    return None
-
-
-def lines_of(html: str, has_main: bool) -> list[Line]:
-    """The blocks of a page in order; excluded elements are empty lines. ``has_main``: only article and main elements are inside."""
-    lines, at, link, depth = [Line(not has_main, 0)], 0, 0, 0
-    cache: dict[tuple[str, str], bool | str] = {}
+def tags_of(html: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, closes, attributes) of each tag and comment; the content of raw elements belongs to their tag."""
+    out, at = [], 0
+    while (m := TAG.search(html, at)) is not None:
+        at = m.end()
+        name, closes = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        if name in RAW and not closes:
+            end = RAW_END[name].search(html, at)
+            at = end.end() if end else len(html)
+        out.append((m.start(), at, name, closes, m[3] or m[6] or ""))
+    return out
+
+
+def ends_of(tags: list[tuple[int, int, str, bool, str]]) -> dict[int, int]:
+    """By place of a tag that opens an element, the place of the tag that closes it. One pass; unclosed elements have none."""
+    opened: dict[str, list[int]] = {}
+    ends = {}
+    for i, (_, _, name, closes, _) in enumerate(tags):
+        if not closes:
+            opened.setdefault(name, []).append(i)
+        elif opened.get(name):
+            ends[opened[name].pop()] = i
+    return ends
+
+
+def lines_of(html: str) -> list[Line]:
+    """The blocks of a page in order."""
+    tags = tags_of(html)
+    ends = ends_of(tags)
+    mains = [i for i, (_, _, name, closes, attrs) in enumerate(tags) if not closes and (name in ("article", "main") or ("role" in attrs and MAIN_ROLE.search(attrs)))]
+    cache: dict[tuple[str, str, bool], bool | str] = {}
+    lines = [Line(False, False, 0)]
+    at = link = 0
+    never_to, inside_to = -1, []
 
     def say(text: str) -> None:
         if text:
@@ -108,99 +141,125 @@ def lines_of(html: str, has_main: bool) -> list[Line]:
                 lines[-1].linked += len(text)
 
     def cut(bonus: int = 0) -> None:
+        inside, never = bool(inside_to), never_to >= 0
         if lines[-1].parts:
-            lines.append(Line(not has_main or depth > 0, bonus))
+            lines.append(Line(inside, never, bonus))
         else:
-            lines[-1].inside, lines[-1].bonus = not has_main or depth > 0, bonus
+            lines[-1].inside, lines[-1].never, lines[-1].bonus = inside, never, bonus
 
-    while (m := TAG.search(html, at)) is not None:
-        say(html[at : m.start()])
-        at = m.end()
-        name, close, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
+    for i, (start, end, name, closes, attrs) in enumerate(tags):
+        say(html[at:start])
+        at = end
         if not name:
             continue
-        if close:
-            if name in ("article", "main") and depth:
+        if closes:
+            if i == never_to:
+                never_to = -1
+                cut()
+            while inside_to and i >= inside_to[-1]:
+                inside_to.pop()
                 cut()
-                depth -= 1
             if name == "a":
                 link = 0
             elif name not in INLINE:
                 cut()
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
-            at = end.end() if end else len(html)
             continue
-        key = (name, attrs)
-        if key not in cache or name == "header":
-            cache[key] = excluded(name, attrs, depth > 0)
-        if cache[key] and name not in VOID and not attrs.endswith("/"):
-            end = _end_of(html, name, at)
-            if end is not None and not (cache[key] == "weak" and MAIN.search(html, at, end)):
+        last = ends.get(i, -1)
+        if last >= 0 and never_to < 0 and name not in VOID:
+            key = (name, attrs, bool(inside_to))
+            if key not in cache:
+                cache[key] = excluded(*key)
+            holds_main = cache[key] == "weak" and bisect_left(mains, i + 1) < bisect_left(mains, last)
+            if cache[key] and not holds_main:
+                never_to = last
                 cut()
-                if name not in INLINE:
-                    lines += [Line(False, 0), Line(not has_main or depth > 0, 0)]
-                at = end
-                continue
-        if name in ("article", "main") or (has_main and "role" in attrs and MAIN.search(m[0])):
-            cut()
-            if name in ("article", "main"):
-                depth += 1
-            else:
-                end = _end_of(html, name, at)
-                has_main = has_main and end is not None
+        j = bisect_left(mains, i)
+        if j < len(mains) and mains[j] == i and never_to < 0:
+            # An article that is never closed ends with the page.
+            if last >= 0 or name in ("article", "main"):
+                inside_to.append(last if last >= 0 else len(tags))
             cut()
         elif name == "a":
             link = 1
         elif name not in INLINE:
             cut(BONUS.get(name, 0))
     say(html[at:])
+    for x in lines:
+        x.text = " ".join(entities.unescape("".join(x.parts)).split())
     return lines
 
 
-def regions(weights: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """(surge, dive) of each run of lines whose centred window sums reach the threshold."""
-    half, out, start = window // 2, [], None
-    total = sum(weights[:half])
-    for i in range(len(weights)):
-        if i + half < len(weights):
-            total += weights[i + half]
-        if i - half - 1 >= 0:
-            total -= weights[i - half - 1]
-        if total >= threshold and start is None:
+def weights_of(lines: list[Line], window: int = WINDOW) -> list[tuple[int, float]]:
+    """(place of the line, weight) along the page; place -1 is a gap, which keeps windows on one side of an article's border.
+
+    Lines that are never text are gaps outside an article; inside one they are passed over.
+    """
+    has_main = any(x.inside and x.text and not x.never for x in lines)
+    out: list[tuple[int, float]] = []
+    before = False
+    for i, x in enumerate(lines):
+        if has_main and x.inside != before:
+            out += [(-1, 0.0)] * (window // 2)
+            before = x.inside
+        if not x.text:
+            if not x.inside:
+                out.append((-1, 0.0))
+            continue
+        if x.never:
+            if not x.inside:
+                out.append((i, 0.0))
+        elif x.inside and has_main:
+            out.append((i, len(x.text) + x.bonus + IN_ARTICLE))
+        else:
+            free = max(0, len(x.text) - x.linked)
+            own = free + x.bonus if 2 * free >= len(x.text) else 0
+            out.append((i, own * OUTSIDE if has_main else own))
+    return out
+
+
+def sums_of(weights: list[float], window: int = WINDOW) -> list[float]:
+    """The sum of each line's window, which reaches half of ``window`` to either side."""
+    half = window // 2
+    before = [0.0]
+    for w in weights:
+        before.append(before[-1] + w)
+    n = len(weights)
+    return [before[min(n, i + half + 1)] - before[max(0, i - half)] for i in range(n)]
+
+
+def regions(weights: list[float], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(surge, dive) of each run of lines whose window sums reach the threshold, or half of the highest sum if that is lower."""
+    sums = sums_of(weights, window)
+    least = min(threshold, max(sums, default=0) / 2)
+    out, start = [], None
+    if least <= 0:
+        return out
+    for i, total in enumerate([*sums, 0.0]):
+        if total >= least and start is None:
             start = i
-        if total < threshold and start is not None:
+        if total < least and start is not None:
             out.append((start, i))
             start = None
-    return out + ([(start, len(weights))] if start is not None else [])
+    return out
 
 
-def extract_text(html: str | None) -> str:
+def extract_text(html: str | None, window: int = WINDOW, threshold: float = THRESHOLD) -> str:
     if not html:
         return ""
-    has_main = MAIN.search(html) is not None
-    lines = lines_of(html, has_main)
-    texts = [" ".join(entities.unescape("".join(x.parts)).split()) for x in lines]
-    if has_main and not any(t and x.inside for t, x in zip(texts, lines)):
-        # The mark stands in a script, a comment or an excluded element, or holds no text.
-        has_main, lines = False, lines_of(html, False)
-        texts = [" ".join(entities.unescape("".join(x.parts)).split()) for x in lines]
-    weights = []
-    for x, text in zip(lines, texts):
-        if not text or not x.inside:
-            weights.append(0)
-        elif has_main:
-            weights.append(max(len(text), THRESHOLD))
-        else:
-            free = max(0, len(text) - x.linked)
-            weights.append(free + x.bonus if 2 * free >= len(text) else 0)
-    found = regions(weights)
-    if not found:
-        return " ".join([t for t, w in zip(texts, weights) if w])
-    # A centred window reaches one line too far on either side of a border.
-    found = [(a + next(i for i, w in enumerate(weights[a:b]) if w), b - next(i for i, w in enumerate(weights[a:b][::-1]) if w)) for a, b in found if any(weights[a:b])]
-    return " ".join([texts[i] for a, b in found for i in range(a, b) if texts[i] and lines[i].inside])
+    lines = lines_of(html)
+    line = weights_of(lines, window)
+    weights = [w for _, w in line]
+    edge = min(EDGE, max(weights, default=0))
+    kept = []
+    for a, b in regions(weights, window, threshold):
+        while a < b and weights[a] < edge:
+            a += 1
+        while a < b and weights[b - 1] < edge:
+            b -= 1
+        kept += [lines[i].text for i, w in line[a:b] if w > 0]
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -211,6 +270,14 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def main_text(html: pd.Series) -> pd.Series:
         return html.map(extract_text)
 
-    rest = [pages[f"`{c}`"] for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    taken = set(pages.columns) | {"text", "n_chars"}
+
+    def kept_as(name: str) -> str:
+        if name in ("text", "n_chars"):
+            while name in taken:
+                name += "_of_page"
+        return name
+
+    rest = [pages[f"`{c}`"].alias(kept_as(c)) for c in pages.columns if c != html_col]
     out = pages.select(*rest, main_text(text_or_empty(html_col)).alias("text"))
     return out.select("*", F.char_length("text").cast("long").alias("n_chars"))
