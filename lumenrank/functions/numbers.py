@@ -21,16 +21,23 @@ def clip(c: Column, low: float, high: float) -> Column:
 
 
 def json_ints(c: Column) -> Column:
-    """The whole numbers of a JSON list; bad items go, anything else is empty."""
+    """The whole numbers of a JSON list; fractions are cut off, bad items go, anything else is empty."""
     items = F.from_json(c, "array<string>")
-    cast = F.transform(items, lambda x: F.floor(x.try_cast("double")).cast("bigint"))
+    whole = lambda x: F.when(x.rlike(r"^\s*-?\d+\s*$"), x.try_cast("bigint")).otherwise(F.signum(x.try_cast("double")).cast("bigint") * F.floor(F.abs(x.try_cast("double"))))
+    cast = F.transform(items, whole)
     return F.coalesce(F.array_distinct(F.filter(cast, lambda x: x.isNotNull())), F.array().cast("array<bigint>"))
 
 
 def json_strings(c: Column) -> Column:
-    """The distinct strings of a JSON list; text that isn't one splits at commas."""
-    items = F.coalesce(F.from_json(c, "array<string>"), F.split(F.coalesce(c, F.lit("")), ","))
-    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
+    """The distinct strings of a JSON list; text that is no JSON splits at commas, in lower case."""
+    items = F.from_json(c, "array<string>")
+    split = F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.lower)
+    return F.array_distinct(F.filter(F.transform(F.coalesce(items, split), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+def rounded(c: Column, digits: int = 3) -> Column:
+    """A number of a record: half goes to the even digit."""
+    return F.bround(c.cast("double"), digits)
 
 
 def _double(v: Column) -> Column:

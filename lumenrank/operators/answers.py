@@ -10,6 +10,12 @@ from ..functions.text import normalize
 TITLE_KEYS = ("title", "movie", "name", "choice")
 
 
+def field(column: str, key: str):
+    """A field of the answer's JSON object, also of one nested under ``selection``."""
+    o = F.coalesce(extract_object(F.col(column)), F.lit("{}"))
+    return F.coalesce(F.get_json_object(o, f"$.selection.{key}"), F.get_json_object(o, f"$.{key}"))
+
+
 def resolve(answers: DataFrame, shortlist: DataFrame) -> DataFrame:
     """(request_id, doc, how) of every answer (request_id, answer); doc is null and how ``none`` where it names nothing.
 
@@ -19,6 +25,7 @@ def resolve(answers: DataFrame, shortlist: DataFrame) -> DataFrame:
     shortlist's few rows alone. Of equal titles the last ranked counts.
     """
     parsed = answers.withColumn("o", F.coalesce(extract_object(F.col("answer")), F.lit("{}")))
+    parsed = parsed.withColumn("o", F.coalesce(F.when(F.get_json_object("o", "$.selection").startswith("{"), F.get_json_object("o", "$.selection")), "o"))
     field = lambda k: F.get_json_object("o", f"$.{k}")
     parsed = parsed.select("request_id", field("tmdb_id").try_cast("double").cast("bigint").alias("id"), F.array(*[normalize(F.coalesce(field(k), F.lit(""))) for k in TITLE_KEYS]).alias("targets"), normalize(F.coalesce(field("description"), F.lit(""))).alias("told"))
     key = normalize(F.coalesce("title", F.lit("")))

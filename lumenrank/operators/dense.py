@@ -1,34 +1,80 @@
 """Exact cosine retrieval for many requests at once."""
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clip, cosine
 from ..functions.values import DENSE_TOP
+from ..sources.package import ship
 from .lexical import ranked
+from .ranking import without
 
 #: About as many query vectors go to every task at once; more are searched in further rounds.
 BLOCK = 512
 
 
+def matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the vectors of ``dim`` finite components, and their places. A zero vector stays zero."""
+    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+    rows = np.array([np.asarray(vectors.iloc[i], dtype=np.float64) for i in at], dtype=np.float64).reshape(len(at), dim)
+    fine = np.isfinite(rows).all(axis=1)
+    rows, at = rows[fine], np.array(at, dtype=np.int64)[fine]
+    norms = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norms == 0, 1.0, norms), at
+
+
+def best_of(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, lower documents first among equals."""
+    if len(scores) > k:
+        some = np.nonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])[0]
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((docs[some], -scores[some]))][:k]
+
+
 def search(vectors: DataFrame, items: DataFrame, exclude: DataFrame | None = None, k: int = DENSE_TOP, digits: int = 6) -> DataFrame:
     """(request_id, doc, sem_raw, sem_score, sem_rank): top ``k`` by cosine, mapped to [0, 1].
 
     ``vectors`` (request_id, vector) is a stated query set held against all of
-    ``items`` (doc, embedding); it is dealt out in blocks of bounded size. Vectors
-    with a component that isn't finite have no similarity.
+    ``items`` (doc, embedding), BLOCK at a time. Each Arrow batch of items is one
+    matrix product and hands on its own best ``k`` of each request, beside as many as
+    the request excludes, so what is shuffled doesn't grow with the items of a batch.
+    Vectors that aren't of the first query's length, or not finite, have no similarity.
     """
+    spark = vectors.sparkSession
+    ship(spark)
     n = vectors.count()
     if n > BLOCK:
         blocks = -(-n // BLOCK)
         part = F.pmod(F.xxhash64("request_id"), F.lit(blocks))
         found = [search(vectors.filter(part == i), items, exclude, k, digits) for i in range(blocks)]
         return reduce(DataFrame.unionByName, found)
-    sent = vectors.agg(F.collect_list(F.struct("request_id", "vector")).alias("qs")).withColumn("all", F.lit(True))
-    pairs = items.withColumn("all", F.lit(True)).join(F.broadcast(sent), "all").select("doc", "embedding", F.explode("qs").alias("q"))
-    scored = pairs.select("q.request_id", "doc", F.round(clip((cosine(F.col("q.vector"), F.col("embedding")) + 1) / 2, 0.0, 1.0), digits).alias("sem_raw")).filter(~F.isnan("sem_raw"))
+    excluded = exclude.groupBy("request_id").agg(F.count("*").alias("out")) if exclude is not None else None
+    asked = vectors.filter("vector is not null").withColumn("out", F.lit(0)) if excluded is None else vectors.filter("vector is not null").join(excluded, "request_id", "left").na.fill(0, ["out"])
+    asked = asked.select("request_id", "vector", "out").toPandas()  # about BLOCK rows
+    dim = max((len(v) for v in asked["vector"]), default=0)
+    queries, at = matrix(asked["vector"], dim)
+    ids, most = list(asked["request_id"].iloc[at]), [int(x) + k for x in asked["out"].iloc[at]]
+    sent = spark.sparkContext.broadcast((queries, ids, most))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((vectors, "request_id"), (items, "doc"))]
+    step = 10.0**digits
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, ids, most = sent.value
+        for x in frames:
+            rows, at = matrix(x["embedding"], dim)
+            docs = x["doc"].to_numpy()[at]
+            if not len(docs) or not len(ids):
+                continue
+            scores = np.floor(np.clip((queries @ rows.T + 1) / 2, 0.0, 1.0) * step + 0.5) / step
+            best = [best_of(s, docs, m) for s, m in zip(scores, most)]
+            yield pd.DataFrame({"request_id": [i for i, b in zip(ids, best) for _ in b], "doc": np.concatenate([docs[b] for b in best]), "sem_raw": np.concatenate([s[b] for s, b in zip(scores, best)])})
+
+    scored = items.select("doc", "embedding").mapInPandas(run, f"request_id {kinds[0]}, doc {kinds[1]}, sem_raw double")
     if exclude is not None:
-        scored = scored.join(exclude, ["request_id", "doc"], "left_anti")
+        scored = without(scored, exclude, ["request_id", "doc"])
     return ranked(scored, "sem", k).withColumn("sem_score", F.col("sem_raw"))

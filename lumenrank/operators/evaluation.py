@@ -70,3 +70,9 @@ def checks(df: DataFrame) -> DataFrame:
     df = df.withColumns(out)
     said = [F.when(F.col(k).isNotNull(), F.concat(F.lit(label + ":"), F.when(F.col(k), "Y").otherwise("N"))) for k, label in zip(out, ("genre", "person", "year", "lang"))]
     return df.withColumn("match_details", F.coalesce(F.nullif(F.concat_ws("|", *said), F.lit("")), F.lit("no_constraints")))
+
+
+def timing(df: DataFrame, seconds: str, limit: float, by: list[str] | None = None) -> DataFrame:
+    """Runs, mean, least and most seconds, and runs over a limit."""
+    s = F.col(seconds).cast("double")
+    return df.groupBy(*(by or [])).agg(F.count("*").alias("n_runs"), F.round(F.avg(s), 6).alias("mean_s"), F.min(s).alias("min_s"), F.max(s).alias("max_s"), F.count_if(s >= limit).alias("n_over"))

@@ -1,24 +1,31 @@
 """Inverted index over weighted fields: postings, term statistics, document lengths."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stems
-from ..functions.values import FIELD_WEIGHTS, OVERVIEW_TERMS
+from ..functions.text import TOKEN, json_text, normalize, stem
+from ..functions.values import FIELD_WEIGHTS, OVERVIEW_TERMS, STOP_WORDS
+from ..sources.stages import written
 
 
-def weighted_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, term, tf): occurrences times field weights. One scan, one shuffle, summed before it."""
+def exploded_tokens(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` once for each token of ``text`` that is no stop word, as column ``token``. No lambda: all of it is compiled."""
+    found = rows.select(*rows.columns, F.explode(F.regexp_extract_all(normalize(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))).alias("token"))
+    return found.filter(~F.col("token").isin(STOP_WORDS))
+
 
-    def weighted(field: str, w: float) -> Column:
-        return F.transform(stems(F.col(field)), lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
+def _field_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
+    """(doc, field, w, term) for each occurrence. Documents are dealt by id once, so all that follows by document stays where it is."""
+    text = lambda f: json_text(F.col(f)) if f.endswith("_json") else F.col(f).cast("string")
+    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("w"), F.coalesce(text(f), F.lit("")).alias("text")) for f, w in fields.items()])
+    rows = docs.select(F.col(id_col).alias("doc"), *fields).repartition("doc").select("doc", F.inline(parts))
+    terms = exploded_tokens(rows, F.col("text")).select("doc", "field", "w", stem(F.col("token")).alias("term"))
+    return terms.filter(~F.col("term").isin(STOP_WORDS))
 
-    pairs = [weighted(f, w) for f, w in fields.items()]
-    every = reduce(lambda a, b: F.concat(a, b), pairs)
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(every).alias("t"))
-    return rows.groupBy("doc", "t.term").agg(F.sum("t.w").alias("tf"))
+
+def weighted_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
+    """(doc, term, tf): occurrences times field weights. One scan and one shuffle, of the documents themselves."""
+    return _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
 
 def term_stats(postings: DataFrame, n_docs: int | Column) -> DataFrame:
@@ -39,15 +46,19 @@ def top_terms(postings: DataFrame, stats: DataFrame, k: int = OVERVIEW_TERMS) ->
 
 
 def build(docs: DataFrame, id_col: str, fields: dict[str, float] | None = None, long_field: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, term_stats, doc_stats). Terms of ``long_field`` beyond its best OVERVIEW_TERMS count for df alone."""
+    """(postings, term_stats, doc_stats), read from a written table; texts are read once.
+
+    Terms of ``long_field`` beyond its best OVERVIEW_TERMS count for df alone.
+    """
     fields = {f: w for f, w in (fields or FIELD_WEIGHTS).items() if f in docs.columns}
-    short = {f: w for f, w in fields.items() if f != long_field}
-    n = docs.count()
-    every = weighted_terms(docs, fields, id_col).persist()
-    stats = term_stats(every, n)
+    long = F.col("field") == (long_field or "")
+    counted = _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum(F.when(long, 0.0).otherwise(F.col("w"))).alias("base"), F.sum(F.when(long, F.col("w")).otherwise(0.0)).alias("over"))
+    every = written(counted, "postings")
+    stats = term_stats(every, docs.count())
     if long_field and long_field in fields:
-        long_terms = top_terms(weighted_terms(docs, {long_field: fields[long_field]}, id_col), stats).select("doc", "term", "tf")
-        postings = weighted_terms(docs, short, id_col).unionByName(long_terms).groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+        best = top_terms(every.filter("over > 0").select("doc", "term", F.col("over").alias("tf")), stats).select("doc", "term", F.lit(True).alias("best"))
+        postings = every.join(best, ["doc", "term"], "left").select("doc", "term", (F.col("base") + F.when(F.col("best"), F.col("over")).otherwise(0.0)).alias("tf")).filter("tf > 0")
+        postings = written(postings, "index")
     else:
-        postings = every
+        postings = every.select("doc", "term", F.col("base").alias("tf"))
     return postings, stats, doc_stats(postings)

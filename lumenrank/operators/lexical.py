@@ -5,12 +5,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stems
 from ..functions.values import BM25_B, BM25_K1, LEXICAL_TOP
+from .ranking import without
 
 
 def bm25(tf: Column, dl: Column, avgdl: Column, idf: Column) -> Column:
     return F.when(tf > 0, idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * dl / F.greatest(avgdl, F.lit(1.0))))).otherwise(0.0)
 
 
+#: Query terms that are sent to all tasks; more of them meet the postings by a shuffle.
+SENT = 500_000
+
+
 def query_terms(requests: DataFrame, text_col: str = "text") -> DataFrame:
     """(request_id, term, qtf)."""
     return requests.select("request_id", F.explode(stems(F.col(text_col))).alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("qtf"))
@@ -20,14 +25,17 @@ def search(terms: DataFrame, postings: DataFrame, stats: DataFrame, lengths: Dat
     """(request_id, doc, bm25_raw, bm25_score, bm25_rank) of the top ``k``; score is min-max over them.
 
     ``exclude`` holds (request_id, doc). Query terms meet postings by an equality
-    join on the term; documents that share no term never appear.
+    join on the term: up to SENT of them are broadcast, so that postings stay where
+    they are and a frequent term is no single task's; documents that share no term never appear.
     """
     avgdl = lengths.agg(F.avg("dl")).first()[0] or 1.0
-    met = terms.join(postings, "term").join(stats.select("term", "idf"), "term", "left").join(lengths, "doc")
+    weighed = terms.join(stats.select("term", "idf"), "term", "left")
+    few = terms.limit(SENT + 1).count() <= SENT
+    met = postings.join(F.broadcast(weighed) if few else weighed, "term").join(lengths, "doc")
     part = F.col("qtf") * bm25(F.col("tf"), F.col("dl"), F.lit(float(avgdl)), F.coalesce("idf", F.lit(1.0)))
     scored = met.groupBy("request_id", "doc").agg(F.round(F.sum(part), digits).alias("bm25_raw")).filter("bm25_raw > 0")
     if exclude is not None:
-        scored = scored.join(exclude, ["request_id", "doc"], "left_anti")
+        scored = without(scored, exclude, ["request_id", "doc"])
     return ranked(scored, "bm25", k)
 
 

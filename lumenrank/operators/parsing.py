@@ -4,68 +4,122 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import stem, stems, tokens
+from ..functions.text import mentions, normalize, stem, stems, tokens
 
 
 def _int(c: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit("")).try_cast("int")
 
 
-def year_range(text: Column) -> Column:
-    """struct(min, max), null where no year is asked for. The order of the rules decides."""
-    t = F.lower(text)
-    pair = lambda a, b: F.struct(a.cast("int").alias("min"), b.cast("int").alias("max"))
-    lit = lambda a, b: pair(F.lit(a), F.lit(b))
-    a, b = _int(t, r"between\s+((?:19|20)\d\d)\s+and\s+((?:19|20)\d\d)", 1), _int(t, r"between\s+((?:19|20)\d\d)\s+and\s+((?:19|20)\d\d)", 2)
-    decade = _int(t, r"\b((?:19|20)\d0)s\b", 1)
-    year = lambda words: _int(t, rf"\b(?:{words})\s+(?:the\s+)?(?:year\s+)?((?:19|20)\d\d)\b", 1)
-    after, since, before, upto = year("after|post|newer than"), year("since"), year("before|pre|older than"), year("prior to")
-    exact = year("from|in|around")
+def _years(text: Column) -> Column:
+    """struct(min, max, label), null where no year is asked for. The order of the rules decides.
+
+    What stands within 24 characters before the first year says which side of it is
+    meant; a word such as "prefer" there turns an open end into one without the year itself.
+    """
+    t = normalize(text)
+    of = lambda a, b, label: F.struct(a.cast("int").alias("min"), b.cast("int").alias("max"), label.alias("label"))
+    fixed = lambda a, b, label: of(F.lit(a), F.lit(b), F.lit(label))
+    said = lambda c: c.cast("string")
+    between = r"\bbetween\s+((?:19|20)\d{2})\s+and\s+((?:19|20)\d{2})\b"
+    a, b = _int(t, between, 1), _int(t, between, 2)
+    low, high = F.least(a, b), F.greatest(a, b)
+    decade, short = _int(t, r"\b((?:19|20)\d0)s\b", 1), _int(t, r"\b(80|90)s\b", 1) + 1900
+    first = r"(?s)^(.*?)\b((?:19|20)\d{2})\b"
+    year, before = _int(t, first, 2), F.right(F.regexp_extract(t, first, 1), F.lit(24))
+    has = lambda *words: sum((F.contains(before, F.lit(w)).cast("int") for w in words), F.lit(0)) > 0
+    after, until = before.rlike(r"\b(after|post|newer than|since)\s+$"), before.rlike(r"\b(before|pre|older than|prior to)\s+$")
     return (
         F.when(t.rlike(V.SET_IN) & ~t.rlike(V.RELEASE), None)
-        .when(a.isNotNull(), pair(F.least(a, b), F.greatest(a, b)))
-        .when(decade.isNotNull(), pair(decade, decade + 9))
-        .when(t.rlike(r"\b80s\b"), lit(1980, 1989))
-        .when(t.rlike(r"\b90s\b"), lit(1990, 1999))
-        .when(t.rlike(r"\b(recent|newer|latest)\b") & after.isNull(), lit(V.THIS_YEAR - 5, V.THIS_YEAR))
-        .when(t.contains("this decade"), lit(2020, V.THIS_YEAR))
-        .when(t.contains("last decade"), lit(2010, 2019))
-        .when(t.rlike(r"\bclassic\b"), lit(0, 1990))
-        .when(after.isNotNull(), pair(after + 1, F.lit(9999)))
-        .when(since.isNotNull(), pair(since, F.lit(9999)))
-        .when(before.isNotNull(), pair(F.lit(0), before - 1))
-        .when(upto.isNotNull(), pair(F.lit(0), upto))
-        .when(t.rlike(r"\bolder\b"), lit(0, 2010))
-        .when(exact.isNotNull(), pair(exact, exact))
+        .when(a.isNotNull(), of(low, high, F.concat(F.lit("between "), said(low), F.lit(" and "), said(high))))
+        .when(decade.isNotNull(), of(decade, decade + 9, F.concat(said(decade), F.lit("s"))))
+        .when(short.isNotNull(), of(short, short + 9, F.concat(said(short), F.lit("s"))))
+        .when(t.rlike(r"\b(recent|newer|latest)\b"), fixed(V.THIS_YEAR - 5, V.THIS_YEAR, "recent"))
+        .when(t.rlike(r"\bthis decade\b"), fixed(2020, V.THIS_YEAR, "this decade"))
+        .when(t.rlike(r"\blast decade\b"), fixed(2010, 2019, "last decade"))
+        .when(t.rlike(r"\b(older|classic)\b") & t.rlike(r"\b(classic|old)\b"), fixed(0, 1990, "classic"))
+        .when(t.rlike(r"\bolder\b"), fixed(0, 2010, "older"))
+        .when(after, of(year + F.when(has("after", "newer than", "post"), 1).otherwise(0), F.lit(9999), F.concat(F.lit("after "), said(year))))
+        .when(until, of(F.lit(0), year - F.when(has("before", "older than", "pre"), 1).otherwise(0), F.concat(F.lit("before "), said(year))))
+        .when(before.rlike(r"\b(from|in|around)\s+(?:the\s+)?$"), of(year, year, said(year)))
     )
 
 
+def year_range(text: Column) -> Column:
+    """struct(min, max) of the years that a text asks for, else null."""
+    y = _years(text)
+    return F.when(y.isNotNull(), F.struct(y["min"].alias("min"), y["max"].alias("max")))
+
+
+def year_label(text: Column) -> Column:
+    """How the asked years are called."""
+    return _years(text)["label"]
+
+
+def year_relevant(text: Column) -> Column:
+    """Whether a text speaks of a film's age in any way."""
+    t = normalize(text)
+    return sum((F.contains(t, F.lit(p)).cast("int") for p in V.YEAR_PHRASES), F.lit(0)) > 0
+
+
 def runtime_range(text: Column) -> Column:
-    """struct(min, max) in minutes; amounts in hours count times 60."""
-    t = F.lower(text)
+    """struct(min, max) in minutes; amounts in hours count times 60. Words for short and long fill the end that no number sets."""
+    t = normalize(text)
 
     def minutes(pattern: str) -> Column:
         n, unit = F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).try_cast("double"), F.regexp_extract(t, pattern, 2)
-        return F.round(n * F.when(unit.startswith("h"), 60).otherwise(1)).cast("int")
+        whole = F.bround(n * F.when(unit.startswith("h"), 60.0).otherwise(1.0), 0).cast("int")
+        return F.when(whole > 0, whole)
 
     most, least = minutes(V.MAX_RUNTIME), minutes(V.MIN_RUNTIME)
-    stated = most.isNotNull() | least.isNotNull()
-    short, long = F.when(~stated & t.rlike(V.SHORT), 110), F.when(~stated & t.rlike(V.LONG), 130)
-    return F.struct(F.coalesce(least, long).cast("int").alias("min"), F.coalesce(most, short).cast("int").alias("max"))
+    return F.struct(F.coalesce(least, F.when(t.rlike(V.LONG), 130)).cast("int").alias("min"), F.coalesce(most, F.when(t.rlike(V.SHORT), 110)).cast("int").alias("max"))
+
+
+def _refusals(text: Column) -> tuple[Column, Column, Column]:
+    """What a text refuses: after no, not, without or avoid; after non; and after words of dislike."""
+    t = normalize(text)
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(1))
+    clean = lambda c: F.filter(F.transform(c, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "")
+    return clean(found(V.NEGATION)), found(V.NON), clean(found(V.DISLIKES))
+
+
+def refused(text: Column) -> Column:
+    """All phrases that a text refuses, up to punctuation or a turn of the sentence."""
+    return F.concat(*_refusals(text))
 
 
 def negations(text: Column) -> Column:
-    """Up to six phrases after no, not, without or avoid, up to punctuation or a turn of the sentence."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(V.NEGATION), F.lit(1))
-    cut = F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+(but|except|instead)\b.*$", "")))
-    return F.slice(F.filter(cut, lambda p: p != ""), 1, 6)
+    """The first six refused phrases."""
+    return F.slice(refused(text), 1, 6)
+
+
+def refused_tokens(text: Column) -> Column:
+    """The words of all refused phrases, and ``non`` itself."""
+    non = _refusals(text)[1]
+    return F.array_distinct(F.concat(tokens(F.array_join(refused(text), " ")), F.when(F.size(non) > 0, F.array(F.lit("non"))).otherwise(F.array().cast("array<string>"))))
+
+
+def blocked_genres(text: Column) -> Column:
+    """Genres that a refused phrase names anywhere, or that non-... and words of dislike name alone."""
+    plain, non, disliked = _refusals(text)
+    within = F.array_join(F.concat(plain, F.transform(plain, lambda p: F.replace(p, F.lit("-"), F.lit(" ")))), " | ")
+    alone = F.filter(F.concat(non, disliked), lambda p: p.isin(list(V.GENRES)))
+    return F.sort_array(F.array_union(_looked_up(named(within, V.GENRES), V.GENRES), _looked_up(alone, V.GENRES)))
+
+
+def _mention(text: Column, term: str) -> Column:
+    return text.rlike(r"(?<![a-z0-9])" + term.replace("-", r"\-") + r"(?![a-z0-9])")
 
 
 def named(text: Column, terms: dict[str, object]) -> Column:
     """The terms that a text mentions with no letter or digit beside them, in their given order."""
-    t = F.lower(text)
-    hits = [F.when(t.rlike(r"(^|[^a-z0-9])" + k.replace("-", r"\-") + r"([^a-z0-9]|$)"), F.lit(k)) for k in terms]
-    return F.array_compact(F.array(*hits))
+    t = normalize(text)
+    return F.array_compact(F.array(*[F.when(_mention(t, k), F.lit(k)) for k in terms]))
+
+
+def asked_term(text: Column, terms: dict[str, object], strict: bool = False) -> Column:
+    """The one term that counts of those that a text mentions: the longest, or with ``strict`` the first of the table."""
+    return F.get(named(text, terms), 0) if strict else longest(named(text, terms))
 
 
 def _looked_up(keys: Column, table: dict[str, str]) -> Column:
@@ -83,19 +137,69 @@ def subgenre_keywords(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(named(text, V.SUBGENRES), lambda k: F.element_at(table, k))))
 
 
-def phrases(text: Column, most: int = 6) -> Column:
+#: Runs of words by which names are found; longer names are found by their first words.
+HEAD = 3
+
+
+def _words(c: Column) -> Column:
+    """The pieces that no boundary splits: runs of letters and digits, and each character beyond ASCII."""
+    return F.regexp_extract_all(normalize(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+|[^\\x00-\\x7f]"), F.lit(0))
+
+
+def phrases(text: Column, most: int = HEAD) -> Column:
     """All runs of one to ``most`` words, in lower case: keys for equality joins with dictionaries."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9']+"), F.lit(0))
+    words = _words(text)
     starts = F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))
     return F.array_distinct(F.flatten(starts))
 
 
+def met(requests: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """``request_id`` and the columns of ``dictionary`` (name, ...) of each name that a request's text mentions.
+
+    An equality join on runs of up to HEAD words finds candidates, by a name's first
+    words, and the boundary pattern verifies each; names may be of any length. A name
+    without a letter, digit or character beyond ASCII is never met.
+    """
+    known = dictionary.withColumn("__name", normalize("name")).withColumn("__head", F.array_join(F.slice(_words(F.col("name")), 1, HEAD), " ")).filter("__head <> ''")
+    text = normalize(F.coalesce("text", F.lit("")))
+    asked = requests.select("request_id", F.explode(phrases(text)).alias("__head"))
+    found = asked.join(known, "__head").join(requests.select("request_id", text.alias("__text")), "request_id")
+    return found.filter(mentions(F.col("__text"), F.col("__name"))).drop("__head", "__name", "__text")
+
+
 def mentioned_items(requests: DataFrame, items: DataFrame, titles: Column, least: int = 3) -> DataFrame:
-    """(request_id, doc): items one of whose ``titles`` stands in the request's text as whole words."""
-    key = lambda t: F.array_join(F.regexp_extract_all(F.lower(t), F.lit("[a-z0-9']+"), F.lit(0)), " ")
-    asked = requests.select("request_id", F.explode(phrases(F.coalesce("text", F.lit("")))).alias("phrase"))
-    named_by = items.select("doc", F.explode(F.array_distinct(F.transform(titles, key))).alias("phrase")).filter(F.char_length("phrase") >= least)
-    return asked.join(named_by, "phrase").select("request_id", "doc").distinct()
+    """(request_id, doc): items one of whose ``titles`` of ``least`` characters or more stands in the request's text, at any length."""
+    variants = items.select("doc", F.explode(F.array_distinct(F.transform(titles, normalize))).alias("name")).filter(F.char_length("name") >= least)
+    return met(requests, variants).select("request_id", "doc").distinct()
+
+
+def seed_signals(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """seed_docs and their titles' tokens, genres, first ten keywords and neighbours for each request, from ``pairs`` (request_id, doc)."""
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(f"seed_{c}")
+    seeds = pairs.join(items.select("doc", "title", "similar_ids", "recommended_ids", "genre_set", "keyword_set"), "doc")
+    seeds = seeds.withColumns({"genres": F.col("genre_set"), "keywords": F.slice(F.sort_array("keyword_set"), 1, 10), "title_tokens": tokens(F.col("title"))})
+    return seeds.groupBy("request_id").agg(F.collect_set("doc").alias("seed_docs"), *map(union, ("similar_ids", "recommended_ids", "genres", "keywords", "title_tokens")))
+
+
+def vocabulary(items: DataFrame, column: str) -> DataFrame:
+    """(term): the distinct items of a list column."""
+    return items.select(F.explode(column).alias("term")).distinct()
+
+
+def resolved_history(told: DataFrame, items: DataFrame, titles: Column) -> DataFrame:
+    """(request_id, doc, how): watched items by their exact title, else by any title of theirs, else by id.
+
+    ``told`` has request_id, id and name; of each of its rows the first way that leads to an item counts.
+    """
+    tier = lambda n, how: (F.lit(n).alias("tier"), F.lit(how).alias("how"))
+    row = ["request_id", "id", "name"]
+    exact = told.join(items.select("doc", F.col("title").alias("name")), "name").select(*row, "doc", *tier(0, "title"))
+    variants = items.select("doc", F.explode(F.array_distinct(F.transform(titles, normalize))).alias("__v")).filter("__v <> ''")
+    loose = told.withColumn("__v", normalize("name")).join(variants, "__v").select(*row, "doc", *tier(1, "variant"))
+    by_id = told.join(items.select("doc", F.col("doc").alias("id")), "id").select(*row, "doc", *tier(2, "id"))
+    every = exact.unionByName(loose).unionByName(by_id)
+    first = F.min("tier").over(Window.partitionBy(*row))
+    return every.withColumn("first", first).filter("tier = first").groupBy("request_id", "doc").agg(F.min_by("how", "tier").alias("how"))
 
 
 def longest(keys: Column) -> Column:
@@ -106,37 +210,31 @@ def longest(keys: Column) -> Column:
 
 def setting_period(text: Column) -> Column:
     """The period a story shall be set in; empty if none is named."""
-    t = F.lower(text)
+    t = normalize(text)
     era = F.regexp_extract(t, V.ERA, 1)
     return F.when(t.rlike(V.MODERN), "contemporary setting").when(t.rlike(V.PAST), "historical setting").when(era != "", F.concat(F.lit("set in "), era)).otherwise("")
 
 
 def min_rating(text: Column) -> Column:
     """The least rating asked for, null unless above 0 and at most 10."""
-    t = F.lower(text)
+    t = normalize(text)
     n = F.coalesce(*[F.nullif(F.regexp_extract(t, V.MIN_RATING, g), F.lit("")).try_cast("double") for g in (1, 2)])
     return F.when((n > 0) & (n <= 10), n)
 
 
 def affinity_phrases(text: Column, most: int = 3) -> Column:
     """What a text says somebody likes, loves or is a fan of."""
-    t = F.lower(text)
+    t = normalize(text)
     found = F.concat(*[F.regexp_extract_all(t, F.lit(p), F.lit(1)) for p in (V.LIKES, V.FANS)])
     clean = F.transform(found, lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     return F.slice(F.array_distinct(F.filter(clean, lambda p: p != "")), 1, most)
 
 
-def named_from(requests: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
-    """(request_id, names): terms of ``dictionary`` (name) that a text mentions as whole words, longest first.
-
-    Words meet words: an equality join on runs of up to six of them, whatever the
-    dictionary's size. Longer names and names without a word are never met.
-    """
-    words = F.array_join(F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9']+"), F.lit(0)), " ")
-    known = dictionary.select(F.lower(F.trim("name")).alias("name")).distinct().withColumn("phrase", words).filter("phrase <> ''")
-    asked = requests.select("request_id", F.explode(phrases(F.coalesce("text", F.lit("")))).alias("phrase"))
-    met = asked.join(known, "phrase").groupBy("request_id").agg(F.sort_array(F.collect_set(F.struct((-F.char_length("name")).alias("n"), "name"))).alias("found"))
-    return met.select("request_id", F.slice(F.col("found.name"), 1, most).alias("names"))
+def named_from(requests: DataFrame, dictionary: DataFrame, most: int, least_words: int = 1, least_chars: int = 1) -> DataFrame:
+    """(request_id, names): terms of ``dictionary`` (name) that a text mentions, longest first. Names have ``least_words`` tokens and ``least_chars`` characters or more."""
+    known = dictionary.select(F.lower(F.trim("name")).alias("name")).distinct().filter((F.size(tokens(F.col("name"))) >= least_words) & (F.char_length("name") >= least_chars))
+    found = met(requests, known).groupBy("request_id").agg(F.sort_array(F.collect_set(F.struct((-F.char_length("name")).alias("n"), "name"))).alias("found"))
+    return found.select("request_id", F.slice(F.col("found.name"), 1, most).alias("names"))
 
 
 def affinity_terms(requests: DataFrame, items: DataFrame, most: int = 8, first: int = 40) -> DataFrame:
@@ -191,85 +289,138 @@ def merged(df: DataFrame) -> DataFrame:
     longest_, least = F.coalesce(o("runtime.max"), F.when(short, 110)), o("runtime.min")
     runtime = F.when(longest_.isNotNull() | least.isNotNull(), F.struct(least.alias("min"), longest_.alias("max")))
     setting = F.nullif(F.substring(F.trim(F.coalesce(o("setting"), F.lit(""))), 1, 80), F.lit(""))
-    avoid = F.array_distinct(F.concat("avoid_phrases", low("avoid")))
+    avoid = F.array_distinct(F.concat("avoid_all", low("avoid")))
+    said_years = F.concat(F.col("year.min").cast("string"), F.lit("-"), F.col("year.max").cast("string"))
+    df = df.withColumns({"__said_year": year.isNotNull(), "year": F.coalesce(year, F.col("year"))})
     return df.withColumns(
         {
+            "year_label": F.when(F.col("__said_year"), said_years).otherwise(F.col("year_label")),
+            "overridden": F.col("override").isNotNull(),
             "all_genres": F.array_union("all_genres", F.transform(low("genres"), lambda g: F.coalesce(F.element_at(alias, g), g))),
             "avoid_all": avoid,
             "avoid_phrases": F.slice(avoid, 1, 6),
+            "avoid_tokens": F.array_union("avoid_tokens", tokens(F.array_join(low("avoid"), " "))),
             "said_people": low("people"),
-            "year": F.coalesce(year, F.col("year")),
             "short_requested": F.when(runtime.isNotNull(), short).otherwise(F.col("short_requested")),
             "runtime": F.coalesce(runtime, F.col("runtime")),
+            "said_setting": F.coalesce(setting, F.lit("")),
             "setting": F.coalesce(setting, F.col("setting")),
             "tone": F.slice(clean("tone"), 1, 4),
             "hints": F.slice(clean("hints"), 1, 5),
             "said_countries": F.slice(clean("countries"), 1, 3),
             "wants_quality": F.col("wants_quality") | F.coalesce(o("quality"), F.lit(False)),
         }
-    ).drop("override")
+    ).drop("override", "__said_year")
+
+
+def _table(terms: dict[str, tuple], names: tuple[str, ...]) -> Column:
+    """A lookup of lists, or of structs of lists, by term."""
+    lists = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+    value = lambda v: F.struct(*[lists(x).alias(n) for n, x in zip(names, v)]) if names else lists(v)
+    return F.create_map(*[x for k, v in terms.items() for x in (F.lit(k), value(v))])
+
+
+def language(text: Column, strict: bool = False) -> Column:
+    """struct(codes, countries) of the language or place that a text asks films from, else null."""
+    return F.element_at(_table(V.LANGUAGES, ("codes", "countries")), asked_term(text, V.LANGUAGES, strict))
+
+
+def certificates(text: Column, strict: bool = False) -> Column:
+    """The certificates that a text allows, else null."""
+    return F.element_at(_table(V.CERTIFICATES, ()), asked_term(text, V.CERTIFICATES, strict))
+
 
+def profile(requests: DataFrame, text_col: str = "text", strict: bool = False) -> DataFrame:
+    """Requests with the constraint columns that follow from their text and ``override`` alone.
 
-def profile(requests: DataFrame, text_col: str = "text") -> DataFrame:
-    """Requests with the constraint columns that follow from their text and ``override`` alone."""
+    Of several languages or certificates the longest mentioned term counts; with ``strict``
+    it is the first of the table, and "pg-13" is then "pg".
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lang = F.create_map(*[F.lit(x) if isinstance(x, str) else F.struct(F.array(*map(F.lit, x[0])).cast("array<string>").alias("codes"), F.array(*map(F.lit, x[1])).cast("array<string>").alias("countries")) for kv in V.LANGUAGES.items() for x in kv])
-    certs = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for kv in V.CERTIFICATES.items() for x in kv])
     low = F.lower(text)
-    phrases_ = negations(text)
     df = requests.withColumns(
         {
-            "year": year_range(text),
+            "__year": _years(text),
+            "year_said": year_relevant(text),
             "runtime": runtime_range(text),
-            "short_requested": low.rlike(V.SHORT),
+            "short_requested": normalize(text).rlike(V.SHORT),
             "min_rating": min_rating(text),
             "setting": setting_period(text),
-            "avoid_phrases": phrases_,
+            "avoid_all": refused(text),
+            "avoid_tokens": refused_tokens(text),
             "affinity_phrases": affinity_phrases(text),
             "all_genres": genres(text),
-            "blocked_genres": genres(F.array_join(phrases_, " ")),
-            "language": F.element_at(lang, longest(named(text, V.LANGUAGES))),
-            "certificates": F.element_at(certs, longest(named(text, V.CERTIFICATES))),
-            "wants_quality": low.rlike(V.QUALITY),
+            "blocked_genres": blocked_genres(text),
+            "language": language(text, strict),
+            "certificates": certificates(text, strict),
             "wants_all_time": low.rlike(V.ALL_TIME),
             "similar_request": low.rlike(V.SIMILAR),
-            "fuzzy": low.rlike(V.FUZZY),
+            "fuzzy": normalize(text).rlike(V.FUZZY),
             "mood": low.rlike(V.MOOD),
             "subgenre_keywords": subgenre_keywords(text),
         }
     )
+    asked = F.when(F.col("__year").isNotNull(), F.struct("__year.min", "__year.max"))
+    df = df.withColumns({"year": asked, "year_label": F.col("__year.label"), "fuzzy_words": F.col("fuzzy"), "wants_quality": low.rlike(V.QUALITY) | F.col("wants_all_time")}).drop("__year")
     df = merged(df)
     return df.withColumns({"avoid_terms": F.array_distinct(stems(F.array_join("avoid_all", " "))), "genres": F.array_except("all_genres", "blocked_genres")}).drop("avoid_all")
 
 
-def completed(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Profiles joined with ``people``, ``countries``, ``affinity_terms`` and seed columns: breadth, specificity and query terms.
+def _some(c: str) -> Column:
+    return F.size(c) > 0
 
-    A request is a similarity request only if a seed was found. Query terms are the
-    text's tokens without fillers, avoided terms and seed titles, then the tokens of
-    everything else that was understood.
+
+def breadth(df: DataFrame) -> DataFrame:
+    """specificity, broad_request and needs_backup from profile columns.
+
+    A request for quality is broad, one by similarity or mood isn't; others are if they
+    have at most one of eight signals, of which running time is none. A broad request,
+    one by similarity, and one for genres alone need good items beside what is recalled.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    some = lambda c: F.size(c) > 0
-    df = df.withColumn("similar_request", F.col("similar_request") & some("seed_docs"))
     year, runtime = F.col("year").isNotNull(), F.col("runtime.min").isNotNull() | F.col("runtime.max").isNotNull()
-    shared = [some("genres"), some("avoid_phrases"), some("people"), F.col("min_rating").isNotNull(), F.col("setting") != "", F.col("similar_request")]
+    shared = [_some("genres"), _some("avoid_phrases"), _some("people"), F.col("min_rating").isNotNull(), F.col("setting") != "", F.col("similar_request")]
     count = lambda xs: sum((x.cast("int") for x in xs), F.lit(0))
-    n, broad = count([*shared, year, runtime]), count([*shared, year, some("tone") | some("hints")])
+    n, few = count([*shared, year | F.col("year_said"), runtime]), count([*shared, year, _some("tone") | _some("hints")])
     df = df.withColumns(
         {
             "specificity": F.when(n >= 3, "high").when(n == 2, "medium").otherwise("low"),
-            "broad_request": F.col("wants_quality") | (~F.col("similar_request") & ~F.col("mood") & (broad <= 1)),
-            "affinity_genres": F.filter(F.array(*[F.lit(g) for g in sorted(set(V.GENRES.values()))]), lambda g: F.arrays_overlap(stems(g), "affinity_terms")),
-            "fuzzy": F.col("fuzzy") | F.col("similar_request") | (F.col("setting") != "") | some("tone") | some("hints"),
+            "broad_request": F.col("wants_quality") | (~F.col("similar_request") & ~F.col("mood") & (few <= 1)),
         }
     )
-    aimed = (some("genres") | some("affinity_genres")) & ~some("people") & ~year & ~runtime
-    df = df.withColumn("needs_backup", F.col("broad_request") | F.col("similar_request") | aimed)
+    aimed = (_some("genres") | _some("affinity_genres")) & ~_some("people") & ~year & ~runtime
+    return df.withColumn("needs_backup", F.col("broad_request") | F.col("similar_request") | aimed)
+
+
+def wants_dense(hits: Column) -> Column:
+    """Whether a completed profile calls for dense recall, given how many ``hits`` lexical recall has; the first rule that fits decides."""
+    vague = F.col("similar_request") | (F.col("setting") != "") | _some("tone") | _some("hints") | F.col("fuzzy_words")
+    return F.when(vague, True).when(_some("people"), False).otherwise(hits < 8)
+
+
+def completed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Profiles joined with ``people``, ``countries``, ``affinity_terms`` and seed columns: breadth, specificity, query terms and dense text.
+
+    A request is a similarity request only if a seed was found. Query terms are the
+    text's tokens without fillers, refused ones and seed titles, then the tokens of
+    everything else that was understood. Without any, a request that is neither broad
+    nor for quality is searched by its whole text.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn("similar_request", F.col("similar_request") & _some("seed_docs"))
+    df = df.withColumn("affinity_genres", F.filter(F.array(*[F.lit(g) for g in sorted(set(V.GENRES.values()))]), lambda g: F.arrays_overlap(stems(g), "affinity_terms")))
+    df = breadth(df)
+    df = df.withColumn("fuzzy", F.col("fuzzy_words") | F.col("similar_request") | (F.col("setting") != "") | _some("tone") | _some("hints"))
     empty = F.array().cast("array<string>")
     listed = lambda xs: F.array(*map(F.lit, xs))
     filler = F.concat(listed(V.REQUEST_FILLERS), F.when(F.col("wants_quality"), listed(V.QUALITY_FILLERS)).when(F.col("wants_all_time"), listed(["all", "best", "greatest", "time"])).otherwise(empty))
-    own = F.filter(F.array_except(F.array_except(tokens(text), filler), "seed_title_tokens"), lambda w: ~F.array_contains("avoid_terms", stem(w)))
-    seed = F.when(F.col("similar_request"), F.concat("seed_genres", F.slice(F.sort_array("seed_keywords"), 1, 8))).otherwise(empty)
-    more = tokens(F.array_join(F.concat("genres", "countries", F.when(F.col("mood"), listed(V.MOOD_TERMS)).otherwise(empty), seed, "affinity_terms", "subgenre_keywords", "tone", "hints", F.array("setting")), " "))
-    return df.withColumn("query_terms", F.transform(F.array_union(own, more), stem))
+    own = F.array_except(F.array_except(F.array_except(tokens(text), "avoid_tokens"), "seed_title_tokens"), filler)
+    words = lambda c: F.flatten(F.transform(c, lambda x: F.array_distinct(stems(x))))
+    seed = F.when(F.col("similar_request"), F.concat(words(F.col("seed_genres")), words(F.slice(F.sort_array("seed_keywords"), 1, 8)))).otherwise(empty)
+    more = tokens(F.array_join(F.concat("genres", "countries", "subgenre_keywords", "tone", "hints", F.array("said_setting")), " "))
+    every = F.array_union(own, F.array_distinct(F.concat(more, F.when(F.col("mood"), listed(V.MOOD_TERMS)).otherwise(empty), seed, "affinity_terms")))
+    df = df.withColumn("query_tokens", F.sort_array(F.when(F.col("overridden"), F.array_except(every, filler)).otherwise(every)))
+    spoken = F.filter(F.transform("query_tokens", stem), lambda w: ~w.isin(V.STOP_WORDS))
+    whole = F.when(F.col("broad_request"), empty).otherwise(stems(text))
+    said = F.when(F.trim(text) != "", F.trim(text)).otherwise(F.array_join("query_tokens", " "))
+    hints = F.when(F.col("overridden"), F.concat_ws(" ", F.nullif("setting", F.lit("")), F.concat_ws(" ", "tone"), F.concat_ws(" ", "hints"), F.concat_ws(" ", "countries"))).otherwise("")
+    return df.withColumns({"query_terms": F.when(_some("query_tokens"), spoken).otherwise(whole), "dense_text": F.trim(F.concat_ws(" ", said, F.nullif(F.trim(hints), F.lit(""))))})

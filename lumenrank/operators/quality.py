@@ -11,12 +11,16 @@ def effective(external: Column, native: Column) -> Column:
     return F.when(external > 0, external).otherwise(native)
 
 
-def add_quality(items: DataFrame, rating: str = "rating", votes: str = "votes") -> DataFrame:
-    """bayesian, reliability, consensus of each item. Corpus statistics are four numbers from one aggregation."""
+def add_quality(items: DataFrame, rating: str = "rating", votes: str = "votes", native: str | None = None) -> DataFrame:
+    """bayesian, reliability, consensus of each item. Corpus statistics are four numbers from one aggregation.
+
+    The prior is the mean of ratings above zero, else that of the ``native`` column, else 6.
+    """
     r, v = clip(F.coalesce(F.col(rating).cast("double"), F.lit(0.0)), 0.0, 10.0), F.greatest(F.coalesce(F.col(votes).cast("double"), F.lit(0.0)), F.lit(0.0))
     base = items.withColumn("__r", r).withColumn("__v", v)
-    c, m, top = base.agg(F.avg(F.nullif("__r", F.lit(0.0))), F.percentile("__v", 0.7), F.max("__v")).first()
-    c, m, top = (6.0 if c is None else c), max(300.0, m or 0.0), top or 0.0
+    own = F.col(native).cast("double") if native else F.lit(None).cast("double")
+    c, n, m, top = base.agg(F.avg(F.nullif("__r", F.lit(0.0))), F.avg(F.nullif(clip(own, 0.0, 10.0), F.lit(0.0))), F.percentile("__v", 0.7), F.max("__v")).first()
+    c, m, top = (n or 6.0) if c is None else c, max(300.0, m or 0.0), top or 0.0
     v, r = F.col("__v"), F.col("__r")
     bayes = v / (v + m) * r + m / (v + m) * c
     reliability = clip(F.log1p(v) / F.greatest(F.log1p(F.lit(float(top))), F.lit(1.0)), 0.0, 1.0)
@@ -32,3 +36,31 @@ def apply_overlay(base: DataFrame, overlay: DataFrame, key: str, fields: list[st
     for f in fields:
         changed = changed | ~value[f].eqNullSafe(F.col(f).cast("string"))
     return met.withColumn("changed", changed).withColumns(value).drop(*[f"__{f}" for f in fields])
+
+
+def overlay_of(items: DataFrame, ratings: DataFrame, key: str = "tmdb_id", join: str = "imdb_id") -> DataFrame:
+    """(key, join, rating fields): ratings of the items that share the joining id; blank ids meet nothing, and of several ids of a key the greatest counts."""
+    ids = items.select(F.trim(F.col(key).cast("string")).alias(key), F.trim(F.col(join).cast("string")).alias(join)).filter(f"{key} <> '' and {join} <> ''")
+    met = ids.join(ratings, join)
+    rest = [c for c in met.columns if c != key]
+    return met.groupBy(key).agg(F.max(F.struct(*rest)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def overlay_status(base: DataFrame, overlay: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """One row: total, overlay, current, needing and unmatched rows. A row is current if every non-blank overlay field stands in the base already."""
+    blank = lambda c: F.nullif(F.trim(c.cast("string")), F.lit(""))
+    new = overlay.select(key, *[blank(F.col(f)).alias(f"__{f}") for f in fields], F.lit(True).alias("__new"))
+    old = base.select(key, *fields, F.lit(True).alias("__old"))
+    met = old.join(new, key, "full_outer")
+    says, same = F.lit(False), F.lit(True)
+    for f in fields:
+        says = says | F.col(f"__{f}").isNotNull()
+        same = same & (F.col(f"__{f}").isNull() | F.col(f"__{f}").eqNullSafe(blank(F.col(f))))
+    has, held = F.col("__new").isNotNull() & says, F.col("__old").isNotNull()
+    return met.agg(
+        F.count("__old").alias("total"),
+        F.count("__new").alias("overlay"),
+        F.count_if(has & held & same).alias("current"),
+        F.count_if(has & held & ~same).alias("needing"),
+        F.count_if(has & ~held).alias("unmatched"),
+    )

@@ -21,20 +21,18 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", rank).filter("__n = 1").drop("__n")
 
 
-def guarded(df: DataFrame, keep: Column, least: int, by: list[str]) -> DataFrame:
-    """Rows that pass, if at least min(least, rows) of their group do; else the whole group."""
+def _enough(keep: Column, least: int, by: list[str], present: Column) -> Column:
+    """Whether at least min(least, present rows) of a group, and at least one, are kept."""
     w = Window.partitionBy(*by)
-    n, ok = F.count("*").over(w), F.count(F.when(keep, 1)).over(w)
-    marked = df.withColumn("__ok", ok >= F.least(F.lit(least), n)).withColumn("__keep", F.coalesce(keep, F.lit(False)))
-    return marked.filter("__keep or not __ok").drop("__ok", "__keep")
+    n, ok = F.count_if(present).over(w), F.count_if(present & keep).over(w)
+    return (ok > 0) & (ok >= F.least(F.lit(least), n))
 
 
-def append_missing(base: DataFrame, extra: DataFrame, keys: list[str], by: list[str], order: list[Column], most: int, source: str) -> DataFrame:
-    """``base`` with up to ``most`` rows per group of ``extra`` that it lacks, tagged in ``constraint_source``."""
-    new = extra.join(base.select(*keys), keys, "left_anti")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    new = new.withColumn("__n", rank).filter(F.col("__n") <= most).drop("__n").withColumn("constraint_source", F.lit(source))
-    return base.unionByName(new, allowMissingColumns=True)
+def guarded(df: DataFrame, keep: Column, least: int, by: list[str]) -> DataFrame:
+    """Rows that pass, if at least min(least, rows) of their group do; else the whole group."""
+    marked = df.withColumn("__keep", F.coalesce(keep, F.lit(False)))
+    marked = marked.withColumn("__ok", _enough(F.col("__keep"), least, by, F.lit(True)))
+    return marked.filter("__keep or not __ok").drop("__ok", "__keep")
 
 
 def diversify(df: DataFrame, root: str, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -93,8 +91,36 @@ def tag_or_append(df: DataFrame, matches: Column, source: str, order: list[Colum
 
 def narrow(df: DataFrame, keep: Column, least: int, when: Column) -> DataFrame:
     """Present rows that don't pass leave, if at least min(least, present) of their request do, and ``when`` holds."""
-    w = Window.partitionBy("request_id")
     keep = F.coalesce(keep, F.lit(False))
-    n, ok = F.count_if("present").over(w), F.count_if(F.col("present") & keep).over(w)
-    enough = (ok > 0) & (ok >= F.least(F.lit(least), n)) & F.coalesce(when, F.lit(False))
+    enough = _enough(keep, least, ["request_id"], F.col("present")) & F.coalesce(when, F.lit(False))
     return df.withColumn("__enough", enough).withColumn("present", F.col("present") & (keep | ~F.col("__enough"))).drop("__enough")
+
+
+def second_stage(pool: DataFrame, order: list[Column], most: int, k: int) -> DataFrame:
+    """The first ``most`` rows of each request, of them the first ``k``, and the three best lexical hits where a person is named."""
+    at = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
+    first = pool.withColumn("__n", at).filter(F.col("__n") <= most)
+    return first.filter((F.col("__n") <= k) | (F.col("has_people") & (F.col("bm25_rank") <= 3))).drop("__n")
+
+
+def only(items: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The items that ``ids`` names."""
+    return items.join(ids.select(*on), on, "left_semi")
+
+
+def without(items: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
+    """The items that ``ids`` doesn't name."""
+    return items.join(ids.select(*on), on, "left_anti")
+
+
+def evidence(df: DataFrame) -> DataFrame:
+    """The match flags of scored rows: what wasn't asked, or the catalogue can't have, counts as met; so does the constraint that brought a row in."""
+    c = F.col
+    met = {
+        "genre_match": c("asked_genre") | ~c("has_genres"),
+        "person_match": c("asked_person") | ~c("has_people"),
+        "year_match": c("asked_year") | ~c("has_year") | ~c("year_available") | (c("constraint_source") == "year"),
+        "runtime_match": c("asked_runtime") | ~c("has_runtime") | ~c("runtime_available") | (c("constraint_source") == "runtime"),
+        "seed_match": ~c("similar_request") | (c("seed_relation") != "") | c("seed_overlap"),
+    }
+    return df.withColumns(met)

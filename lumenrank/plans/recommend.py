@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..functions.values import DENSE_TOP, FIELD_WEIGHTS, LEXICAL_TOP, POOL, SECOND_STAGE, SHORTLIST
-from ..operators import dense, index, lexical, parsing, quality, ranking, selection
+from ..functions.values import DENSE_TOP, LEXICAL_TOP, POOL, SECOND_STAGE, SHORTLIST, TEXT_COLUMNS
+from ..operators import answers, dense, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
+from ..sources.catalogue import ensure_columns
 from ..sources.stages import written
 
 #: Appended rows of each kind, and how many a request can have before they are taken: all recalled and appended ones.
@@ -16,14 +17,18 @@ APPENDED = 20
 KINDS = ("person", "quality", "year", "runtime")
 WIDE = LEXICAL_TOP + DENSE_TOP + APPENDED * (len(KINDS) + 1)
 TEXTS = "array<string>"
+#: Tasks over which rows that meet on a few values alone are spread.
+SALTS = 32
 
 
 def prepare(catalogue: DataFrame) -> DataFrame:
-    """Typed and derived catalogue columns; ``doc`` is the item's id."""
+    """Typed and derived catalogue columns; ``doc`` is the item's id. Columns that lack are empty."""
+    catalogue = ensure_columns(catalogue)
     votes = quality.effective(N.votes(F.col("imdb_votes")), N.votes(F.col("vote_count").cast("string")))
     rating = quality.effective(N.number(F.col("imdb_rating")), N.number(F.col("vote_average").cast("string")))
     df = catalogue.withColumns({"doc": F.col("tmdb_id").cast("long"), "rating": rating, "votes": votes})
-    blob = F.concat_ws(" ", *[F.col(c) for c in FIELD_WEIGHTS if c in catalogue.columns])
+    blob = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TEXT_COLUMNS])
+    titles = F.transform(F.concat(F.array("title", "original_title"), N.json_strings(F.col("alternative_titles"))), lambda t: T.normalize(F.coalesce(t, F.lit(""))))
     df = df.withColumns(
         {
             "year_n": N.number(F.col("year").cast("string")).cast("int"),
@@ -34,38 +39,32 @@ def prepare(catalogue: DataFrame) -> DataFrame:
             "places": F.array_union(T.csv_set(F.col("production_countries")), T.csv_set(F.col("spoken_languages"))),
             "similar_ids": N.json_ints(F.col("similar_tmdb_ids")),
             "recommended_ids": N.json_ints(F.col("recommended_tmdb_ids")),
+            "native_rating": N.number(F.col("vote_average").cast("string")),
+            "titles": F.array_distinct(F.filter(titles, lambda t: t != "")),
             "root": T.title_root(F.col("title")),
             "blob": T.normalize(blob),
             "terms": F.array_distinct(T.stems(blob)),
         }
     )
-    return quality.add_quality(df)
+    return quality.add_quality(df, native="native_rating")
 
 
-def _yes(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
-def understand(requests: DataFrame, items: DataFrame) -> DataFrame:
+def understand(requests: DataFrame, items: DataFrame, strict: bool = False) -> DataFrame:
     """One row per request with its whole profile: text, override, and what the catalogue's own names add.
 
     People, places and titles are met by equality joins; ``seen`` holds the documents
-    that must not come back: the history by id or title, and seeds of a similarity request.
+    that must not come back: the history by id, title or variant, and seeds of a similarity request.
     """
-    asked = written(parsing.profile(requests), "profile")
-    titles = F.array_compact(F.concat(F.array("title", "original_title"), N.json_strings(F.col("alternative_titles"))))
-    people = parsing.named_from(asked, items.select(F.explode("people").alias("name")), 6)
-    places = parsing.named_from(asked, items.select(F.explode("places").alias("name")), 3)
+    asked = written(parsing.profile(requests, strict=strict), "profile")
+    people = parsing.named_from(asked, items.select(F.explode("people").alias("name")), 6, least_words=2)
+    places = parsing.named_from(asked, items.select(F.explode("places").alias("name")), 3, least_chars=4)
     liked = parsing.affinity_terms(asked, items)
-    told = asked.select("request_id", F.explode("history").alias("h"))
-    by_title = told.join(items.select("doc", F.lower("title").alias("t")), F.lower(F.trim("h.name")) == F.col("t")).select("request_id", "doc")
-    seen = told.select("request_id", F.col("h.id").cast("long").alias("doc")).unionByName(by_title).filter("doc is not null")
+    told = asked.select("request_id", F.explode("history").alias("h")).select("request_id", F.col("h.id").cast("long").alias("id"), F.col("h.name").alias("name"))
+    by_name = parsing.resolved_history(told, items, F.col("titles")).select("request_id", "doc")
+    seen = told.select("request_id", F.col("id").alias("doc")).unionByName(by_name).filter("doc is not null")
     seen = seen.groupBy("request_id").agg(F.collect_set("doc").alias("history_docs"))
 
-    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(f"seed_{c}")
-    seeds = parsing.mentioned_items(asked, items, titles).join(items.select("doc", "title", "similar_ids", "recommended_ids", "genre_set", "keyword_set"), "doc")
-    seeds = seeds.withColumns({"genres": F.col("genre_set"), "keywords": F.slice(F.sort_array("keyword_set"), 1, 10), "title_tokens": T.tokens(F.col("title"))})
-    seeds = seeds.groupBy("request_id").agg(F.collect_set("doc").alias("seed_docs"), *map(union, ("similar_ids", "recommended_ids", "genres", "keywords", "title_tokens")))
+    seeds = parsing.seed_signals(parsing.mentioned_items(asked, items, F.col("titles")), items)
 
     for extra in (people.withColumnRenamed("names", "found_people"), places.withColumnRenamed("names", "found_places"), liked, seen, seeds):
         asked = asked.join(extra, "request_id", "left")
@@ -76,7 +75,7 @@ def understand(requests: DataFrame, items: DataFrame) -> DataFrame:
     asked = asked.withColumns({"people": F.slice(F.array_union("found_people", "said_people"), 1, 6), "countries": countries})
     asked = parsing.completed(asked)
     seeds_out = F.when(F.col("similar_request"), F.col("seed_docs")).otherwise(F.array().cast("array<bigint>"))
-    floor = F.when(F.col("wants_all_time"), 8.0).when(F.col("wants_quality"), 7.4).otherwise(7.2)
+    floor = matching.quality_floor(F.col("wants_quality"), F.col("wants_all_time"), backup=True)
     target = F.when(F.size("genres") > 0, F.col("genres")).when(F.col("similar_request") & (F.size("seed_genres") > 0), F.col("seed_genres")).otherwise(F.col("affinity_genres"))
     return asked.withColumns({"seen": F.array_union("history_docs", seeds_out), "quality_floor": floor, "target_genres": target}).drop("history", "found_people", "found_places", "said_people", "said_countries")
 
@@ -100,7 +99,10 @@ def _matches(asked: DataFrame, items: DataFrame) -> DataFrame:
     floors = F.filter(F.array(F.lit(8.0), F.lit(7.4), F.lit(7.2)), lambda x: F.col("rating") >= x)
     good = items.filter("votes >= 1000").select("doc", "genre_set", F.explode(floors).alias("quality_floor"))
     backed = asked.filter("needs_backup").select("request_id", "quality_floor", "target_genres", "seen", "blocked_genres")
-    rows = backed.join(good, "quality_floor").filter("not array_contains(seen, doc) and not arrays_overlap(genre_set, blocked_genres)").withColumn("aimed", F.arrays_overlap("genre_set", "target_genres"))
+    # Three floors are three keys; salts spread each of them over SALTS tasks.
+    good = good.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
+    backed = backed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = backed.join(good, ["quality_floor", "salt"]).filter("not array_contains(seen, doc) and not arrays_overlap(genre_set, blocked_genres)").withColumn("aimed", F.arrays_overlap("genre_set", "target_genres"))
     counts = rows.groupBy("request_id").agg((F.count_if("aimed") >= F.least(F.lit(5), F.count("*"))).alias("narrowed"))
     by_quality = rows.join(counts, "request_id").filter("aimed or not narrowed or size(target_genres) = 0").select("request_id", "doc", F.lit("quality").alias("kind"))
     return reduce(DataFrame.unionByName, (by_person, by_quality, by_year, by_time))
@@ -122,37 +124,31 @@ def _evidence(pairs: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame
     """
     wanted = asked.drop("query_terms", "text", "countries").withColumnsRenamed({"genres": "genres_asked", "people": "people_asked"})
     rows = pairs.join(wanted, "request_id").join(items.drop("genres", "year", "similar_ids", "recommended_ids"), "doc")
-    rows = rows.filter(~F.array_contains("seen", F.col("doc")) & ~_yes(F.arrays_overlap("genre_set", "blocked_genres")))
-    c, size, none = F.col, F.size, F.lit(0)
-    blob_hit = F.exists("avoid_phrases", lambda p: F.contains("blob", p))
-    where = T.normalize(F.coalesce("production_countries", F.lit("")))
-    countries = (size("language.codes") == 0) & F.exists("language.countries", lambda x: F.contains(where, x))
-    shared = F.size(F.array_intersect("genre_set", "genres_asked"))
-    timed = c("runtime.min").isNotNull() | c("runtime.max").isNotNull()
-    fits = (c("runtime_n") >= F.coalesce("runtime.min", none)) & (c("runtime_n") <= F.coalesce("runtime.max", F.lit(10**6)))
-    least = F.when(c("wants_quality"), F.when(c("wants_all_time"), 8.0).otherwise(7.4)).otherwise(6.5)
-    far = (c("sem_score") > 0) & (c("bm25_score") <= 0)
-    trusted = ((size("genres_asked") == 0) | (shared >= F.least(F.lit(2), size("genres_asked")))) & ~F.arrays_overlap("terms", "avoid_terms") & ((size("people_asked") == 0) | (c("sem_score") >= 0.72))
+    rows = rows.filter(matching.eligible(F.col("doc"), F.col("seen"), F.col("genre_set"), F.col("blocked_genres")))
+    c, size, none, both = F.col, F.size, F.lit(0), matching.overlaps
+    shared = F.coalesce(F.size(F.array_intersect("genre_set", "genres_asked")), none)
+    refused = both(c("terms"), c("avoid_terms"))
+    least = matching.quality_floor(c("wants_quality"), c("wants_all_time"))
     flags = {
-        "wrong_language": c("language").isNotNull() & ~_yes(F.array_contains("language.codes", T.normalize(c("original_language"))) | countries),
-        "wrong_certificate": c("certificates").isNotNull() & ~_yes(F.array_contains("certificates", T.normalize(c("us_rating")))),
-        "seed_overlap": _yes(F.arrays_overlap("genre_set", "seed_genres") | F.arrays_overlap("keyword_set", "seed_keywords")),
-        "asked_genre": _yes(shared > 0),
-        "asked_person": _yes(F.arrays_overlap("people", "people_asked")),
-        "asked_year": _yes(c("year_n").between(c("year.min"), c("year.max"))),
-        "asked_runtime": timed & _yes(fits),
-        "avoid_hit": _yes(F.arrays_overlap("terms", "avoid_terms") | blob_hit),
+        "wrong_language": ~matching.language_match(c("original_language"), c("production_countries"), c("language")),
+        "wrong_certificate": ~matching.certificate_match(c("us_rating"), c("certificates")),
+        "seed_overlap": both(c("genre_set"), c("seed_genres")) | both(c("keyword_set"), c("seed_keywords")),
+        "asked_genre": shared > 0,
+        "asked_person": both(c("people"), c("people_asked")),
+        "asked_year": matching.year_match(c("year_n"), c("year")),
+        "asked_runtime": matching.runtime_match(c("runtime_n"), c("runtime")),
+        "avoid_hit": matching.avoid_hit(c("terms"), c("blob"), c("genre_set"), c("avoid_terms"), c("avoid_phrases"), c("blocked_genres")),
         "has_genres": size("genres_asked") > 0,
         "has_people": size("people_asked") > 0,
         "has_avoid": size("avoid_phrases") > 0,
         "has_year": c("year").isNotNull(),
-        "has_runtime": timed,
+        "has_runtime": c("runtime.min").isNotNull() | c("runtime.max").isNotNull(),
         "subgenre_request": size("subgenre_keywords") > 0,
-        "good": c("needs_backup") & _yes((c("rating") >= c("quality_floor")) & (c("votes") >= 1000)),
-        "aimed": (size("target_genres") == 0) | _yes(F.arrays_overlap("genre_set", "target_genres")),
-        "stable": _yes((c("rating") >= least) & (c("votes") >= 1000)),
-        "within_180": _yes(c("runtime_n") <= 180),
-        "doubtful": _yes(far) & ~_yes(trusted),
+        "good": c("needs_backup") & matching.well_rated(c("rating"), c("votes"), c("quality_floor")),
+        "aimed": (size("target_genres") == 0) | both(c("genre_set"), c("target_genres")),
+        "stable": matching.well_rated(c("rating"), c("votes"), least),
+        "within_180": matching.known(c("runtime_n") <= 180),
+        "doubtful": matching.doubtful(c("sem_score"), c("bm25_score"), shared, size("genres_asked"), refused, size("people_asked")),
     }
     relation = F.when(F.array_contains("seed_similar_ids", c("doc")), "similar").when(F.array_contains("seed_recommended_ids", c("doc")), "recommended").otherwise("")
     overlap = F.coalesce(size(F.array_intersect("keyword_set", "subgenre_keywords")), none)
@@ -188,6 +184,16 @@ def candidates(asked: DataFrame, items: DataFrame, hits: DataFrame, near: DataFr
     rows = rows.groupBy("request_id", "doc").agg(F.max("present").alias("present"), *[F.max(c).alias(c) for c in _RECALL]).na.fill(0.0, ["bm25_score", "sem_score", "vote_score"])
     df = written(_score(_evidence(rows, asked, items)), "evidence")
 
+    return _score(constrained(df, order)).drop("narrowed")
+
+
+def constrained(df: DataFrame, order: list[Column]) -> DataFrame:
+    """The rows that are present after all steps, in their order: seeds' neighbours, people and quality come in; doubtful and
+    badly rated rows leave; years and running times come in and narrow what is there.
+
+    ``df`` has request_id, present, constraint_source, the recall columns, and the
+    evidence of every row that could come in; ``order`` says which of those come first.
+    """
     counted = Window.partitionBy("request_id")
     fit = F.count_if(F.col("good") & F.col("aimed")).over(counted) >= F.least(F.lit(5), F.count_if("good").over(counted))
     df = df.withColumns({"narrowed": fit, "year_available": F.max("asked_year").over(counted), "runtime_available": F.max("asked_runtime").over(counted)})
@@ -201,7 +207,7 @@ def candidates(asked: DataFrame, items: DataFrame, hits: DataFrame, near: DataFr
     df = ranking.tag_or_append(df, F.col("asked_runtime"), "runtime", order, APPENDED)
     df = ranking.narrow(df, F.col("within_180"), 8, F.col("short_requested") & F.col("runtime_available"))
     df = ranking.narrow(df, F.col("asked_runtime"), 8, F.col("runtime_available"))
-    return _score(df.filter("present")).drop("narrowed")
+    return df.filter("present")
 
 
 def fallback(asked: DataFrame, items: DataFrame, pool: DataFrame) -> DataFrame:
@@ -211,51 +217,126 @@ def fallback(asked: DataFrame, items: DataFrame, pool: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("request_id"), F.lit(max(blocks, 1)))
     found = pool
     for i in range(blocks):
-        pairs = items.select("doc").join(F.broadcast(lone.filter(part == i).select("request_id")), how="cross")
+        salted = lone.filter(part == i).select("request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        pairs = items.select("doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")).join(salted, "salt")
         df = _evidence(_unrecalled(pairs, True), asked, items).withColumns({"year_available": F.col("asked_year"), "runtime_available": F.col("asked_runtime")})
         found = found.unionByName(_score(df))
     return found
 
 
-def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, k: int = SHORTLIST) -> DataFrame:
-    """Top ``k`` per request. ``requests``: request_id, text, history array<struct<id, name>>, and maybe override (parsing.OVERRIDE).
-
-    Requests are one side of every join and partition every window by request_id,
-    so many requests are one job.
-    """
+def _prepared(catalogue: DataFrame, requests: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
     items = written(prepare(catalogue), "items")
-    asked = written(understand(requests, items), "asked")
+    return items, written(understand(requests, items, strict), "asked")
+
+
+def _top(items: DataFrame, asked: DataFrame, vectors: DataFrame | None, embeddings: DataFrame | None, k: int) -> DataFrame:
     seen = asked.select("request_id", F.explode("seen").alias("doc"))
     postings, stats, lengths = index.build(items, "doc", long_field="overview")
     terms = asked.select("request_id", F.explode("query_terms").alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("qtf"))
-    hits = lexical.search(terms, postings, stats, lengths, seen)
-    if vectors is None:
-        near = asked.sparkSession.createDataFrame([], f"request_id {asked.schema['request_id'].dataType.simpleString()}, doc long, sem_raw double, sem_rank int, sem_score double")
+    hits = written(lexical.search(terms, postings, stats, lengths, seen), "hits")
+    kind = asked.schema["request_id"].dataType.simpleString()
+    if vectors is None or embeddings is None:
+        near = asked.sparkSession.createDataFrame([], f"request_id {kind}, doc long, sem_raw double, sem_rank int, sem_score double")
     else:
-        near = dense.search(vectors, embeddings, seen)
+        near = written(dense.search(gated(vectors, asked, hits), embeddings, seen), "near")
     pool = written(candidates(asked, items, hits, near), "pool")
-    pool = fallback(asked, items, pool)
+    every = fallback(asked, items, pool)
+    found = lambda df, c: df.select("request_id").distinct().withColumn(c, F.lit(True))
+    modes = asked.select("request_id").join(found(near, "d"), "request_id", "left").join(found(hits, "l"), "request_id", "left").join(found(pool, "p"), "request_id", "left")
+    modes = modes.select("request_id", F.when(F.col("p").isNull(), "fallback").when(F.col("d"), "hybrid").when(F.col("l"), "lexical").otherwise("constraints").alias("mode"))
     order = [F.desc("score"), F.desc("vote_score"), F.desc("consensus"), F.desc("rating"), F.desc("votes"), F.col("doc")]
-    at = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
-    first = pool.withColumn("__n", at).filter(F.col("__n") <= POOL)
-    first = first.filter((F.col("__n") <= SECOND_STAGE) | (F.col("has_people") & (F.col("bm25_rank") <= 3))).drop("__n")
-    met = {
-        "genre_match": F.col("asked_genre") | ~F.col("has_genres"),
-        "person_match": F.col("asked_person") | ~F.col("has_people"),
-        "year_match": F.col("asked_year") | ~F.col("has_year") | ~F.col("year_available") | (F.col("constraint_source") == "year"),
-        "runtime_match": F.col("asked_runtime") | ~F.col("has_runtime") | ~F.col("runtime_available") | (F.col("constraint_source") == "runtime"),
-        "seed_match": ~F.col("similar_request") | (F.col("seed_relation") != "") | F.col("seed_overlap"),
-    }
-    top = ranking.diversify(first.withColumns(met), "root", ["request_id"], order, k)
-    return top.join(items.select("doc", "title", "genre_set", "year_n", "runtime_n"), "doc")
+    first = ranking.second_stage(every, order, POOL, SECOND_STAGE)
+    top = ranking.diversify(ranking.evidence(first), "root", ["request_id"], order, k)
+    return top.join(items.select("doc", "title", "genre_set", "year_n", "runtime_n"), "doc").join(modes, "request_id")
+
 
+def gated(vectors: DataFrame, asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """The vectors of requests that dense recall is for: vague ones, and those with few lexical hits and no named person."""
+    n = hits.groupBy("request_id").agg(F.count("*").alias("n_hits"))
+    wanted = asked.join(n, "request_id", "left").filter(parsing.wants_dense(F.coalesce("n_hits", F.lit(0))))
+    return vectors.join(wanted.select("request_id"), "request_id", "left_semi")
 
-def recommend(catalogue: DataFrame, requests: DataFrame, **more) -> DataFrame:
-    """One item per request: request_id, doc, title, description, confidence, route, score and the reasons."""
-    top = written(shortlist(catalogue, requests, **more), "top")
+
+def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, k: int = SHORTLIST, strict: bool = False) -> DataFrame:
+    """Top ``k`` per request. ``requests``: request_id, text, history array<struct<id, name>>, and maybe override (parsing.OVERRIDE).
+
+    Requests are one side of every join and partition every window by request_id,
+    so many requests are one job. ``strict`` counts the first language or certificate
+    of the tables instead of the longest one mentioned.
+    """
+    items, asked = _prepared(catalogue, requests, strict)
+    return _top(items, asked, vectors, embeddings, k)
+
+
+def record(top: DataFrame) -> DataFrame:
+    """The shortlist as it is handed out: numbers at three decimals, ranks and votes whole, no rank as 0."""
+    r = lambda c: N.rounded(F.coalesce(c, F.lit(0.0))).alias(c)
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    flags = ["genre_match", "avoid_hit", "person_match", "year_match", "runtime_match", "seed_match"]
+    return top.select("request_id", "rank", "doc", "title", *map(r, ("score", "sem_score", "bm25_score", "vote_score", "rating", "consensus")), *map(whole, ("bm25_rank", "sem_rank", "votes")), "seed_relation", "constraint_source", *flags)
+
+
+def enriched(top: DataFrame, items: DataFrame, asked: DataFrame) -> DataFrame:
+    """Shortlist rows with the texts that prompts show; overviews of 220 characters, and years only where a request speaks of them."""
+    texts = items.select("doc", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("genres", "director", "top_cast", "keywords", "production_countries")], F.substring(F.coalesce("overview", F.lit("")), 1, 220).alias("overview"))
+    speaks = asked.select("request_id", (F.col("year").isNotNull() | F.col("year_said")).alias("__speaks"))
+    rows = top.drop("genre_set").join(texts, "doc").join(speaks, "request_id")
+    return rows.withColumn("year", F.when(F.col("__speaks"), F.col("year_n"))).drop("__speaks")
+
+
+def described(best: DataFrame, items: DataFrame, asked: DataFrame) -> DataFrame:
+    """``best`` (one row per request) with its deterministic description."""
+    rows = enriched(best, items, asked).drop("target_genres", "wants_quality", "min_rating", "year")
+    speaks = F.col("year").isNotNull() | F.col("year_said")
+    opened = (F.size("genres") == 0) & (F.size("tone") == 0) & (F.size("avoid_phrases") == 0) & ~speaks & (F.col("setting") == "") & ~F.col("wants_quality") & (F.size("countries") == 0) & (F.size("hints") == 0)
+    said = asked.select("request_id", F.col("genres").alias("target_genres"), "tone", "setting", "wants_quality", "min_rating", "year_label", opened.alias("open_request"))
+    rows = rows.join(said, "request_id").withColumn("year_missing", F.col("has_year") & ~F.col("year_available"))
+    return rows.withColumn("description", selection.describe(rows))
+
+
+def notes(top: DataFrame, asked: DataFrame) -> DataFrame:
+    """(request_id, note): what a prompt must own up to, where the catalogue has nothing of the asked years."""
+    gone = top.filter("rank = 1 and has_year and not year_available").select("request_id")
+    label = F.coalesce("year_label", F.lit("requested years"))
+    return asked.join(gone, "request_id", "left_semi").select("request_id", F.concat(F.lit("The catalogue has nothing from the asked era ("), label, F.lit("). Take the closest candidate and say so briefly.")).alias("note"))
+
+
+def recommend(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None = None, embeddings: DataFrame | None = None, model: hooks.Model | None = None, intent_model: hooks.Model | None = None, strict: bool = False) -> DataFrame:
+    """One item per request: request_id, doc, title, description, confidence, route, score and the reasons.
+
+    Without a ``model`` the choice and its text are deterministic. With one, requests of
+    high confidence get a description of their top row, the others a choice among five or
+    eight; what a model leaves out or gets wrong falls back to the deterministic answer.
+    An ``intent_model`` reads each request first and its findings are merged in.
+    """
+    if intent_model is not None:
+        genres = catalogue.select(F.explode(T.csv_list(F.col("genres"))).alias("genre")).distinct()
+        found = hooks.intents(requests, genres, intent_model)
+        requests = requests.drop("override").join(found, "request_id", "left")
+    items, asked = _prepared(catalogue, requests, strict)
+    top = written(_top(items, asked, vectors, embeddings, SHORTLIST), "top")
     gaps = ranking.score_gaps(top, ["request_id"], [F.col("rank")], "score").select("request_id", "top", F.coalesce("gap2", "top").alias("gap1"))
-    routed = selection.confidence(top.filter("rank = 1").join(gaps, "request_id")).select("request_id", "confidence", "route", "convergence", "fulfilment", "specificity", "contradictions")
-    best = selection.choose(top, ["request_id"], ~F.col("avoid_hit"), F.coalesce("rating", F.lit(0.0)), F.coalesce("votes", F.lit(0.0)))
-    said = selection.describe(F.col("title"), F.col("genre_set"), F.col("year_n"), F.col("rating"))
-    best = best.select("request_id", "doc", "title", said.alias("description"), "score")
-    return best.join(routed, "request_id").select("request_id", "doc", "title", "description", "confidence", "route", "score", "convergence", "fulfilment", "specificity", "contradictions")
+    routed = selection.confidence(top.filter("rank = 1").join(gaps, "request_id")).select("request_id", "confidence", "route", "convergence", "fulfilment", "specificity", "contradictions", "mode")
+    safe = described(selection.choose(top, ["request_id"]), items, asked).select("request_id", "doc", "title", "description", "score").withColumn("used_llm", F.lit(False))
+    if model is not None:
+        handed = enriched(selection.routed(top, routed), items, asked)
+        told = asked.select("request_id", "text", "setting", "people", "countries").join(notes(top, asked), "request_id", "left")
+        choice = routed.filter("route <> 'description_only'").select("request_id")
+        ask = prompts.selection(told.join(choice, "request_id", "left_semi"), handed).unionByName(prompts.description(told.join(choice, "request_id", "left_anti"), handed.filter("rank = 1")))
+        said = written(hooks.ask(ask, model, hooks.CHOICE), "said")
+        safe = merged_answers(said, handed, routed, safe, described(top.filter("rank = 1"), items, asked))
+    return safe.join(routed, "request_id").select("request_id", "doc", "title", "description", "confidence", "route", "score", "convergence", "fulfilment", "specificity", "contradictions", "mode", "used_llm")
+
+
+def merged_answers(said: DataFrame, handed: DataFrame, routed: DataFrame, safe: DataFrame, first: DataFrame) -> DataFrame:
+    """Each request's answer: the model's row and text; the top row and its own text where the model named none; ``safe`` where it failed."""
+    found = answers.resolve(said.filter("answer is not null"), handed).join(routed.select("request_id", "route"), "request_id")
+    told = said.filter("answer is not null").select("request_id", F.trim(F.coalesce(answers.field("answer", "description"), F.lit(""))).alias("told"))
+    top = first.select("request_id", F.col("doc").alias("top_doc"), F.col("description").alias("own"))
+    picked = found.join(told, "request_id").join(top, "request_id")
+    only = F.col("route") == "description_only"
+    doc = F.when(only, F.col("top_doc")).otherwise(F.coalesce("doc", "top_doc"))
+    text = F.when(only & (F.col("told") == "") | ~only & F.col("doc").isNull(), F.col("own")).otherwise(F.substring("told", 1, 500))
+    picked = picked.select("request_id", doc.alias("doc"), text.alias("description")).join(handed.select("request_id", "doc", "title", "score"), ["request_id", "doc"])
+    picked = picked.select("request_id", "doc", "title", "description", "score").withColumn("used_llm", F.lit(True))
+    return picked.unionByName(safe.join(picked.select("request_id"), "request_id", "left_anti"))

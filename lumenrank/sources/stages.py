@@ -2,22 +2,55 @@
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_local: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one is set only where there is none, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only in local mode, where there is none, as in tests."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared.rstrip("/")
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="stages-")
+    return _local[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system it is."""
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session is gone, and its temporary folder with it
+        pass
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table of its own. Readers prune its columns and know its size."""
+    """``df`` as a Parquet table of its own. Readers prune its columns and know its size.
+
+    ``release`` deletes it. A caller that hands a lazy result on leaves that to whoever
+    reads the result, or to the end of the application's folder.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/stage-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            remove(table.sparkSession, path)
