@@ -8,9 +8,14 @@ from .values import STOP_WORDS
 TOKEN = "[a-z0-9']+"
 
 
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))
+
+
 def normalize(c: Column) -> Column:
     """Trimmed, lower case, one spelling for science fiction."""
-    return F.replace(F.replace(F.replace(F.lower(F.trim(c)), F.lit("sci-fi"), F.lit("science fiction")), F.lit("sci fi"), F.lit("science fiction")), F.lit("scifi"), F.lit("science fiction"))
+    return F.replace(F.replace(F.replace(F.lower(strip(c)), F.lit("sci-fi"), F.lit("science fiction")), F.lit("sci fi"), F.lit("science fiction")), F.lit("scifi"), F.lit("science fiction"))
 
 
 def term_list(c: Column) -> Column:
@@ -52,7 +57,7 @@ def csv_head(c: Column, n: int) -> Column:
 
 def title_root(c: Column) -> Column:
     """Franchise root: before " - " and ":", up to a part's or chapter's number, without a last number. It may be empty."""
-    base = F.substring_index(F.substring_index(normalize(c), " - ", 1), ":", 1)
+    base = F.substring_index(F.substring_index(normalize(F.coalesce(c, F.lit(""))), " - ", 1), ":", 1)
     named = F.trim(F.regexp_replace(base, r"(?s)\b(part|chapter|episode|vol|volume)\b.*$", ""))
     return F.trim(F.regexp_replace(named, r"\b\d+\b$", ""))
 
@@ -78,9 +83,9 @@ def word_cap(c: Column, n: int) -> Column:
 
 def strip_fence(c: Column) -> Column:
     """A model's text without the code fence around it: its first line, and the closing marks."""
-    whole = F.trim(c)
+    whole = strip(c)
     opened = F.regexp_replace(whole, r"(?s)^[^\n]*\n", "")
-    return F.when(whole.startswith("```"), F.trim(F.regexp_replace(opened, r"(?s)```$", ""))).otherwise(whole)
+    return F.when(whole.startswith("```"), strip(F.regexp_replace(opened, r"(?s)```$", ""))).otherwise(whole)
 
 
 #: Short forms whose full stop ends no sentence.
@@ -91,7 +96,7 @@ def first_sentence(c: Column, n: int = 180, least: int = 40) -> Column:
     """The text's first ``n`` characters up to the first sentence that ends past ``least``, else cut at a word; one full stop ends it."""
     whole = F.coalesce(c, F.lit(""))
     head = F.rtrim(F.substring(whole, 1, n))
-    ends = [F.regexp_extract(head, rf"(?s)^(.*?(?<!\b(?:{SHORT_FORMS})){mark}) ", 1) for mark in (r"\.", "!", r"\?")]
+    ends = [F.regexp_extract(head, rf"(?s)^(.*?(?<!{SHORT_FORMS}){mark}) ", 1) for mark in (r"\.", "!", r"\?")]
     found = F.coalesce(*[F.when(F.char_length(e) > least + 1, e) for e in ends])
     kept = F.regexp_replace(head, r"(?s) [^ ]*$", "")
     by_word = F.when(~head.rlike(r"[.!?]$") & (F.char_length(whole) > n) & (F.char_length(kept) > max(20, n // 2)), kept).otherwise(head)
@@ -137,7 +142,7 @@ def json_text(c: Column) -> Column:
 
 def csv_list(c: Column) -> Column:
     """The non-blank items of a comma list, trimmed, as they are written."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def checksum(c: Column, k: int) -> Column:

@@ -1,6 +1,6 @@
 """A model's free-form answers to rows of their shortlists."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_object import extract_object
@@ -10,7 +10,7 @@ from ..functions.text import normalize
 TITLE_KEYS = ("title", "movie", "name", "choice")
 
 
-def field(column: str, key: str):
+def field(column: str, key: str) -> Column:
     """A field of the answer's JSON object, also of one nested under ``selection``."""
     o = F.coalesce(extract_object(F.col(column)), F.lit("{}"))
     return F.coalesce(F.get_json_object(o, f"$.selection.{key}"), F.get_json_object(o, f"$.{key}"))

@@ -35,7 +35,7 @@ def history_items(items: Column) -> Column:
 def history_cell(cell: Column) -> Column:
     """The items of a table's history cell: a JSON or quoted list, one object, one JSON text, else parts by semicolons or else commas."""
     text = F.trim(F.coalesce(cell, F.lit("")))
-    parts = lambda sep: F.filter(F.transform(F.split(text, sep), F.trim), lambda x: x != "")
+    parts = lambda sep: F.filter(F.transform(F.split(text, sep), lambda x: F.trim(x)), lambda x: x != "")
     listed = F.when(text.startswith("["), F.from_json(text, "array<string>"))
     quoted = F.regexp_extract(text, r"""^(?:"([^"\\]*)"|'([^'\\]*)')$""", 1)
     single = F.regexp_extract(text, r"""^(?:"([^"\\]*)"|'([^'\\]*)')$""", 2)
