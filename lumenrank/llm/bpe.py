@@ -6,12 +6,16 @@ into equal chunks, wherever they stand. A chunk's encoding is kept in a bounded
 cache of the Python worker, and the next document with that chunk takes it from
 there. Entries are keyed by the bytes themselves, so no digest can mislead.
 
-Joins. ASCII white space always ends a piece in this tokenizer, in its special
-tokens, its normaliser and its pre-tokenizer. A chunk's own encoding therefore
-covers what lies between its first and last white space, where neighbours cannot
-change it. The ragged ends that meet at a join are encoded again as one text; if
-a chunk has no white space at all the join grows over it, and so on until both
-ends of the join agree with the encodings beside it.
+Joins. A chunk's own encoding covers what lies between its first and last white
+space. The ragged ends that meet at a join are encoded again, together with the
+chunks' words on either side: if that encoding begins and ends as the chunks' own
+do, what lies between is the join's. A chunk without white space is all join. Where
+an end doesn't agree, the whole document is encoded again, so the result is exact
+for any neighbours.
+
+Tokenizers. Reuse of chunks and words rests on how a tokenizer normalises and
+splits; ``reusable`` compares its parts with those that were checked. Any other
+file is encoded and decoded by the library alone.
 
 Misses go to the tokenizers library in one batch; below a chunk, units between
 white space that repeat are encoded once as well. A lost task starts with an
@@ -26,6 +30,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -45,12 +50,13 @@ CACHE_BYTES = 48 << 20
 #: Documents whose results leave the worker together.
 SLICE = 256
 
-SPACE = b" \t\n\x0b\x0c\r"
 #: Distinct units that a worker remembers.
 UNITS = 300_000
 #: Letters that the tokenizer keeps together, whose lower case is one letter each.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
+#: From the first to the last white space.
+EDGES = re.compile(rb"[\x20\x09-\x0d](?:.*[\x20\x09-\x0d])?", re.DOTALL)
 MARKS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,]+)(?![^\x20\x09-\x0d])")
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -89,6 +95,12 @@ def pieces(data: bytes) -> list[bytes]:
     return (data if b"<" in data else MARKS.sub(rb" \1", data.lower())).split()
 
 
+def word_pieces(data: bytes, marked: bool) -> list[bytes]:
+    """``pieces`` of one word as they are in its text, which ``marked`` says to hold a ``<``."""
+    word = data.strip()
+    return [word] if marked and word else [word.lower()] if word.isalpha() else pieces(word)
+
+
 class Cache:
     """Two generations of entries; the older one goes when the younger is full."""
 
@@ -109,39 +121,70 @@ class Cache:
 
 
 class Chunk:
-    """The encoding between a chunk's first and last white space, and the ragged ends beside it."""
+    """The encoding between a chunk's first and last white space, its words at either end of that, and the ragged ends beside it."""
 
-    __slots__ = ("head", "inner", "tail", "open", "ids")
+    __slots__ = ("head", "tail", "open", "body", "first", "last", "ids")
 
     def __init__(self, data: bytes):
-        inside = data.strip(SPACE)
-        lead, trail = inside[:1] == data[:1], inside[-1:] == data[-1:]
-        first = re.search(rb"[\x20\x09-\x0d]", inside)
+        found = EDGES.search(data)
         #: A chunk without white space has neither end; its neighbours join over it.
-        self.open = bool(lead and trail and not first)
-        self.head = self.tail = b""
-        if self.open:
-            self.head, inside = inside, b""
-        if inside and lead:
-            self.head, inside = inside[: first.start()] if first else inside, inside[first.end() :] if first else b""
-        if inside and trail:
-            at = max(inside.rfind(x) for x in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-            self.tail, inside = inside[at + 1 :], inside[: at + 1]
-        self.inner, self.ids = pieces(inside), b""
-
-
-def joins_of(parts: list[Chunk]) -> list[bytes]:
-    """The texts to encode before each chunk's own encoding, and after the last one's."""
-    out, ragged = [], b""
+        self.open = found is None
+        self.ids = self.body = self.tail = b""
+        self.head = data
+        #: The outermost words of the body with the white space around them, and then their ids.
+        self.first = self.last = (b"", b"")
+        if found:
+            start, end = found.span()
+            self.head, self.body, self.tail = data[:start], data[start:end], data[end:]
+            inner = self.body.strip()
+            if inner:
+                word = inner.split(None, 1)[0]
+                self.first = self.body[: self.body.index(word) + len(word)], b""
+                word = inner.rsplit(None, 1)[-1]
+                self.last = self.body[self.body.rindex(word) :], b""
+            else:
+                self.first = self.last = (self.body, b"")
+
+
+def joins_of(parts: list[Chunk]) -> list[tuple[Chunk | None, bytes, Chunk | None]]:
+    """(chunk before, ragged text, chunk after) of each join; chunks without white space belong to the text."""
+    out, ragged, before = [], b"", None
     for c in parts:
         ragged += c.head
-        if c.open:
-            out.append(b"")
-            continue
-        out.append(ragged)
-        ragged = c.tail
-    out.append(ragged)
-    return out
+        if not c.open:
+            out.append((before, ragged, c))
+            before, ragged = c, c.tail
+    return [*out, (before, ragged, None)]
+
+
+#: The parts of a tokenizer with which words between white space, and marks after them, are encoded by themselves.
+REUSABLE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "suffix": "</w>",
+}
+
+
+def reusable(parts: dict) -> bool:
+    """Whether a tokenizer file's parts are such that its words may be encoded by themselves, and tokens decode to their names with spaces between."""
+    model, pre = parts.get("model") or {}, (parts.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split = [x for x in pre if x.get("type") == "Split" and x.get("invert") and x.get("behavior") == "Removed"]
+    rest = [x for x in pre if x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex")]
+    plain = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) and not re.search(r"\s", t["content"]) for t in parts.get("added_tokens") or [])
+    return (
+        parts.get("normalizer") == REUSABLE["normalizer"]
+        and len(pre) == 2
+        and len(split) == len(rest) == 1
+        and split[0]["pattern"] == {"Regex": REUSABLE["split"]}
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == REUSABLE["suffix"]
+        and not model.get("dropout")
+        and not model.get("continuing_subword_prefix")
+        and not model.get("byte_fallback")
+        and not model.get("ignore_merges")
+        and parts.get("decoder") is None
+        and plain
+    )
 
 
 class Encoder:
@@ -156,7 +199,13 @@ class Encoder:
         self.chunks = Cache(cache_bytes)
         #: The ids of each unit. Emptied between batches when there are more than UNITS.
         self.ids: dict[bytes, bytes] = {}
-        self.hits = self.misses = 0
+        #: Chunks taken from the cache and not, and documents that a join made the library encode whole.
+        self.hits = self.misses = self.whole = 0
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.reuse = reusable(parts)
+        special = [t for t in parts.get("added_tokens") or [] if t.get("special") and t["content"].startswith("<")]
+        self.part = (special[0]["content"], special[0]["id"]) if special else None
         #: By id: the token, and whether it ends a word.
         self.names = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.ends = np.array([n.endswith("</w>") for n in self.names])
@@ -172,9 +221,11 @@ class Encoder:
         joined = self.library.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids
         ids = np.array(joined, dtype="<u4")
         ends = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
-        assert len(ends) == len(plain), "a plain word is one word of the tokenizer"
         data = ids.tobytes()
-        self.ids.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        if len(ends) == len(plain):
+            self.ids.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
+        else:  # some word is more or less than one word of the tokenizer
+            other += plain
         found = self.library.encode_batch_fast([u.decode() for u in other], add_special_tokens=False)
         self.ids.update(zip(other, [array("I", e.ids).tobytes() for e in found]))
 
@@ -182,11 +233,29 @@ class Encoder:
         return b"".join([self.ids[u] for u in units])
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.names[i] for i in ids])
+        return " ".join([self.names[i] for i in ids]) if self.reuse else self.library.decode(ids, skip_special_tokens=False)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, texts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of many short texts, each by itself. A special token between them parts them before anything else looks at them."""
+        alone = [x for x in texts if self.part is None or b"<" in x]
+        found = dict(zip(alone, self._library([x.decode() for x in alone])))
+        rest = [x for x in texts if x not in found]
+        if rest:
+            name, ident = self.part
+            ids = np.frombuffer(self._library([name.join([x.decode() for x in rest])])[0], dtype="<u4")
+            ends = (np.nonzero(ids == ident)[0] * 4).tolist()
+            data = ids.tobytes()
+            found.update(zip(rest, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(data)])]))
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split, new, units = [], {}, set()
+        if not self.reuse:
+            return self._library(texts)
+        split, new, words = [], {}, {}
         for t in texts:
             data, last, parts = t.encode(), 0, []
             for end in cuts(data):
@@ -194,29 +263,44 @@ class Encoder:
                 found = self.chunks.get(chunk) or new.get(chunk)
                 if found is None:
                     found = new[chunk] = Chunk(chunk)
-                    units.update(found.inner)
+                    marked = b"<" in found.body
+                    words[chunk] = pieces(found.body), word_pieces(found.first[0], marked), word_pieces(found.last[0], marked)
                     self.misses += 1
                 else:
                     self.hits += 1
                 parts.append(found)
                 last = end
-            joins = [pieces(x) for x in joins_of(parts)]
-            units.update(*joins)
-            split.append((parts, joins))
-        self._learn(units)
+            split.append(joins_of(parts))
+        self._learn({u for three in words.values() for us in three for u in us})
         for key, c in new.items():
-            c.ids = self._encoded(c.inner)
-            c.inner = ()
-            self.chunks.put(key, c, 400 + len(key) + len(c.ids))
-        return [self._assembled(parts, joins) for parts, joins in split]
-
-    def _assembled(self, parts: list[Chunk], joins: list[list[bytes]]) -> bytes:
+            body, first, last = words[key]
+            c.ids, c.body = self._encoded(body), b""
+            c.first, c.last = (c.first[0], self._encoded(first)), (c.last[0], self._encoded(last))
+            self.chunks.put(key, c, 600 + len(key) + len(c.ids))
+        asked = list(dict.fromkeys(text for joins in split for _, _, _, text in map(self._asked, joins) if text is not None))
+        met = self._each(asked)
+        return [self._assembled(t, joins, met) for t, joins in zip(texts, split)]
+
+    @staticmethod
+    def _asked(join: tuple[Chunk | None, bytes, Chunk | None]) -> tuple[bytes, bytes, bytes, bytes | None]:
+        """The ids that a join must begin and end with, and the text to encode; none where only white space meets."""
+        before, ragged, after = join
+        begin, end = before.last if before else (b"", b""), after.first if after else (b"", b"")
+        return begin[1], ragged, end[1], begin[0] + ragged + end[0] if ragged else None
+
+    def _assembled(self, text: str, joins: list, met: dict[bytes, bytes]) -> bytes:
         out = []
-        for c, join in zip(parts, joins):
-            if join:
-                out.append(self._encoded(join))
-            out.append(c.ids)
-        return b"".join([*out, self._encoded(joins[-1])])
+        for join in joins:
+            begin, _, end, asked = self._asked(join)
+            if asked is not None:
+                ids = met[asked]
+                if len(ids) < len(begin) + len(end) or not ids.startswith(begin) or not ids.endswith(end):
+                    self.whole += 1
+                    return self._library([text])[0]
+                out.append(ids[len(begin) : len(ids) - len(end)])
+            if join[2] is not None:
+                out.append(join[2].ids)
+        return b"".join(out)
 
 
 _encoders: dict[str, Encoder] = {}
