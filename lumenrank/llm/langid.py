@@ -55,9 +55,21 @@ def sample(docs: DataFrame, n: int, id_col: str) -> DataFrame:
     return docs.filter(order <= (0 if last is None else last))
 
 
+#: Parts into which items of one count are dealt by their hash, so that a limit can fall within them.
+TIES = 64
+
+
 def _top(counts: DataFrame, most: Column) -> DataFrame:
-    order = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "item")
-    return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).drop("rank")
+    """The most frequent items of each (lang, n), ``most`` of them at most; of equally frequent ones those in the first parts by hash.
+
+    Where the limit falls is read from how many items have each count, a short table,
+    so that the items of a language are never sorted in one task.
+    """
+    rows = counts.withColumn("at", F.struct((-F.col("count")).alias("c"), F.pmod(F.xxhash64("item"), F.lit(TIES)).alias("part")))
+    sizes = rows.groupBy("lang", "n", "at").agg(F.count("*").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("lang", "n").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    limits = sizes.withColumn("sum", before).filter(F.col("sum") <= most).groupBy("lang", "n").agg(F.max("at").alias("last"))
+    return rows.join(F.broadcast(limits), ["lang", "n"]).filter("at <= last").select(*counts.columns)  # a row for each language and n
 
 
 def _grams(word: Column) -> Column:
