@@ -46,10 +46,12 @@ def let(value: Column, body) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's, or a fresh local one where none is set."""
+    """The shared folder for checkpoints: the cluster's, or a fresh local one in local mode where none is set."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lumenrank-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
@@ -71,8 +73,23 @@ def fresh_name(stem: str) -> str:
     return f"__{stem}_{uuid.uuid4().hex[:8]}"
 
 
-def with_columns_of(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[df[f"`{c}`"] for c in like.columns])
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, which picks one of several rows that a rule leaves equal."""
+    plain = [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
+def one_row_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key, the one with the least ``row_hash``. Aggregated before the shuffle, so that a hot key is no task's burden."""
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    best = df.groupBy(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)]).agg(F.min_by(row, row_hash(df)).alias("__row"))
+    return best.select(*[F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def ship(spark: SparkSession) -> None:

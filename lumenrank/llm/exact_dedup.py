@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, fresh_name, text_or_empty
+from .common import ascii_lower, cut, fresh_name, one_row_of, text_or_empty
 
 #: A digest with more than this share of the rows counts as heavy. Bounds the broadcast to 1 / SUPPORT rows.
 SUPPORT = 0.001
@@ -67,7 +67,7 @@ def deduplicate(docs: DataFrame, support: float = SUPPORT, id_col: str = "doc_id
     """The rows of ``docs`` that stay, with their columns.
 
     Rows are matched by id and digest. Rows that repeat the same id and text pass
-    that match together, so where they occur one of them is picked afterwards.
+    that match together; where they occur, the one with the least hash of all its columns stays.
     """
     keep, digest = fresh_name("keep"), fresh_name("digest")
     kept = decide(docs, support, id_col, text_col).filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias("digest"))
@@ -78,5 +78,5 @@ def deduplicate(docs: DataFrame, support: float = SUPPORT, id_col: str = "doc_id
         return stay.drop(digest)
     again = stay[f"`{id_col}`"].eqNullSafe(repeated[keep])
     once = stay.join(repeated, again, "left_anti")
-    picked = stay.join(repeated, again, "left_semi").dropDuplicates([id_col, digest])
+    picked = one_row_of(stay.join(repeated, again, "left_semi"), [id_col, digest])
     return once.unionByName(picked).drop(digest)

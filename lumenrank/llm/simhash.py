@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, ship, text_or_empty
+from .common import cut, fresh_name, one_row_of, ship, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -41,6 +41,8 @@ BUCKET = 1024
 PAIRS = 1 << 16
 #: Fingerprints that one task turns into index rows (64 each), and about as many whose rows one task compares.
 PART = 8192
+#: Texts of one min-hash key that a task holds as one block, of two at a time.
+GROUP = 256
 #: Min-hash keys of a text and minima in each: of pairs with similarity 0.8, (1 - 0.8**6)**25 = 0.05 % share none.
 BANDS, BAND_ROWS = 25, 6
 _ODD, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
@@ -238,7 +240,7 @@ def _one_of_each(docs: DataFrame, rows: DataFrame, roots: DataFrame, by: str, id
     if not repeated.take(1):
         return stay.drop("mark_" + mark)
     again = (F.col("mark_" + mark) == repeated[mark]) & marked[f"`{id_col}`"].eqNullSafe(repeated[head])
-    once = stay.join(repeated, again, "left_semi").dropDuplicates([id_col, "mark_" + mark])
+    once = one_row_of(stay.join(repeated, again, "left_semi"), [id_col, "mark_" + mark])
     return stay.join(repeated, again, "left_anti").unionByName(once).drop("mark_" + mark)
 
 
@@ -251,7 +253,7 @@ def deduplicate(docs: DataFrame, width: int = 5, max_bits: int = 4, bucket: int
     """One document of each group, the one with the least id; all columns stay.
 
     Rows without an id head a group only if no row of it has one. Rows that share an
-    id are told apart by their texts, and of rows that share both, one is kept.
+    id are told apart by their texts, and of rows that share both, the one with the least hash of its columns is kept.
     """
     ship(docs.sparkSession)
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), mark_of(text_col).alias("mark"), fingerprint(F.col(text_col), width).alias("fp")))
@@ -288,16 +290,16 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return cut(met.filter(alike("text_u", "text_v")).select("u", "v"))
 
 
-def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 4, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, max_bits: int = 4, bucket: int = BUCKET, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Like ``deduplicate``, but texts are linked if their ``width``-word shingle sets have this Jaccard similarity.
 
     Candidates are the links of SimHash fingerprints and texts that share one of
     ``BANDS`` min-hash keys, for at similarity 0.8 two fingerprints differ in some
     ten of 64 bits, which no few segments of them can find. All candidates are
     verified exactly. First the texts of each key are held against its least one;
-    then, in keys whose texts aren't one component yet, each against those of other
-    components. So every pair of a key is verified or within one component, and a
-    large group of near copies costs a star for each key.
+    then, in keys whose texts aren't one component yet, all are compared within a task,
+    by their rarest shingles. So every two of a key are compared or within one
+    component, no pairs of a group are written, and a large group of near copies costs a star for each key.
     """
     ship(docs.sparkSession)
 
@@ -326,12 +328,84 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     placed = cut(shared.join(parts, shared["mark"] == parts["node"], "left").select("key", "mark", F.coalesce("root", "mark").alias("root")))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     open_ = cut(placed.join(split, "key", "left_semi"))
-    left, right = (open_.select("key", F.col("mark").alias(m), F.col("root").alias(r)) for m, r in (("v", "rv"), ("u", "ru")))
-    more = left.join(right, "key").filter("v < u and rv <> ru").select("u", "v").distinct()
-    more = cut(more.join(pairs, ["u", "v"], "left_anti"))
-    roots = connected_components(links.unionByName(_alike(more, texts, width, similarity))) if more.take(1) else parts
+    if not open_.take(1):
+        return _one_of_each(docs, rows, parts, "mark", id_col, text_col)
+    more = _links_within(open_, texts, width, similarity, group)
+    roots = connected_components(links.unionByName(more))
     return _one_of_each(docs, rows, roots, "mark", id_col, text_col)
 
 
+def alike_links(marks: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join the sets of at least this Jaccard similarity, beside those that ``roots`` joins already.
+
+    Two such sets share one of their rarest hashes: of a set of n, of the n - similarity * n + 1
+    that fewest sets hold. So sets meet over those alone, and one that differs in size too much,
+    or is in the same component by now, isn't compared.
+    """
+    first: dict[int, int] = {}
+    parent = [first.setdefault(int(r), i) for i, r in enumerate(roots)]
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    every, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    holders: dict[int, list[int]] = {}
+    links = []
+    for i in sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(marks[i]))):
+        own, n = sets[i], len(sets[i])
+        n_of = counts[np.searchsorted(every, own)]
+        rare = np.lexsort((own, n_of))[: n - int(np.ceil(similarity * n - 1e-9)) + 1] if n else np.zeros(0, np.int64)
+        met = set()
+        for h in own[rare][n_of[rare] > 1].tolist():
+            held = holders.setdefault(h, [])
+            met.update(held)
+            held.append(i)
+        for j in met:
+            if len(sets[j]) >= similarity * n - 1e-9 and find(i) != find(j) and similarity_of(own, sets[j]) >= similarity:
+                links.append((int(marks[i]), int(marks[j])))
+                parent[find(i)] = find(j)
+    return links
+
+
+def _links_within(open_: DataFrame, texts: DataFrame, width: int, similarity: float, group: int) -> DataFrame:
+    """Links (u, v) of the texts that share a key and aren't one component: every two of a key are compared within a task, and no pairs are written.
+
+    ``open_``: key, mark, root. Keys of more than ``group`` texts go to pairs of blocks, so that a task holds two blocks at most.
+    """
+
+    @F.pandas_udf("binary")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(hashes_of(t, width)).tobytes())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def joined(part: pd.DataFrame) -> pd.DataFrame:
+            found = alike_links(part["mark"].to_numpy(), part["root"].to_numpy(), [np.frombuffer(h, np.uint64) for h in part["h"]], similarity)
+            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+        held = None
+        for x in frames:
+            x = x if held is None else pd.concat([held, x], ignore_index=True)
+            last = x["pair"].iloc[-1] if len(x) else None
+            for _, part in x[x["pair"] != last].groupby("pair", sort=False):
+                yield joined(part)
+            held = x[x["pair"] == last]
+        if held is not None and len(held):
+            yield joined(held)
+
+    sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("mark"), F.col("blocks")).cast("int")
+    dealt = (
+        open_.join(sizes, "key")
+        .select("key", "mark", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("pair"), "mark", "root")
+    )
+    sets = texts.join(open_.select("mark").distinct(), "mark", "left_semi").select("mark", hashes("text").alias("h"))
+    spread = dealt.join(cut(sets), "mark").repartition("pair").sortWithinPartitions("pair")
+    return cut(spread.select("pair", "mark", "root", "h").mapInPandas(run, "u long, v long").filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+
+
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
