@@ -40,12 +40,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", dedup), ("simhash_near_dedup", near_dedup), ("mixing", mix), ("bpe", encode)]
-#: SQL has no XXH64 and no tokenizer; tests hold the stages against brute force.
+#: SQL has no tokenizer and no shingle sets; tests/llm/test_brute.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder."""
+    """All stages over ``documents``; intermediate tables go to the shared checkpoint folder, each until the next one is written."""
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
@@ -53,5 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             out.write.parquet(f"{folder}/{i}-{name}")
             out = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:
+                common.remove(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
         docs = out
     return docs
