@@ -15,24 +15,34 @@ HUBS = 1000
 def _with_least(rows: DataFrame, least: DataFrame, most: int) -> DataFrame:
     """``rows`` (u, v) with the least neighbour m of u, from ``least`` (u, m, n).
 
-    Hubs, with over ``most`` links of their own, are broadcast, so that no task gets
-    all links of one; the other nodes meet by a shuffle.
+    Hubs, with over ``most`` links of their own, are broadcast, and their rows are
+    dealt by v as well, so that no task gets all links of one; the others meet by u.
     """
     hubs = least.filter(F.col("n") > most).select("u", F.col("m").alias("hub_m"))
-    marked = rows.join(F.broadcast(hubs), "u", "left")
-    rest = marked.filter("hub_m is null").drop("hub_m").join(least.filter(F.col("n") <= most).select("u", "m"), "u")
-    return marked.filter("hub_m is not null").withColumnRenamed("hub_m", "m").unionByName(rest)
+    deal = F.when(F.col("hub_m").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) + 1)
+    marked = rows.join(F.broadcast(hubs), "u", "left").withColumn("deal", deal)
+    own = least.select("u", F.col("m").alias("own_m"), F.lit(0).cast("long").alias("deal"))
+    return marked.join(own, ["u", "deal"], "left").select("u", "v", F.coalesce("hub_m", "own_m").alias("m"))
 
 
 def _stars(links: DataFrame, most: int) -> DataFrame:
     """Large-star, then small-star, over links (u, v) with u > v."""
-    both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    ends = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = links.select(F.inline(ends).alias("u", "v"))  # one pass over the links, and no union, which would double the tasks
     least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
     large = _with_least(both.filter("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v"))
     large = cut(large.filter("u > v").distinct())
     least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _with_least(large, least, most).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+    # A row that holds the least neighbour stays, and the others link theirs to it.
+    moved = _with_least(large, least, most).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.filter("u > v").distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    """The number of distinct links and two sums of their hashes, which tell whether a round changed any."""
+    key = F.xxhash64("u", "v")
+    sums = (F.sum(F.pmod(h, F.lit((1 << 31) - 1))) for h in (key, F.xxhash64(key)))
+    return tuple(links.agg(F.count("*"), *sums).first())
 
 
 def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -46,11 +56,10 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     joined by broadcast, and its links are aggregated before any shuffle.
     """
     now = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
+    state = _state(now)
     for _ in range(most_rounds):
-        nxt = cut(_stars(now, max(16, now.count() // HUBS)))
-        counts = nxt.select(F.lit(1).alias("n"), F.lit(0).alias("o"), "u", "v").unionByName(now.select(F.lit(0).alias("n"), F.lit(1).alias("o"), "u", "v"))
-        changed = counts.groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum("o").alias("o")).filter("n != o").limit(1).count()
-        now = nxt
-        if not changed:
+        now = cut(_stars(now, max(16, state[0] // HUBS)))
+        before, state = state, _state(now)
+        if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

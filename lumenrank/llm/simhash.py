@@ -324,14 +324,15 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, similarity: float = 0.8
     wanted = shared.select("mark").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("mark"))).distinct()
     texts = docs.select(mark_of(text_col).alias("mark"), text_or_empty(text_col).alias("text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
     links = _alike(pairs, texts, width, similarity)
-    parts = connected_components(links)
+    parts = cut(connected_components(links))
     placed = cut(shared.join(parts, shared["mark"] == parts["node"], "left").select("key", "mark", F.coalesce("root", "mark").alias("root")))
     split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
     open_ = cut(placed.join(split, "key", "left_semi"))
     if not open_.take(1):
         return _one_of_each(docs, rows, parts, "mark", id_col, text_col)
     more = _links_within(open_, texts, width, similarity, group)
-    roots = connected_components(links.unionByName(more))
+    # The components so far stand for their links, so few rounds are left.
+    roots = connected_components(parts.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return _one_of_each(docs, rows, roots, "mark", id_col, text_col)
 
 
