@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, text_or_empty
 
+#: Bytes that the rolling hash covers, a power of two.
 WINDOW = 16
 #: One cut in this many bytes on average, a power of two; and the least bytes between cuts.
 CHUNK, LEAST_CHUNK = 256, 48
@@ -57,7 +58,8 @@ PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 #: From the first to the last white space.
 EDGES = re.compile(rb"[\x20\x09-\x0d](?:.*[\x20\x09-\x0d])?", re.DOTALL)
-MARKS = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,]+)(?![^\x20\x09-\x0d])")
+#: Full stops and commas after a letter or digit and before white space. The mark comes first, so that the search skips to it.
+MARKS = re.compile(rb"([.,](?:(?<=[a-z0-9][.,])|(?<=\xc3[\xa0-\xb6\xb8-\xbf][.,]))[.,]*)(?![^\x20\x09-\x0d])")
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -67,10 +69,10 @@ def cuts(data: bytes) -> list[int]:
     b = np.frombuffer(data, np.uint8)
     if len(b) <= LEAST_CHUNK:
         return [len(b)]
-    gear = _GEAR[b]
-    rolled = gear.copy()
-    for back in range(1, WINDOW):
-        rolled[back:] += gear[:-back] << np.uint32(back)
+    rolled, back = _GEAR[b], 1
+    while back < WINDOW:  # sums over twice as many bytes each time
+        rolled[back:] = rolled[back:] + (rolled[:-back] << np.uint32(back))
+        back *= 2
     found = np.nonzero((rolled >> np.uint32(WINDOW - 1)) % np.uint32(CHUNK) == 0)[0] + 1
     inside = (b & 0xC0) == 0x80
     out, last = [], 0
@@ -230,7 +232,7 @@ class Encoder:
         self.ids.update(zip(other, [array("I", e.ids).tobytes() for e in found]))
 
     def _encoded(self, units: list[bytes]) -> bytes:
-        return b"".join([self.ids[u] for u in units])
+        return b"".join(map(self.ids.__getitem__, units))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.names[i] for i in ids]) if self.reuse else self.library.decode(ids, skip_special_tokens=False)
@@ -271,7 +273,7 @@ class Encoder:
                 parts.append(found)
                 last = end
             split.append(joins_of(parts))
-        self._learn({u for three in words.values() for us in three for u in us})
+        self._learn(set().union(*(units for three in words.values() for units in three)))
         for key, c in new.items():
             body, first, last = words[key]
             c.ids, c.body = self._encoded(body), b""
