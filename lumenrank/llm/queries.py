@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, mixing, quality_rules, secret_scan, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, langid, mixing, packing, quality_rules, secret_scan, simhash, toxicity, url_filter
 from .common import UPPER, table
 
 
@@ -57,6 +57,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
+    "op12_packing": op12_packing,
 }
 SQL: dict[str, str] = {}
 
