@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_text, langid, mixing, packing, quality_rules, secret_scan, simhash, toxicity, url_filter
+from . import bpe, exact_dedup, html_text, langid, mixing, packing, quality_rules, resampling, secret_scan, simhash, toxicity, url_filter, vector_codes
 from .common import UPPER, table
 
 
@@ -57,10 +57,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.decide(table(spark, sf_dir, "embeddings"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_bpe": op2_bpe,
@@ -72,7 +80,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_langid": op9_langid,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_codes": op11_vector_codes,
     "op12_packing": op12_packing,
+    "op13_resampling": op13_resampling,
 }
 SQL: dict[str, str] = {}
 
@@ -128,3 +138,48 @@ drawn AS (SELECT doc_id, source, rate, sum(len(list_filter(ps, lambda p: p < ('0
 each AS (SELECT doc_id, source, unnest(range(1, copies + 1)) AS copy, copies, rate FROM drawn)
 SELECT doc_id, source, copy, copies, round(rate, 6) AS rate, md5('{mixing.SEED}|at|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key FROM each
 """
+
+
+def _nearest(books: str) -> str:
+    """The parts with the distance to their nearest entry, times the entries, plus its index."""
+    d = "list_sum(list_transform(range(1, len(parts.x) + 1), lambda i: (parts.x[i] - b.x[i]) * (parts.x[i] - b.x[i])))::BIGINT"
+    return f"SELECT vec_id, label, p, any_value(parts.x) AS x, min({d} * {vector_codes.ENTRIES} + e) AS m FROM parts JOIN {books} b USING (p) GROUP BY vec_id, label, p"
+
+
+_SUMS = f"SELECT p, m % {vector_codes.ENTRIES} AS e, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM FOUND) GROUP BY ALL"
+_MEANS = f"SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM ({_SUMS}) GROUP BY p, e"
+_ROUNDS = "".join(
+    f"a{r} AS MATERIALIZED ({_nearest(f'b{r}')}), b{r + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.x, b{r}.x) AS x FROM b{r} LEFT JOIN ({_MEANS.replace('FOUND', f'a{r}')}) m USING (p, e)), "
+    for r in range(vector_codes.ROUNDS)
+)
+SQL["op11_vector_codes"] = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS v, len(embedding) // {vector_codes.PARTS} AS w
+           FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * w + 1 : (p + 1) * w] AS x FROM (SELECT *, unnest(range({vector_codes.PARTS})) AS p FROM k)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM parts QUALIFY e < {vector_codes.ENTRIES}),
+{_ROUNDS}
+last AS ({_nearest(f'b{vector_codes.ROUNDS}')}),
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', m % {vector_codes.ENTRIES}), '' ORDER BY p) AS code, sum(m // {vector_codes.ENTRIES})::BIGINT AS error FROM last GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY p, e, i)) FROM (SELECT p, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM b{vector_codes.ROUNDS})) AS codebooks_sha256
+FROM coded
+"""
+
+#: CRC-32 a byte and a bit at a time.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)), 4294967295::BIGINT)"
+_BYTES = "list_transform(range(0, length(hex(encode(word))) // 2), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL["op13_resampling"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents),
+sw AS (SELECT word, count(*) AS s FROM (SELECT unnest(ws) AS word FROM d) GROUP BY word),
+tw AS (SELECT word, count(*) AS t FROM (SELECT unnest({_WORDS}) AS word FROM benchmark) GROUP BY word),
+w AS (SELECT word, coalesce(s, 0) AS s, coalesce(t, 0) AS t, {_CRC.format(bytes=_BYTES)} % {resampling.BUCKETS} AS bucket FROM sw FULL JOIN tw USING (word)),
+b AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t, sum(sum(s)) OVER ()::DOUBLE AS ss, sum(sum(t)) OVER ()::DOUBLE AS ts FROM w GROUP BY bucket),
+g AS (SELECT word, floor({resampling.UNIT} * ln((b.t + 1) * (ss + {resampling.BUCKETS}) / ((b.s + 1) * (ts + {resampling.BUCKETS}))))::BIGINT AS gain FROM w JOIN b USING (bucket)),
+x AS (SELECT r, sum(gain)::BIGINT AS gain FROM (SELECT r, unnest(ws) AS word FROM d) JOIN g USING (word) GROUP BY r),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_features, CASE WHEN len(ws) > 0 THEN (gain - ((gain % len(ws)) + len(ws)) % len(ws)) // len(ws) ELSE 0 END AS weight,
+             ('0x' || substr(sha256('{resampling.SEED}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN x USING (r)),
+scored AS (SELECT doc_id, n_features, weight::BIGINT AS weight, (weight + floor(-{resampling.UNIT} * ln(-ln((h + 0.5) / 4294967296.0))))::BIGINT AS score FROM f),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resampling.LEAST_WORDS} ORDER BY score DESC, doc_id) AS n, count(*) OVER (PARTITION BY n_features >= {resampling.LEAST_WORDS}) AS docs FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resampling.LEAST_WORDS} AND n <= {resampling.PERCENT} * docs // 100 THEN n END AS rank FROM ranked
+"""
