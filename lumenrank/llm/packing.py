@@ -44,7 +44,7 @@ BUCKETS, AXES, BITS = 512, 4, 12
 REACH = 3.0
 SEED = 12
 #: Documents encoded together.
-SLICE = 256
+SLICE = 512
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:

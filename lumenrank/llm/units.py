@@ -19,6 +19,7 @@ with the same ids.
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,8 @@ from . import bpe
 
 #: Distinct units that a worker remembers.
 UNITS = 600_000
+#: Marks after a letter or digit and before white space: one word of the tokenizer. No apostrophe, which may begin a shortened word.
+MARKS = re.compile(rb"([!-&(-/:-;=-@\[-`{-~](?:(?<=[a-z0-9][!-&(-/:-;=-@\[-`{-~])|(?<=\xc3[\xa0-\xb6\xb8-\xbf][!-&(-/:-;=-@\[-`{-~]))[!-&(-/:-;=-@\[-`{-~]*)(?![^\x20\x09-\x0d])")
 #: Stands for the end-of-word suffix.
 END = b"\0"
 
@@ -66,6 +69,11 @@ def merges_agree(path: str) -> bool:
     return True
 
 
+def pieces(data: bytes) -> list[bytes]:
+    """As ``bpe.pieces``, with all ASCII marks after a word apart from it."""
+    return (data if b"<" in data else MARKS.sub(rb" \1", data.lower())).split()
+
+
 class Units:
     """The ids of units of one tokenizer file. ``fast``: ``merges_agree`` holds for it."""
 
@@ -90,10 +98,7 @@ class Units:
         self.ends = np.array([n.endswith(suffix) for n in names])
         self.words = tiktoken.Encoding("units", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
 
-    def _learn(self, units: set[bytes]) -> None:
-        if len(self.ids) > UNITS:
-            self.ids = {}
-        lacking = units - self.ids.keys()
+    def _learn(self, lacking: set[bytes]) -> None:
         plain = [u for u in lacking if u.isalpha() or bpe.PLAIN.fullmatch(u.decode())] if self.words else []
         if plain:
             end = END.decode() + " "
@@ -109,9 +114,16 @@ class Units:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if not self.base.reuse:
             return self.base._library(texts)
-        split = [bpe.pieces(t.encode()) for t in texts]
-        self._learn(set().union(*split))
-        return [b"".join(map(self.ids.__getitem__, units)) for units in split]
+        if len(self.ids) > UNITS:
+            self.ids = {}
+        split = [pieces(t.encode()) for t in texts]
+        found = [list(map(self.ids.get, units)) for units in split]
+        lacking = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        self._learn({units[i] for units, at in zip(split, lacking) for i in at})
+        for units, f, at in zip(split, found, lacking):
+            for i in at:
+                f[i] = self.ids[units[i]]
+        return [b"".join(f) for f in found]
 
 
 _units: dict[tuple, Units] = {}
