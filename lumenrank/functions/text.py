@@ -8,6 +8,11 @@ from .values import STOP_WORDS
 TOKEN = "[a-z0-9']+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once for each row, however often nested lambdas refer to it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.trim(c, F.lit(" \t\n\r\x0b\x0c"))

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import mentions, normalize, stem, stems, tokens
+from ..functions.text import let, mentions, normalize, stem, stems, tokens
 
 
 def _int(c: Column, pattern: str, group: int) -> Column:
@@ -148,23 +148,50 @@ def _words(c: Column) -> Column:
 
 def phrases(text: Column, most: int = HEAD) -> Column:
     """All runs of one to ``most`` words, in lower case: keys for equality joins with dictionaries."""
-    words = _words(text)
-    starts = F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))
-    return F.array_distinct(F.flatten(starts))
+
+    def runs(words: Column) -> Column:
+        starts = F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.array_join(F.slice(words, i + 1, n), " ")))
+        return F.array_distinct(F.flatten(starts))
+
+    return let(_words(text), runs)
+
+
+#: White-space words of a passage at least, and how large a dictionary is broadcast at most.
+PASSAGE = 64
+SENT_NAMES, SENT_BYTES = 200_000, 32 << 20
+
+
+def passages(text: Column, words: int) -> Column:
+    """Overlapping passages that cover a normalised text: each holds two neighbouring stretches of ``words`` white-space words.
+
+    Stretches end at white space, so a border of a passage is one of the text, and whatever
+    has up to ``words`` words stands whole in one of them.
+    """
+    stretches = F.regexp_extract_all(text, F.lit(rf"(?:[^\s]*+\s){{1,{words}}}(?:[^\s]+$)?|[^\s]+$"), F.lit(0))
+    return let(stretches, lambda s: F.when(F.size(s) < 2, s).otherwise(F.transform(F.slice(s, 1, F.size(s) - 1), lambda x, i: F.concat(x, s[i + 1]))))
 
 
 def met(requests: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """``request_id`` and the columns of ``dictionary`` (name, ...) of each name that a request's text mentions.
+    """``request_id`` and the columns of ``dictionary`` (name, ...) of each name that a request's text mentions, each once.
 
-    An equality join on runs of up to HEAD words finds candidates, by a name's first
-    words, and the boundary pattern verifies each; names may be of any length. A name
+    Texts are cut into overlapping passages that hold the longest name, so that the work
+    grows with the text. An equality join on runs of up to HEAD words finds
+    candidates by a name's first words, and the boundary pattern verifies each within its
+    passage; names may be of any length. A dictionary of proven size is broadcast, so no word that
+    starts no name is shuffled; a larger one meets the runs by a shuffle, and what is found goes back to its passage. A name
     without a letter, digit or character beyond ASCII is never met.
     """
     known = dictionary.withColumn("__name", normalize("name")).withColumn("__head", F.array_join(F.slice(_words(F.col("name")), 1, HEAD), " ")).filter("__head <> ''")
-    text = normalize(F.coalesce("text", F.lit("")))
-    asked = requests.select("request_id", F.explode(phrases(text)).alias("__head"))
-    found = asked.join(known, "__head").join(requests.select("request_id", text.alias("__text")), "request_id")
-    return found.filter(mentions(F.col("__text"), F.col("__name"))).drop("__head", "__name", "__text")
+    spread = F.size(F.split("__name", r"\s"))
+    n, size, longest_name = known.agg(F.count("*"), F.sum(F.octet_length("__name") + F.octet_length("__head")), F.max(spread)).first()
+    cut = passages(normalize(F.coalesce("text", F.lit(""))), max(PASSAGE, longest_name or 0))
+    texts = requests.select("request_id", F.posexplode(cut).alias("__at", "__text"))
+    heads = texts.withColumn("__head", F.explode(phrases(F.col("__text"))))
+    if n <= SENT_NAMES and (size or 0) <= SENT_BYTES:
+        found = heads.join(F.broadcast(known), "__head")
+    else:
+        found = heads.drop("__text").join(known, "__head").join(texts, ["request_id", "__at"])
+    return found.filter(mentions(F.col("__text"), F.col("__name"))).drop("__head", "__name", "__text", "__at").distinct()
 
 
 def mentioned_items(requests: DataFrame, items: DataFrame, titles: Column, least: int = 3) -> DataFrame:
