@@ -1,7 +1,6 @@
 """Exact cosine retrieval for many requests at once."""
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,12 @@ from ..sources.package import ship
 from .lexical import ranked
 from .ranking import without
 
-#: About as many query vectors go to every task at once; more are searched in further rounds.
-BLOCK = 512
+#: Query vectors that go to every task at once, in bytes, and the best rows that a task holds for all of them.
+QUERY_BYTES, STATE = 32 << 20, 4_000_000
+#: Item vectors of one cell of the grid, in bytes.
+CELL_BYTES = 64 << 20
+#: Queries and items of one matrix product.
+ROWS, COLUMNS = 512, 4096
 
 
 def matrix(vectors: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,45 +39,90 @@ def best_of(scores: np.ndarray, docs: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((docs[some], -scores[some]))][:k]
 
 
-def search(vectors: DataFrame, items: DataFrame, exclude: DataFrame | None = None, k: int = DENSE_TOP, digits: int = 6) -> DataFrame:
+class Best:
+    """The best rows of many requests so far; ``most`` says how many each of them keeps."""
+
+    def __init__(self, ids: list, vectors: pd.Series, most: np.ndarray, dim: int, digits: int):
+        self.queries, at = matrix(vectors, dim)
+        self.ids, self.most, self.dim, self.step = [ids[i] for i in at], [int(most[i]) for i in at], dim, 10.0**digits
+        self.scores, self.docs = [np.zeros(0)] * len(at), [np.zeros(0, dtype=object)] * len(at)
+
+    def add(self, items: pd.DataFrame) -> None:
+        for start in range(0, len(items), COLUMNS):
+            part = items.iloc[start : start + COLUMNS]
+            rows, at = matrix(part["embedding"], self.dim)
+            docs = part["doc"].to_numpy()[at]
+            for first in range(0, len(self.ids) if len(docs) else 0, ROWS):
+                cosine = self.queries[first : first + ROWS] @ rows.T
+                scores = np.floor(np.clip((cosine + 1) / 2, 0.0, 1.0) * self.step + 0.5) / self.step
+                for i, s in enumerate(scores, first):
+                    if len(self.scores[i]) == self.most[i] > 0:
+                        some = np.nonzero(s >= self.scores[i][-1])[0]
+                        if not len(some):
+                            continue
+                        s, d = np.concatenate([self.scores[i], s[some]]), np.concatenate([self.docs[i], docs[some]])
+                    else:
+                        s, d = np.concatenate([self.scores[i], s]), np.concatenate([self.docs[i], docs])
+                    best = best_of(s, d, self.most[i])
+                    self.scores[i], self.docs[i] = s[best], d[best]
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for first in range(0, len(self.ids), ROWS):
+            ids, docs, scores = self.ids[first : first + ROWS], self.docs[first : first + ROWS], self.scores[first : first + ROWS]
+            yield pd.DataFrame({"request_id": [i for i, d in zip(ids, docs) for _ in d], "doc": np.concatenate(docs), "sem_raw": np.concatenate(scores)})
+
+
+def search(vectors: DataFrame, items: DataFrame, exclude: DataFrame | None = None, k: int = DENSE_TOP, digits: int = 6, query_bytes: int = QUERY_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(request_id, doc, sem_raw, sem_score, sem_rank): top ``k`` by cosine, mapped to [0, 1].
 
     ``vectors`` (request_id, vector) is a stated query set held against all of
-    ``items`` (doc, embedding), BLOCK at a time. Each Arrow batch of items is one
-    matrix product and hands on its own best ``k`` of each request, beside as many as
-    the request excludes, so what is shuffled doesn't grow with the items of a batch.
-    Vectors that aren't of the first query's length, or not finite, have no similarity.
+    ``items`` (doc, embedding), in one plan of the same size for any number of requests. Vectors
+    within ``query_bytes`` are broadcast, and items stay where they are. More of them
+    make a grid: blocks of requests by blocks of items, each cell of bounded size a
+    group of its own. A task keeps the best ``k`` of each of its requests, beside as many as
+    the request excludes, over all items it reads, so what is shuffled doesn't grow with the
+    items of a task. Vectors that aren't as long as the longest query, or not finite, have no similarity.
     """
     spark = vectors.sparkSession
     ship(spark)
-    n = vectors.count()
-    if n > BLOCK:
-        blocks = -(-n // BLOCK)
-        part = F.pmod(F.xxhash64("request_id"), F.lit(blocks))
-        found = [search(vectors.filter(part == i), items, exclude, k, digits) for i in range(blocks)]
-        return reduce(DataFrame.unionByName, found)
-    excluded = exclude.groupBy("request_id").agg(F.count("*").alias("out")) if exclude is not None else None
-    asked = vectors.filter("vector is not null").withColumn("out", F.lit(0)) if excluded is None else vectors.filter("vector is not null").join(excluded, "request_id", "left").na.fill(0, ["out"])
-    asked = asked.select("request_id", "vector", "out").toPandas()  # about BLOCK rows
-    dim = max((len(v) for v in asked["vector"]), default=0)
-    queries, at = matrix(asked["vector"], dim)
-    ids, most = list(asked["request_id"].iloc[at]), [int(x) + k for x in asked["out"].iloc[at]]
-    sent = spark.sparkContext.broadcast((queries, ids, most))
+    asked = vectors.filter("vector is not null").select("request_id", "vector")
+    if exclude is not None:
+        excluded = exclude.groupBy("request_id").agg(F.count("*").alias("out"))
+        asked = asked.join(excluded, "request_id", "left")
+    else:
+        asked = asked.withColumn("out", F.lit(0))
+    asked = asked.select("request_id", "vector", (F.coalesce("out", F.lit(0)) + k).alias("most"))
+    n, dim, kept = asked.agg(F.count("*"), F.max(F.size("vector")), F.sum("most")).first()
+    dim = max(dim or 1, 1)
+    blocks = max(1, -(-n * dim * 8 // query_bytes), -(-(kept or 0) // STATE))
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((vectors, "request_id"), (items, "doc"))]
-    step = 10.0**digits
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queries, ids, most = sent.value
-        for x in frames:
-            rows, at = matrix(x["embedding"], dim)
-            docs = x["doc"].to_numpy()[at]
-            if not len(docs) or not len(ids):
-                continue
-            scores = np.floor(np.clip((queries @ rows.T + 1) / 2, 0.0, 1.0) * step + 0.5) / step
-            best = [best_of(s, docs, m) for s, m in zip(scores, most)]
-            yield pd.DataFrame({"request_id": [i for i, b in zip(ids, best) for _ in b], "doc": np.concatenate([docs[b] for b in best]), "sem_raw": np.concatenate([s[b] for s, b in zip(scores, best)])})
-
-    scored = items.select("doc", "embedding").mapInPandas(run, f"request_id {kinds[0]}, doc {kinds[1]}, sem_raw double")
+    schema = f"request_id {kinds[0]}, doc {kinds[1]}, sem_raw double"
+    rows = items.select("doc", "embedding")
+    if blocks == 1:
+        told = asked.toPandas()  # within query_bytes
+        sent = spark.sparkContext.broadcast((list(told["request_id"]), told["vector"], told["most"].to_numpy()))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = Best(*sent.value, dim, digits)
+            for x in frames:
+                best.add(x)
+            yield from best.rows()
+
+        scored = rows.mapInPandas(run, schema)
+    else:
+        parts = -(-rows.count() * dim * 8 // cell_bytes)
+
+        def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            best = Best(list(left["request_id"]), left["vector"], left["most"].to_numpy(), dim, digits)
+            best.add(right)
+            found = list(best.rows())
+            return pd.concat(found) if found else pd.DataFrame({"request_id": [], "doc": [], "sem_raw": []})
+
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        dealt = lambda key, m: F.pmod(F.xxhash64(key), F.lit(m)).cast("int")
+        left = asked.withColumns({"block": dealt("request_id", blocks), "part": each(max(parts, 1))})
+        right = rows.withColumns({"part": dealt("doc", max(parts, 1)), "block": each(blocks)})
+        scored = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(cell, schema)
     if exclude is not None:
         scored = without(scored, exclude, ["request_id", "doc"])
     return ranked(scored, "sem", k).withColumn("sem_score", F.col("sem_raw"))
