@@ -327,7 +327,7 @@ _WORD = "[a-z0-9]+"
 docs AS (SELECT doc_id, {_norm_sql('text')} AS low FROM documents)
 SELECT doc_id, phrase FROM docs JOIN dict ON contains(low, phrase) AND regexp_matches(low, '(^|[^a-z0-9])' || phrase || '([^a-z0-9]|$)')""")
 def phrase_match(spark, d):
-    """Dictionary phrases by an equality join on their first words, verified at their borders."""
+    """Dictionary phrases by an equality join on their first words, verified at their borders, in passages of bounded length."""
     more = spark.createDataFrame([(x,) for x in ("of the", "the and", "de la", "in the", "that the the and")], "name string")
     dictionary = t(spark, d, "nation").select(F.lower("n_name").alias("name")).union(more).distinct()
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("request_id"), "text")
@@ -635,11 +635,11 @@ def prompt_profile(spark, d):
     return got.select("request_id", size("target_genres").alias("n_genres"), size("tone").alias("n_tone"), size("keyword_hints").alias("n_hints"), size("avoid").alias("n_avoid"), "year_relevant", "country_relevant", "setting_period")
 
 
-_TITLED = """titled AS (SELECT p_partkey AS doc, 'The ' || p_name || ': a tale of the ' || lower(p_type) || ' in ' || p_brand || ', part ' || p_size AS title FROM part WHERE p_partkey % 2 = 0)"""
+_TITLED = """titled AS (SELECT p_partkey AS doc, 'The ' || p_name || ': a tale of the ' || lower(p_type) || ' in ' || p_brand || ', part ' || p_size AS title FROM part)"""
 
 
 @query(f"""WITH {_TITLED}, told AS (SELECT p_partkey AS request_id, CASE p_partkey % 3 WHEN 0 THEN 'something like the ' || p_name || ': a tale of the ' || lower(p_type) || ' in ' || p_brand || ', part ' || p_size || '! but newer' WHEN 1 THEN 'the ' || p_name || ': a tale of the ' || lower(p_type) || ' in ' || p_brand || ', part ' || p_size || '9'
-ELSE 'a tale of the ' || lower(p_type) END AS text FROM part WHERE p_partkey < 1500)
+ELSE 'a tale of the ' || lower(p_type) END AS text FROM part)
 SELECT request_id, doc FROM told JOIN titled ON contains(lower(text), lower(title)) AND NOT regexp_matches(substr(lower(text), strpos(lower(text), lower(title)) + length(title), 1), '[a-z0-9]')""")
 def mentioned_titles(spark, d):
     """Titles of nine words and more in requests, by their first words and then verified."""
@@ -647,13 +647,13 @@ def mentioned_titles(spark, d):
     title = F.concat(F.lit("The "), "p_name", F.lit(": a tale of the "), F.lower("p_type"), F.lit(" in "), "p_brand", F.lit(", part "), F.col("p_size").cast("string"))
     key = F.col("p_partkey") % 3
     text = F.when(key == 0, F.concat(F.lit("something like "), F.lower(F.substring(title, 1, 4)), F.substring(title, 5, 500), F.lit("! but newer"))).when(key == 1, F.concat(F.lit("the "), F.substring(title, 5, 500), F.lit("9"))).otherwise(F.concat(F.lit("a tale of the "), F.lower("p_type")))
-    asked = p.filter("p_partkey < 1500").select(F.col("p_partkey").alias("request_id"), text.alias("text"))
-    items = p.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("doc"), title.alias("title"))
+    asked = p.select(F.col("p_partkey").alias("request_id"), text.alias("text"))
+    items = p.select(F.col("p_partkey").alias("doc"), title.alias("title"))
     return parsing.mentioned_items(asked, items, F.array("title"))
 
 
 @query("""WITH items AS (SELECT p_partkey AS doc, p_name || ' ' || p_partkey % 700 AS title, 'Alt ' || p_partkey % 900 AS other FROM part), told AS (SELECT o_custkey AS request_id, o_orderkey AS n, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey % 2500 END AS id,
-  CASE o_orderkey % 4 WHEN 1 THEN 'small ring ' || o_orderkey % 800 WHEN 2 THEN ' SMALL ring ' || o_orderkey % 800 WHEN 3 THEN 'alt ' || o_orderkey % 1000 ELSE '' END AS name FROM orders WHERE o_orderkey < 4000),
+  CASE o_orderkey % 4 WHEN 1 THEN 'small ring ' || o_orderkey % 800 WHEN 2 THEN ' SMALL ring ' || o_orderkey % 800 WHEN 3 THEN 'alt ' || o_orderkey % 1000 ELSE '' END AS name FROM orders),
 m AS (SELECT request_id, n, doc, CASE WHEN name = title THEN 0 WHEN lower(trim(name)) IN (lower(title), lower(other)) THEN 1 ELSE 2 END AS tier FROM told JOIN items ON name = title OR (name <> '' AND (lower(trim(name)) = lower(title) OR lower(trim(name)) = lower(other))) OR id = doc),
 f AS (SELECT *, min(tier) OVER (PARTITION BY request_id, n) AS first FROM m) SELECT request_id, doc, CASE min(tier) WHEN 0 THEN 'title' WHEN 1 THEN 'variant' ELSE 'id' END AS how FROM f WHERE tier = first GROUP BY request_id, doc""")
 def history_resolve(spark, d):
@@ -662,16 +662,16 @@ def history_resolve(spark, d):
     items = p.select(F.col("p_partkey").alias("doc"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 700).cast("string")).alias("title"), F.concat(F.lit("Alt "), (F.col("p_partkey") % 900).cast("string")).alias("other"))
     number = lambda m: (n % m).cast("string")
     name = F.when(n % 4 == 1, F.concat(F.lit("small ring "), number(800))).when(n % 4 == 2, F.concat(F.lit(" SMALL ring "), number(800))).when(n % 4 == 3, F.concat(F.lit("alt "), number(1000))).otherwise("")
-    told = t(spark, d, "orders").filter("o_orderkey < 4000").select(F.col("o_custkey").alias("request_id"), F.when(n % 4 == 0, n % 2500).alias("id"), name.alias("name"))
+    told = t(spark, d, "orders").select(F.col("o_custkey").alias("request_id"), F.when(n % 4 == 0, n % 2500).alias("id"), name.alias("name"))
     return parsing.resolved_history(told, items, F.array("title", "other"))
 
 
-@query("""WITH i AS (SELECT p_partkey AS doc, p_brand, p_size, p_name FROM part WHERE p_size < 8) SELECT p_brand AS request_id, count(*) AS n_docs, array_to_string(list_sort(list(DISTINCT 'g' || p_size)), ',') AS genres, count(DISTINCT p_size % 4) AS n_keywords, list_sum(list_distinct(flatten(list([doc % 5, doc % 7]))))::BIGINT AS similar,
+@query("""WITH i AS (SELECT p_partkey AS doc, p_brand, p_size, p_name FROM part) SELECT p_brand AS request_id, count(*) AS n_docs, array_to_string(list_sort(list(DISTINCT 'g' || p_size)), ',') AS genres, count(DISTINCT p_size % 4) AS n_keywords, list_sum(list_distinct(flatten(list([doc % 5, doc % 7]))))::BIGINT AS similar,
 array_to_string(list_sort(list_distinct(flatten(list(string_split(p_name, ' '))))), ' ') AS words FROM i GROUP BY p_brand""")
 def seed_signals(spark, d):
     """What the items that a request names have in common."""
     doc, size = F.col("doc"), F.col("p_size").cast("string")
-    p = t(spark, d, "part").withColumn("doc", F.col("p_partkey")).filter("p_size < 8")
+    p = t(spark, d, "part").withColumn("doc", F.col("p_partkey"))
     items = p.select("doc", F.col("p_name").alias("title"), F.array(doc % 5, doc % 7).alias("similar_ids"), F.array(doc % 3).alias("recommended_ids"), F.array(F.concat(F.lit("g"), size)).alias("genre_set"), F.array((F.col("p_size") % 4).cast("string")).alias("keyword_set"))
     got = parsing.seed_signals(p.select(F.col("p_brand").alias("request_id"), "doc"), items)
     return got.select("request_id", F.size("seed_docs").cast("bigint").alias("n_docs"), F.array_join(F.sort_array("seed_genres"), ",").alias("genres"), F.size("seed_keywords").cast("bigint").alias("n_keywords"), F.aggregate("seed_similar_ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("similar"), F.array_join(F.sort_array("seed_title_tokens"), " ").alias("words"))
