@@ -50,6 +50,21 @@ def score_gaps(df: DataFrame, by: list[str], order: list[Column], score: str) ->
     return ranked.groupBy(*by).agg(at(1).alias("top"), (at(1) - at(2)).alias("gap2"), (at(1) - at(5)).alias("gap5"))
 
 
+#: What a met wish adds to an item's score.
+MATCH = {"genre_match": 0.10, "person_match": 0.22, "year_match": 0.08, "runtime_match": 0.06, "avoid_hit": -0.35}
+
+
+def consensus_weight(f: dict[str, Column]) -> Column:
+    """How much an item's consensus counts for a request; less where a sub-genre is asked."""
+    sub = f.get("subgenre_request", f.get("subgenre_overlap", F.lit(0)) > 0)
+    return (
+        F.when(f["quality_request"], F.when(sub, 0.28).otherwise(0.35))
+        .when(f["broad_request"], F.when(sub, 0.18).otherwise(0.25))
+        .when(f["needs_backup"], F.when(sub, 0.12).otherwise(0.18))
+        .otherwise(0.08)
+    )
+
+
 def source_score(f: dict[str, Column]) -> Column:
     """The additive score; ``f`` names its inputs, all of which are columns (boolean unless numeric).
 
@@ -59,14 +74,8 @@ def source_score(f: dict[str, Column]) -> Column:
     rank = lambda k: F.coalesce(30.0 / (RRF + f[k]), F.lit(0.0))
     seed = F.when(f["seed_relation"] == "similar", 0.65).when(f["seed_relation"] == "recommended", 0.5).when(f["similar_request"] & f["seed_overlap"], 0.12).otherwise(0.0)
     source = F.when(f["constraint_source"] == "quality", F.when(f["needs_backup"], 0.45).otherwise(0.35)).when(f["constraint_source"] != "", 0.18).otherwise(0.0)
-    sub = f.get("subgenre_request", f["subgenre_overlap"] > 0)
-    weight = (
-        F.when(f["quality_request"], F.when(sub, 0.28).otherwise(0.35))
-        .when(f["broad_request"], F.when(sub, 0.18).otherwise(0.25))
-        .when(f["needs_backup"], F.when(sub, 0.12).otherwise(0.18))
-        .otherwise(0.08)
-    )
-    match = yes("genre_match", 0.10) + yes("person_match", 0.22) + yes("year_match", 0.08) + yes("runtime_match", 0.06) + yes("avoid_hit", -0.35)
+    weight = consensus_weight(f)
+    match = sum((yes(k, v) for k, v in MATCH.items()), F.lit(0.0))
     total = rank("bm25_rank") + rank("sem_rank") + F.coalesce(seed, F.lit(0.0)) + F.coalesce(source, F.lit(0.0)) + match + 0.12 * F.least(F.lit(3), f["subgenre_overlap"]) + weight * f["consensus"]
     wrong = F.coalesce(f["wrong_language"], F.lit(False)) | F.coalesce(f["wrong_certificate"], F.lit(False))
     return F.when(F.coalesce(f["excluded"], F.lit(False)), -10000.0).when(wrong, -5000.0).otherwise(total)

@@ -11,14 +11,18 @@ from ..functions.values import DENSE_TOP, LEXICAL_TOP, POOL, SECOND_STAGE, SHORT
 from ..operators import answers, dense, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
 from ..sources.catalogue import ensure_columns
 from ..sources.stages import written
+from . import recall
 
 #: Appended rows of each kind, and how many a request can have before they are taken: all recalled and appended ones.
 APPENDED = 20
 KINDS = ("person", "quality", "year", "runtime")
 WIDE = LEXICAL_TOP + DENSE_TOP + APPENDED * (len(KINDS) + 1)
 TEXTS = "array<string>"
-#: Tasks over which rows that meet on a few values alone are spread.
-SALTS = 32
+
+
+def by_score() -> list[Column]:
+    """The order of rows that no search found."""
+    return [F.desc("score"), F.desc("consensus"), F.desc("rating"), F.desc("votes"), F.col("doc")]
 
 
 def prepare(catalogue: DataFrame) -> DataFrame:
@@ -80,34 +84,6 @@ def understand(requests: DataFrame, items: DataFrame, strict: bool = False) -> D
     return asked.withColumns({"seen": F.array_union("history_docs", seeds_out), "quality_floor": floor, "target_genres": target}).drop("history", "found_people", "found_places", "said_people", "said_countries")
 
 
-def _matches(asked: DataFrame, items: DataFrame) -> DataFrame:
-    """(request_id, doc, kind): catalogue rows that a request's people, quality, years or running time ask for.
-
-    Ranges become equalities: the few distinct years, minutes and quality floors of the
-    catalogue meet the requests first. Genres narrow the quality rows where at least
-    min(5, all) of a request's rows have one; this is counted before anything is gathered.
-    """
-    year = F.col("y").between(F.col("year.min"), F.col("year.max"))
-    years = asked.filter("year is not null").select("request_id", "year").join(items.select(F.col("year_n").alias("y")).filter("y is not null").distinct(), year).select("request_id", "y")
-    by_year = years.join(items.select("doc", F.col("year_n").alias("y")), "y").select("request_id", "doc", F.lit("year").alias("kind"))
-    timed = asked.filter("runtime.min is not null or runtime.max is not null").select("request_id", "runtime")
-    fits = (F.col("m") >= F.coalesce("runtime.min", F.lit(0))) & (F.col("m") <= F.coalesce("runtime.max", F.lit(10**6)))
-    minutes = timed.join(items.select(F.col("runtime_n").alias("m")).filter("m is not null").distinct(), fits).select("request_id", "m")
-    by_time = minutes.join(items.select("doc", F.col("runtime_n").alias("m")), "m").select("request_id", "doc", F.lit("runtime").alias("kind"))
-    known = items.select("doc", F.explode("people").alias("name"))
-    by_person = asked.select("request_id", F.explode("people").alias("name")).join(known, "name").select("request_id", "doc", F.lit("person").alias("kind")).distinct()
-    floors = F.filter(F.array(F.lit(8.0), F.lit(7.4), F.lit(7.2)), lambda x: F.col("rating") >= x)
-    good = items.filter("votes >= 1000").select("doc", "genre_set", F.explode(floors).alias("quality_floor"))
-    backed = asked.filter("needs_backup").select("request_id", "quality_floor", "target_genres", "seen", "blocked_genres")
-    # Three floors are three keys; salts spread each of them over SALTS tasks.
-    good = good.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)))
-    backed = backed.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    rows = backed.join(good, ["quality_floor", "salt"]).filter("not array_contains(seen, doc) and not arrays_overlap(genre_set, blocked_genres)").withColumn("aimed", F.arrays_overlap("genre_set", "target_genres"))
-    counts = rows.groupBy("request_id").agg((F.count_if("aimed") >= F.least(F.lit(5), F.count("*"))).alias("narrowed"))
-    by_quality = rows.join(counts, "request_id").filter("aimed or not narrowed or size(target_genres) = 0").select("request_id", "doc", F.lit("quality").alias("kind"))
-    return reduce(DataFrame.unionByName, (by_person, by_quality, by_year, by_time))
-
-
 _RECALL = ["bm25_rank", "sem_rank", "bm25_score", "sem_score", "vote_score"]
 _SAID = "similar_request broad_request needs_backup wants_quality wants_all_time short_requested fuzzy specificity min_rating".split()
 
@@ -172,19 +148,26 @@ def candidates(asked: DataFrame, items: DataFrame, hits: DataFrame, near: DataFr
     more than that can be present before.
     """
     fused = written(ranking.fuse(hits, near).select("request_id", "doc", F.lit(True).alias("present"), *_RECALL), "fused")
-    order = [F.desc("score"), F.desc("consensus"), F.desc("rating"), F.desc("votes"), F.col("doc")]
-    kinds = _matches(asked, items)
-    wide = _score(_evidence(_unrecalled(kinds, False), asked, items))
-    # seeds' neighbours come in first without a limit, so they don't count against the others
-    wide = wide.filter("not similar_request or seed_relation = ''").join(kinds, ["request_id", "doc"]).select("request_id", "doc", "kind", "score", "consensus", "rating", "votes").distinct()
-    n = F.row_number().over(Window.partitionBy("request_id", "kind").orderBy(*order))
-    wide = wide.withColumn("n", n).filter(F.col("n") <= WIDE).select("request_id", "doc")
+    wide = constraint_rows(asked, items).select("request_id", "doc")
     linked = asked.filter("similar_request").select("request_id", F.explode(F.array_union("seed_similar_ids", "seed_recommended_ids")).alias("doc"))
     rows = fused.unionByName(_unrecalled(wide.unionByName(linked), False))
     rows = rows.groupBy("request_id", "doc").agg(F.max("present").alias("present"), *[F.max(c).alias(c) for c in _RECALL]).na.fill(0.0, ["bm25_score", "sem_score", "vote_score"])
     df = written(_score(_evidence(rows, asked, items)), "evidence")
 
-    return _score(constrained(df, order)).drop("narrowed")
+    return _score(constrained(df, by_score())).drop("narrowed")
+
+
+def constraint_rows(asked: DataFrame, items: DataFrame, most: int = WIDE) -> DataFrame:
+    """(request_id, doc, kind, score, ...): of each kind the best ``most`` rows that a request's people, quality, years or running time ask for.
+
+    Seeds' neighbours come in first without a limit, so they don't count against the others.
+    """
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = _score(_evidence(_unrecalled(pairs.select("request_id", "doc").distinct(), False), asked, items)).filter("not similar_request or seed_relation = ''")
+        return pairs.join(rows.select("request_id", "doc", "score", "consensus", "rating", "votes"), ["request_id", "doc"])
+
+    return recall.best(recall.cursors(asked, items, recall.narrowed(asked, items)), items, scored, by_score(), most)
 
 
 def constrained(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -210,18 +193,18 @@ def constrained(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.filter("present")
 
 
-def fallback(asked: DataFrame, items: DataFrame, pool: DataFrame) -> DataFrame:
-    """For requests that nothing was recalled for, the whole catalogue is the pool: a query set in blocks, usually an empty one."""
+def fallback(asked: DataFrame, items: DataFrame, pool: DataFrame, most: int = POOL) -> DataFrame:
+    """For requests that nothing was recalled for, the catalogue's best ``most`` rows join the pool; no more are looked at later."""
     lone = asked.join(pool.select("request_id").distinct(), "request_id", "left_anti")
-    blocks = -(-lone.count() // dense.BLOCK)
-    part = F.pmod(F.xxhash64("request_id"), F.lit(max(blocks, 1)))
-    found = pool
-    for i in range(blocks):
-        salted = lone.filter(part == i).select("request_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        pairs = items.select("doc", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt")).join(salted, "salt")
-        df = _evidence(_unrecalled(pairs, True), asked, items).withColumns({"year_available": F.col("asked_year"), "runtime_available": F.col("asked_runtime")})
-        found = found.unionByName(_score(df))
-    return found
+    base = recall.told(lone).withColumns({"kind": F.lit("all"), "stem": F.lit("all:")})
+    cursors = recall.marked(base).join(lone.select("request_id", F.when(F.col("similar_request"), 0.65).otherwise(0.0).alias("seeds")), "request_id").withColumn("bonus", F.when(F.col("bonus") > recall.WRONG, F.col("bonus") + F.col("seeds")).otherwise(F.col("bonus"))).drop("seeds")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        df = _evidence(_unrecalled(pairs, True), asked, items).withColumns({"year_available": F.col("asked_year"), "runtime_available": F.col("asked_runtime"), "kind": F.lit("all")})
+        return _score(df)
+
+    found = recall.best(cursors, items, scored, by_score(), most).drop("kind")
+    return pool.unionByName(found)
 
 
 def _prepared(catalogue: DataFrame, requests: DataFrame, strict: bool) -> tuple[DataFrame, DataFrame]:
