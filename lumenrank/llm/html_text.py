@@ -1,14 +1,15 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. A line weighs its
-characters outside links. What the page says of itself only changes weights: a
+characters outside links, and nothing if most of it is links. What the page says of itself only changes weights: a
 paragraph or heading, and a line in an article, weigh some ``BONUS`` more; a line
 outside the article of a page that has one weighs ``OUTSIDE`` of its length; lines
 of menus, headers and footers of the page, side bars, notices, adverts, forms and
 reader comments weigh nothing. Weights are summed over sliding windows of
-``WINDOW`` lines; a surge is where the sum reaches ``THRESHOLD``, a dive is where it
-falls below again, and the lines between each surge and its dive are kept, but for
-those that weigh nothing. On a page that never reaches twice the threshold, it is half of the
+``WINDOW`` lines. A surge is where the sum reaches ``SURGE``; its text begins and ends where
+the sum dives below ``DIVE`` on either side, and the lines between are kept, but for
+those that weigh nothing. So a short line stays if it leads to a long one, and a lone short line of an
+article doesn't surge. On a page that never reaches twice the surge, that is half of the
 highest sum. No window reaches over an article's border.
 
 One pass over the pages without a shuffle, in time linear in the page. Entities are
@@ -34,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import ship, text_or_empty
 
 WINDOW = 3
-THRESHOLD = 80
-#: Characters that a kind of line, and a line of an article, weighs beyond its length. Either is below the threshold.
-BONUS = {"p": 40, "pre": 40, "blockquote": 40, "h1": 30, "h2": 30, "h3": 30, "h4": 30, "h5": 30, "h6": 30, "li": 10, "td": 10}
-IN_ARTICLE = 40
+#: The window sum at which text begins, and below which it has ended.
+SURGE, DIVE = 80, 20
+#: Characters that a kind of line, and a line of an article, weighs beyond its length. Both together don't reach a surge.
+BONUS = {"p": 20, "pre": 20, "blockquote": 20, "h1": 15, "h2": 15, "h3": 15, "h4": 15, "h5": 15, "h6": 15, "li": 5, "td": 5}
+IN_ARTICLE = 20
 #: What a character outside the article weighs on a page that has one.
 OUTSIDE = 1 / 16
 #: A line at the edge of a region that weighs less than this was only reached by its neighbour's window.
@@ -194,14 +196,14 @@ def lines_of(html: str) -> list[Line]:
 def weights_of(lines: list[Line], window: int = WINDOW) -> list[tuple[int, float]]:
     """(place of the line, weight) along the page; place -1 is a gap, which keeps windows on one side of an article's border.
 
-    Lines that are never text are gaps outside an article; inside one they are passed over.
+    Lines that are never text, or mostly links, are gaps outside an article; inside one they are passed over.
     """
     has_main = any(x.inside and x.text and not x.never for x in lines)
     out: list[tuple[int, float]] = []
     before = False
     for i, x in enumerate(lines):
         if has_main and x.inside != before:
-            out += [(-1, 0.0)] * (window // 2)
+            out += [(-1, 0.0)] * window
             before = x.inside
         if not x.text:
             if not x.inside:
@@ -210,12 +212,13 @@ def weights_of(lines: list[Line], window: int = WINDOW) -> list[tuple[int, float
         if x.never:
             if not x.inside:
                 out.append((i, 0.0))
-        elif x.inside and has_main:
-            out.append((i, len(x.text) + x.bonus + IN_ARTICLE))
         else:
             free = max(0, len(x.text) - x.linked)
             own = free + x.bonus if 2 * free >= len(x.text) else 0
-            out.append((i, own * OUTSIDE if has_main else own))
+            if not has_main or not x.inside:
+                out.append((i, own * OUTSIDE if has_main else own))
+            elif own:
+                out.append((i, own + IN_ARTICLE))
     return out
 
 
@@ -229,23 +232,25 @@ def sums_of(weights: list[float], window: int = WINDOW) -> list[float]:
     return [before[min(n, i + half + 1)] - before[max(0, i - half)] for i in range(n)]
 
 
-def regions(weights: list[float], window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """(surge, dive) of each run of lines whose window sums reach the threshold, or half of the highest sum if that is lower."""
+def regions(weights: list[float], window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> list[tuple[int, int]]:
+    """(begin, end) of each run of lines whose window sums stay at or above ``dive`` and reach ``surge``, or half of the highest sum if that is lower."""
     sums = sums_of(weights, window)
-    least = min(threshold, max(sums, default=0) / 2)
-    out, start = [], None
-    if least <= 0:
+    high = min(surge, max(sums, default=0) / 2)
+    low = min(dive, high)
+    out, start, surged = [], None, False
+    if high <= 0:
         return out
-    for i, total in enumerate([*sums, 0.0]):
-        if total >= least and start is None:
-            start = i
-        if total < least and start is not None:
-            out.append((start, i))
-            start = None
+    for i, total in enumerate([*sums, -1.0]):
+        if total >= low:
+            start, surged = i if start is None else start, surged or total >= high
+        elif start is not None:
+            if surged:
+                out.append((start, i))
+            start, surged = None, False
     return out
 
 
-def extract_text(html: str | None, window: int = WINDOW, threshold: float = THRESHOLD) -> str:
+def extract_text(html: str | None, window: int = WINDOW, surge: float = SURGE, dive: float = DIVE) -> str:
     if not html:
         return ""
     lines = lines_of(html)
@@ -253,7 +258,7 @@ def extract_text(html: str | None, window: int = WINDOW, threshold: float = THRE
     weights = [w for _, w in line]
     edge = min(EDGE, max(weights, default=0))
     kept = []
-    for a, b in regions(weights, window, threshold):
+    for a, b in regions(weights, window, surge, dive):
         while a < b and weights[a] < edge:
             a += 1
         while a < b and weights[b - 1] < edge:

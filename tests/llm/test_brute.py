@@ -261,22 +261,22 @@ def test_evidence_against_plain_counts(spark):
 # ---- op7
 
 
-def brute_regions(weights, window, threshold):
+def brute_regions(weights, window, surge, dive):
     half, n = window // 2, len(weights)
     sums = [sum(weights[max(0, i - half) : i + half + 1]) for i in range(n)]
-    least = min(threshold, max(sums, default=0) / 2)
-    if least <= 0:
+    high = min(surge, max(sums, default=0) / 2)
+    if high <= 0:
         return []
-    marks = "".join("x" if s >= least else "." for s in sums)
-    return [m.span() for m in re.finditer("x+", marks)]
+    marks = "".join("x" if s >= high else "-" if s >= min(dive, high) else "." for s in sums)
+    return [m.span() for m in re.finditer("[x-]+", marks) if "x" in m[0]]
 
 
 def test_windows_against_plain_sums():
     rng = random.Random(1)
     for _ in range(400):
         weights = [rng.choice((0, 0, 5, 30, 90, 400)) for _ in range(rng.randint(0, 30))]
-        window, threshold = rng.choice((1, 3, 5)), rng.choice((0, 40, 80, 500))
-        assert html_text.regions(weights, window, threshold) == brute_regions(weights, window, threshold)
+        window, surge, dive = rng.choice((1, 3, 5)), rng.choice((0, 40, 80, 500)), rng.choice((1, 20, 90))
+        assert html_text.regions(weights, window, surge, dive) == brute_regions(weights, window, surge, dive)
 
 
 def made_page(rng):
@@ -290,17 +290,38 @@ def made_page(rng):
     return page, " ".join(article)
 
 
+def hard_page(rng, kind):
+    """A page and its text: a teaser as the marked article and the text outside; a second, short article; or links and share lines in the article."""
+    say = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet tempor magna aliqua et veniam".split()) for _ in range(n))
+    p = lambda xs: "".join(f"<p>{x}</p>" for x in xs)
+    long = [say(rng.randint(150, 250)) for _ in range(rng.randint(3, 7))]
+    menu = "<nav><a href=/>home</a></nav>"
+    if kind == "teaser":
+        return f"<body>{menu}<article><p>{say(2)}</p></article><div>{p(long)}</div><div>{say(2)}</div><footer>{say(5)}</footer></body>", " ".join(long)
+    if kind == "second":
+        return f"<body>{menu}<article>{p(long)}</article><div class=ad>{say(5)}</div><article><p>{say(2)}</p></article></body>", " ".join(long)
+    short = [say(rng.randint(1, 4)) for _ in range(3)]
+    links = "<div><a href=a>share this</a> | <a href=b>print it</a></div><ul>" + "".join(f"<li><a href=x>{say(6)}</a></li>" for _ in range(4)) + "</ul>"
+    return f"<body>{menu}<article><h1>{short[0]}</h1>{links}{p(long)}<p>{short[1]}</p><p>{short[2]}</p></article></body>", " ".join([short[0], *long, *short[1:]])
+
+
 def test_the_distribution_decides():
     rng = random.Random(7)
-    pages = [made_page(rng) for _ in range(300)]
-    right = sum(html_text.extract_text(page) == text for page, text in pages)
+    plain = [made_page(rng) for _ in range(300)]
+    hard = [hard_page(rng, kind) for kind in ("teaser", "second", "links") for _ in range(60)]
+
+    def right(pages, rule):
+        return sum(rule(page) == text for page, text in pages)
+
+    def inside(page):
+        return " ".join(x.text for x in html_text.lines_of(page) if x.text and x.inside and not x.never)
 
-    def kept_by_marks(page):
+    def marks(page):
         lines = html_text.lines_of(page)
         return " ".join(lines[i].text for i, w in html_text.weights_of(lines) if w > 0)
 
-    without = sum(kept_by_marks(page) == text for page, text in pages)
-    assert right == len(pages) and without < 0.1 * len(pages)
+    assert right(plain, html_text.extract_text) == len(plain) and right(plain, marks) < 0.1 * len(plain)
+    assert right(hard, html_text.extract_text) == len(hard) and right(hard, inside) == 0
 
 
 def test_html_in_linear_time_and_clashing_columns(spark):
