@@ -15,19 +15,24 @@ def exploded_tokens(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def _field_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, field, w, term) for each occurrence. Documents are dealt by id once, so all that follows by document stays where it is."""
+    """(doc, field, w, term) for each occurrence, in the scan: no text is shuffled."""
     text = lambda f: json_text(F.col(f)) if f.endswith("_json") else F.col(f).cast("string")
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("w"), F.coalesce(text(f), F.lit("")).alias("text")) for f, w in fields.items()])
-    rows = docs.select(F.col(id_col).alias("doc"), *fields).repartition("doc").select("doc", F.inline(parts))
+    rows = docs.select(F.col(id_col).alias("doc"), F.inline(parts))
     terms = exploded_tokens(rows, F.col("text")).select("doc", "field", "w", stem(F.col("token")).alias("term"))
     return terms.filter(~F.col("term").isin(STOP_WORDS))
 
 
 def weighted_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, term, tf): occurrences times field weights. One scan and one shuffle, of the documents themselves."""
+    """(doc, term, tf): occurrences times field weights. Each task adds up its own documents' terms, and only those sums are shuffled."""
     return _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
 
+def counted(docs: DataFrame) -> Column:
+    """The number of documents, found as part of the plan that uses it."""
+    return docs.agg(F.count("*")).scalar()
+
+
 def term_stats(postings: DataFrame, n_docs: int | Column) -> DataFrame:
     """(term, df, idf). ``postings`` has each (doc, term) once."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
@@ -52,9 +57,9 @@ def build(docs: DataFrame, id_col: str, fields: dict[str, float] | None = None,
     """
     fields = {f: w for f, w in (fields or FIELD_WEIGHTS).items() if f in docs.columns}
     long = F.col("field") == (long_field or "")
-    counted = _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum(F.when(long, 0.0).otherwise(F.col("w"))).alias("base"), F.sum(F.when(long, F.col("w")).otherwise(0.0)).alias("over"))
-    every = written(counted, "postings")
-    stats = term_stats(every, docs.count())
+    sums = _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum(F.when(long, 0.0).otherwise(F.col("w"))).alias("base"), F.sum(F.when(long, F.col("w")).otherwise(0.0)).alias("over"))
+    every = written(sums, "postings")
+    stats = term_stats(every, counted(docs))
     if long_field and long_field in fields:
         best = top_terms(every.filter("over > 0").select("doc", "term", F.col("over").alias("tf")), stats).select("doc", "term", F.lit(True).alias("best"))
         postings = every.join(best, ["doc", "term"], "left").select("doc", "term", (F.col("base") + F.when(F.col("best"), F.col("over")).otherwise(0.0)).alias("tf")).filter("tf > 0")

@@ -28,11 +28,11 @@ def search(terms: DataFrame, postings: DataFrame, stats: DataFrame, lengths: Dat
     join on the term: up to SENT of them are broadcast, so that postings stay where
     they are and a frequent term is no single task's; documents that share no term never appear.
     """
-    avgdl = lengths.agg(F.avg("dl")).first()[0] or 1.0
+    avgdl = F.coalesce(lengths.agg(F.avg("dl")).scalar(), F.lit(1.0))
     weighed = terms.join(stats.select("term", "idf"), "term", "left")
     few = terms.limit(SENT + 1).count() <= SENT
     met = postings.join(F.broadcast(weighed) if few else weighed, "term").join(lengths, "doc")
-    part = F.col("qtf") * bm25(F.col("tf"), F.col("dl"), F.lit(float(avgdl)), F.coalesce("idf", F.lit(1.0)))
+    part = F.col("qtf") * bm25(F.col("tf"), F.col("dl"), avgdl, F.coalesce("idf", F.lit(1.0)))
     scored = met.groupBy("request_id", "doc").agg(F.round(F.sum(part), digits).alias("bm25_raw")).filter("bm25_raw > 0")
     if exclude is not None:
         scored = without(scored, exclude, ["request_id", "doc"])

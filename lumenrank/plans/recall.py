@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 from ..operators import matching, ranking
+from ..operators.blockmax import levels
 from ..sources.stages import release, written
 
 #: Rows of a list's first level, about; and how many times as many rows each further level leads to.
@@ -50,15 +51,9 @@ def keys(items: DataFrame) -> DataFrame:
 
 
 def levelled(entries: DataFrame) -> DataFrame:
-    """(list, doc, level, ceiling): entries with their level, and the consensus that none of its rows exceeds.
-
-    Levels come from counts of each list's steps, so that a list of any length is no single task's.
-    """
-    counts = entries.groupBy("list", "step").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("list").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level = F.when(before < FIRST, 0).otherwise(1 + F.floor(F.log(before / FIRST) / F.log(F.lit(float(GROWTH))))).cast("int")
-    cut = counts.select("list", "step", level.alias("level")).withColumn("ceiling", (F.max("step").over(Window.partitionBy("list", "level")) + 1) / STEPS)
-    return entries.join(cut, ["list", "step"]).select("list", "doc", "level", "ceiling")
+    """(list, doc, level, ceiling): entries with their level, and the consensus that none of its rows exceeds."""
+    cut = levels(entries, "list", F.col("step"), FIRST, GROWTH).withColumn("ceiling", (F.max("step").over(Window.partitionBy("list", "level")) + 1) / STEPS)
+    return entries.join(cut.drop("through"), ["list", "step"]).select("list", "doc", "level", "ceiling")
 
 
 def best(cursors: DataFrame, items: DataFrame, scored: Callable[[DataFrame], DataFrame], order: list[Column], k: int) -> DataFrame:

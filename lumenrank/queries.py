@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +12,11 @@ from .functions import numbers as N
 from .functions import text as T
 from .functions import values as V
 from .functions.json_object import extract_object
-from .operators import answers, dense, enrichment, evaluation, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
+from .operators import answers, blockmax, dense, enrichment, evaluation, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
 from .plans import recommend as plan
 from .plans import service
 from .sources import catalogue
-from .sources.stages import written
+from .sources.stages import folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,7 +133,7 @@ def weighted_tf(spark, d):
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def idf_stats(spark, d):
     docs = t(spark, d, "documents")
-    return index.term_stats(index.weighted_terms(docs, {"text": 1.0}, "doc_id"), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index.term_stats(index.weighted_terms(docs, {"text": 1.0}, "doc_id"), index.counted(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_INDEX} SELECT doc, term, tf, rank FROM (SELECT doc, term, tf, row_number() OVER (PARTITION BY doc ORDER BY round(tf * idf, 9) DESC, tf DESC, term DESC) AS rank
@@ -140,7 +141,7 @@ FROM postings JOIN stats USING (term)) WHERE rank <= 18""")
 def overview_topterms(spark, d):
     docs = t(spark, d, "documents")
     post = written(index.weighted_terms(docs, {"text": 1.0}, "doc_id"), "postings")
-    return index.top_terms(post, index.term_stats(post, docs.count())).select("doc", "term", "tf", "rank")
+    return index.top_terms(post, index.term_stats(post, index.counted(docs))).select("doc", "term", "tf", "rank")
 
 
 def _bm25(spark, d, asked):
@@ -163,6 +164,20 @@ def bm25_batch(spark, d):
     return _bm25(spark, d, t(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text")).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
+def written_index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The index of all documents with its blocks' bounds, written and read back."""
+    path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
+    blockmax.write(*index.build(t(spark, d, "documents"), "doc_id", {"text": 1.0}), path)
+    return blockmax.read(spark, path)
+
+
+@query(SQL["bm25_batch"])
+def bm25_blocks(spark, d):
+    """The same rows from a written index, whose blocks' bounds leave out what can't be among the first."""
+    asked = t(spark, d, "benchmark").select(F.col("item_id").alias("request_id"), "text")
+    return blockmax.search(lexical.query_terms(asked), written_index(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
 _COS = """SELECT q.vec_id AS request_id, e.vec_id AS doc, round((list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) + 1) / 2, 6) AS s
 FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.vec_id <> q.vec_id"""
 _DENSE = f"dense AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY s DESC, doc) AS r FROM ({_COS}) QUALIFY r <= 30)"

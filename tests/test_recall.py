@@ -87,3 +87,28 @@ def test_fallback_equals_all_pairs(made, monkeypatch):
     none = plan._score(plan._evidence(plan._unrecalled(pairs.limit(0), True), asked, items).withColumns({"year_available": F.col("asked_year"), "runtime_available": F.col("asked_runtime")}))
     got = plan.fallback(asked, items, none, 20)
     assert {(r.request_id, "all", r.doc, r.score) for r in got.collect()} == want and len(want) == 20 * len(ASKED)
+
+
+def test_written_index_reads_few_documents(spark):
+    """The same rows as the plain search, for frequent and rare terms, exclusions and small ``k``; most documents aren't scored."""
+    import tempfile
+
+    from lumenrank.operators import blockmax, index, lexical
+
+    rng = random.Random(6)
+    words = [f"w{int(rng.paretovariate(0.7))}x" for _ in range(150_000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 30 : i * 30 + rng.randint(5, 30)])) for i in range(5000)], "doc long, text string")
+    built = index.build(docs, "doc", {"text": 1.0})
+    path = tempfile.mkdtemp() + "/index"
+    blockmax.write(*built, path)
+    opened = blockmax.read(spark, path)
+    asked = ["w1x", "w1x w2x", "w7x w1x w2x w3x", "w50x w1x", "w900x nothing", "nothing", "", " ".join(f"w{i}x" for i in range(1, 20)), "w3x w3x w9x"]
+    terms = lexical.query_terms(spark.createDataFrame(list(enumerate(asked)), "request_id int, text string"))
+    out = spark.createDataFrame([(0, d) for d in range(0, 5000, 3)] + [(2, 7)], "request_id int, doc long")
+    for exclude, k in ((None, 10), (out, 10), (None, 80)):
+        got, want = (sorted(map(tuple, x.select("request_id", "doc", "bm25_raw", "bm25_rank").collect())) for x in (blockmax.search(terms, opened, exclude, k), lexical.search(terms, *built, exclude, k)))
+        assert got == want and len(got) > 40
+    scored, every = blockmax.candidates(terms, opened, None, 10).count(), built[0].join(terms, "term").select("request_id", "doc").distinct().count()
+    assert scored < 0.6 * every, (scored, every)
+    alone = blockmax.candidates(terms.filter("request_id = 0"), opened, None, 10).count()
+    assert alone < 300 < built[0].filter("term = 'w1x'").count() / 4, alone
