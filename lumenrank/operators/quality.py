@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import clip
+from .quantiles import quantile
 
 
 def effective(external: Column, native: Column) -> Column:
@@ -12,18 +13,20 @@ def effective(external: Column, native: Column) -> Column:
 
 
 def add_quality(items: DataFrame, rating: str = "rating", votes: str = "votes", native: str | None = None) -> DataFrame:
-    """bayesian, reliability, consensus of each item. Corpus statistics are four numbers from one aggregation.
+    """bayesian, reliability, consensus of each item. Corpus statistics are found within the plan, the 0.7 quantile of votes in bounded memory.
 
     The prior is the mean of ratings above zero, else that of the ``native`` column, else 6.
     """
     r, v = clip(F.coalesce(F.col(rating).cast("double"), F.lit(0.0)), 0.0, 10.0), F.greatest(F.coalesce(F.col(votes).cast("double"), F.lit(0.0)), F.lit(0.0))
     base = items.withColumn("__r", r).withColumn("__v", v)
     own = F.col(native).cast("double") if native else F.lit(None).cast("double")
-    c, n, m, top = base.agg(F.avg(F.nullif("__r", F.lit(0.0))), F.avg(F.nullif(clip(own, 0.0, 10.0), F.lit(0.0))), F.percentile("__v", 0.7), F.max("__v")).first()
-    c, m, top = (n or 6.0) if c is None else c, max(300.0, m or 0.0), top or 0.0
+    told = base.agg(F.avg(F.nullif("__r", F.lit(0.0))).alias("own"), F.avg(F.nullif(clip(own, 0.0, 10.0), F.lit(0.0))).alias("native"), F.max("__v").alias("top"))
+    c = told.select(F.coalesce("own", F.nullif("native", F.lit(0.0)), F.lit(6.0))).scalar()
+    top = told.select(F.coalesce("top", F.lit(0.0))).scalar()
+    m = F.greatest(F.lit(300.0), F.coalesce(quantile(base, F.col("__v"), 0.7).scalar(), F.lit(0.0)))
     v, r = F.col("__v"), F.col("__r")
     bayes = v / (v + m) * r + m / (v + m) * c
-    reliability = clip(F.log1p(v) / F.greatest(F.log1p(F.lit(float(top))), F.lit(1.0)), 0.0, 1.0)
+    reliability = clip(F.log1p(v) / F.greatest(F.log1p(top), F.lit(1.0)), 0.0, 1.0)
     return base.withColumn("bayesian", bayes).withColumn("reliability", reliability).withColumn("consensus", 0.72 * bayes / 10 + 0.28 * reliability).drop("__r", "__v")
 
 
