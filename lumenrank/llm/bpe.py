@@ -42,24 +42,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_or_empty
+from .merges import Words, merges_agree
 
 #: Bytes that the rolling hash covers, a power of two.
 WINDOW = 16
 #: One cut in this many bytes on average, a power of two; and the least bytes between cuts.
 CHUNK, LEAST_CHUNK = 256, 48
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 12 << 20
 #: Documents whose results leave the worker together.
 SLICE = 256
 
 #: Distinct units that a worker remembers.
-UNITS = 300_000
+UNITS = 100_000
 #: Letters that the tokenizer keeps together, whose lower case is one letter each.
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 #: From the first to the last white space.
 EDGES = re.compile(rb"[\x20\x09-\x0d](?:.*[\x20\x09-\x0d])?", re.DOTALL)
-#: Full stops and commas after a letter or digit and before white space. The mark comes first, so that the search skips to it.
-MARKS = re.compile(rb"([.,](?:(?<=[a-z0-9][.,])|(?<=\xc3[\xa0-\xb6\xb8-\xbf][.,]))[.,]*)(?![^\x20\x09-\x0d])")
+#: Marks after a letter or digit and before white space: one word of the tokenizer. No apostrophe, which may begin a shortened word.
+MARKS = re.compile(rb"([!-&(-/:-;=-@\[-`{-~](?:(?<=[a-z0-9][!-&(-/:-;=-@\[-`{-~])|(?<=\xc3[\xa0-\xb6\xb8-\xbf][!-&(-/:-;=-@\[-`{-~]))[!-&(-/:-;=-@\[-`{-~]*)(?![^\x20\x09-\x0d])")
 
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -88,7 +89,7 @@ def cuts(data: bytes) -> list[int]:
 
 
 def pieces(data: bytes) -> list[bytes]:
-    """The units between white space; full stops and commas after a word are units of their own.
+    """The units between white space; marks after a word are units of their own.
 
     After a letter or digit and before white space such marks are a word of their
     own for the tokenizer, and it lower-cases by itself, so neither changes the
@@ -192,7 +193,7 @@ def reusable(parts: dict) -> bool:
 class Encoder:
     """The tokenizer of one file, with its caches."""
 
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES, fast: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -206,6 +207,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.reuse = reusable(parts)
+        #: ``fast``: ``merges_agree`` holds for the file.
+        self.words = Words(parts["model"]) if fast and self.reuse else None
         special = [t for t in parts.get("added_tokens") or [] if t.get("special") and t["content"].startswith("<")]
         self.part = (special[0]["content"], special[0]["id"]) if special else None
         #: By id: the token, and whether it ends a word.
@@ -213,23 +216,30 @@ class Encoder:
         self.ends = np.array([n.endswith("</w>") for n in self.names])
 
     def _learn(self, units: set[bytes]) -> None:
-        """Fill ``ids`` for all units, from the library where they lack."""
+        """Fill ``ids`` for all units."""
         if len(self.ids) > UNITS:
             self.ids = {}
-        lacking = units - self.ids.keys()
+        self.ids.update(self.units(units - self.ids.keys()))
+
+    def units(self, lacking: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of units by themselves."""
         plain = [u for u in lacking if u.isalpha() or PLAIN.fullmatch(u.decode())]
         other = list(lacking.difference(plain))
-        # Plain letters are one word of the tokenizer, and just its last token has the word-end mark.
+        if self.words is not None:
+            found = dict(zip(plain, self.words.encode(plain)))
+        else:
+            found = self._plain(plain)
+            other += [u for u in plain if u not in found]
+        found.update(zip(other, self._library([u.decode() for u in other])))
+        return found
+
+    def _plain(self, plain: list[bytes]) -> dict[bytes, bytes]:
+        """Plain letters are one word of the tokenizer, and just its last token has the word-end mark; none if that fails for some word."""
         joined = self.library.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids
         ids = np.array(joined, dtype="<u4")
         ends = ((np.nonzero(self.ends[ids])[0] + 1) * 4).tolist()
         data = ids.tobytes()
-        if len(ends) == len(plain):
-            self.ids.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        else:  # some word is more or less than one word of the tokenizer
-            other += plain
-        found = self.library.encode_batch_fast([u.decode() for u in other], add_special_tokens=False)
-        self.ids.update(zip(other, [array("I", e.ids).tobytes() for e in found]))
+        return dict(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)])) if len(ends) == len(plain) else {}
 
     def _encoded(self, units: list[bytes]) -> bytes:
         return b"".join(map(self.ids.__getitem__, units))
@@ -242,6 +252,10 @@ class Encoder:
 
     def _each(self, texts: list[bytes]) -> dict[bytes, bytes]:
         """The ids of many short texts, each by itself. A special token between them parts them before anything else looks at them."""
+        if self.words is not None:
+            split = [pieces(x) for x in texts]
+            self._learn(set().union(*split))
+            return dict(zip(texts, map(self._encoded, split)))
         alone = [x for x in texts if self.part is None or b"<" in x]
         found = dict(zip(alone, self._library([x.decode() for x in alone])))
         rest = [x for x in texts if x not in found]
@@ -305,28 +319,34 @@ class Encoder:
         return b"".join(out)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str | None) -> Encoder:
-    """The worker's encoder for a file; None is the word-level vocabulary that the machine offers."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+def tokenizer_path(path: str | None) -> str:
+    """A tokenizer file; None is the word-level vocabulary that the machine offers."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
-    path = str(path)
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return str(path)
+
+
+def encoder(path: str | None, fast: bool = False) -> Encoder:
+    """The worker's encoder for a file. ``fast``: ``merges_agree`` holds for it."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+    key = tokenizer_path(path), fast
+    if key not in _encoders:
+        _encoders[key] = Encoder(key[0], fast=fast)
+    return _encoders[key]
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded."""
     ship(docs.sparkSession)
+    fast = merges_agree(tokenizer_path(path))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = encoder(path)
+        tool = encoder(path, fast)
         for x in frames:
             for at in range(0, len(x), SLICE):
                 part = x.iloc[at : at + SLICE]

@@ -33,8 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import tokenizer_path
 from .common import ensure_checkpoint_dir, remove, ship, text_or_empty
-from .units import merges_agree, units
+from .merges import merges_agree
+from .units import units
 
 CAPACITY = 4096
 #: The token after each document.
@@ -87,10 +89,8 @@ def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
 
 def coded(docs: DataFrame, path: str | None, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: doc_id, curve, tokens, ids (binary; 16-bit integers where all of them fit, else ``wide``)."""
-    import public_tokenizers
-
     ship(docs.sparkSession)
-    fast = merges_agree(str(path or public_tokenizers.path("word_bpe_49k.json")))
+    fast = merges_agree(tokenizer_path(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = units(path, fast)

@@ -1,114 +1,24 @@
 """Token ids of whole texts, with every unit between white space encoded once and remembered.
 
 Where ``bpe.reusable`` holds, a text's ids are those of its units in a row, so a
-worker keeps the ids of the units that it has met. Units of plain letters are
-one word of the tokenizer each. Their merges are done by tiktoken, whose merge
-loop costs a third: the end-of-word suffix becomes a zero byte, which no word of
-letters has, and each merge becomes a rank.
-
-tiktoken merges any two neighbours whose bytes are a token, the library only the
-pairs of its list. Both agree on every word if each token, spelled out by
-itself, is put together by the listed pairs: what stands beside it can't change
-that as long as nothing merges over its ends. ``merges_agree`` proves this for a file,
-once, on the driver; if it fails, the library encodes plain words too.
-
-Memory: at most ``UNITS`` units are kept. What is forgotten is encoded again,
-with the same ids.
+worker keeps the ids of the units that it has met. At most ``UNITS`` are kept; what is
+forgotten is encoded again, with the same ids.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from functools import cache
-
-import numpy as np
-
 from . import bpe
 
 #: Distinct units that a worker remembers.
 UNITS = 600_000
-#: Marks after a letter or digit and before white space: one word of the tokenizer. No apostrophe, which may begin a shortened word.
-MARKS = re.compile(rb"([!-&(-/:-;=-@\[-`{-~](?:(?<=[a-z0-9][!-&(-/:-;=-@\[-`{-~])|(?<=\xc3[\xa0-\xb6\xb8-\xbf][!-&(-/:-;=-@\[-`{-~]))[!-&(-/:-;=-@\[-`{-~]*)(?![^\x20\x09-\x0d])")
-#: Stands for the end-of-word suffix.
-END = b"\0"
-
-
-def byte_letters() -> dict[str, int]:
-    """The byte of each letter of the byte-level alphabet: printable Latin-1 stands for itself, the rest follow from 256 on."""
-    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
-def merge_list(model: dict) -> list[tuple[str, str]]:
-    return [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
-
-
-@cache
-def merges_agree(path: str) -> bool:
-    """Whether every token of a file, spelled out by itself, is put together by the listed pairs in order of rank."""
-    with open(path, encoding="utf-8") as f:
-        parts = json.load(f)
-    if not bpe.reusable(parts):
-        return False
-    suffix, pairs = parts["model"]["end_of_word_suffix"], merge_list(parts["model"])
-    ranks = {p: i for i, p in enumerate(pairs)}
-    if len({a + b for a, b in pairs}) < len(pairs):
-        return False
-    for a, b in pairs:
-        token = a + b
-        letters = list(token.removesuffix(suffix))
-        if token.endswith(suffix):
-            letters[-1] += suffix
-        while len(letters) > 1:
-            rank, at = min((ranks.get(p, len(ranks)), i) for i, p in enumerate(zip(letters, letters[1:])))
-            if rank == len(ranks):
-                return False
-            letters[at : at + 2] = [letters[at] + letters[at + 1]]
-    return True
-
-
-def pieces(data: bytes) -> list[bytes]:
-    """As ``bpe.pieces``, with all ASCII marks after a word apart from it."""
-    return (data if b"<" in data else MARKS.sub(rb" \1", data.lower())).split()
 
 
 class Units:
     """The ids of units of one tokenizer file. ``fast``: ``merges_agree`` holds for it."""
 
     def __init__(self, path: str | None, fast: bool):
-        self.base = bpe.encoder(path)
+        self.base = bpe.encoder(path, fast)
         self.ids: dict[bytes, bytes] = {}
-        self.words = None
-        if fast and self.base.reuse:
-            self._build()
-
-    def _build(self) -> None:
-        import tiktoken
-
-        model, letters = json.loads(self.base.library.to_str())["model"], byte_letters()
-        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
-        spelled = lambda name: bytes(letters[c] for c in name.removesuffix(suffix)) + END * name.endswith(suffix)
-        singles = [*letters, *[c + suffix for c, b in letters.items() if b]]
-        names = [*singles, *[a + b for a, b in merge_list(model)]]
-        ranks = {spelled(n): i for i, n in enumerate(names)}
-        #: By rank: the id, and whether it ends a word.
-        self.id_of = np.array([vocab.get(n, 0) for n in names], dtype="<u4")
-        self.ends = np.array([n.endswith(suffix) for n in names])
-        self.words = tiktoken.Encoding("units", pat_str="[^ ]+", mergeable_ranks=ranks, special_tokens={})
-
-    def _learn(self, lacking: set[bytes]) -> None:
-        plain = [u for u in lacking if u.isalpha() or bpe.PLAIN.fullmatch(u.decode())] if self.words else []
-        if plain:
-            end = END.decode() + " "
-            ranks = np.array(self.words.encode_ordinary(b" ".join(plain).decode().lower().replace(" ", end) + end), dtype=np.int64)
-            ends = ((np.nonzero(self.ends[ranks])[0] + 1) * 4).tolist()
-            data = self.id_of[ranks].tobytes()
-            assert len(ends) == len(plain)
-            self.ids.update(zip(plain, [data[a:b] for a, b in zip([0, *ends], ends)]))
-        other = list(lacking.difference(plain))
-        self.ids.update(zip(other, self.base._library([u.decode() for u in other])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -116,10 +26,10 @@ class Units:
             return self.base._library(texts)
         if len(self.ids) > UNITS:
             self.ids = {}
-        split = [pieces(t.encode()) for t in texts]
+        split = [bpe.pieces(t.encode()) for t in texts]
         found = [list(map(self.ids.get, units)) for units in split]
         lacking = [[i for i, ids in enumerate(f) if ids is None] for f in found]
-        self._learn({units[i] for units, at in zip(split, lacking) for i in at})
+        self.ids.update(self.base.units({units[i] for units, at in zip(split, lacking) for i in at}))
         for units, f, at in zip(split, found, lacking):
             for i in at:
                 f[i] = self.ids[units[i]]

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lumenrank.llm import bpe, packing, queries, resampling, units, vector_codes
+from lumenrank.llm import bpe, merges, packing, queries, resampling, units, vector_codes
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
@@ -123,12 +123,12 @@ def test_hilbert_keys_visit_neighbouring_cells():
 
 
 def test_units_equal_the_library():
-    tool, fast = library(), units.Units(TOKENIZER, units.merges_agree(TOKENIZER))
-    assert fast.words is not None
+    tool, fast = library(), units.Units(TOKENIZER, merges.merges_agree(TOKENIZER))
+    assert fast.base.words is not None
     odd = ["it's don't 's x's, y'll. a.b. 3.14, 5% #tag, (foo) foo) foo'] bar`` é… éa!! ÀB?! <|endoftext|> a<b c> x_y_ _z  n ! k̈.. Œu, ß? İ. æ!~ 10×, ÷! ÷", "", " ", "a" * 3000 + "!", "漢字, 漢字!! ひ。 1! ½! Ⅷ.", "x y! z. \x85q\x1c r", "é! ́a."]
     texts = odd + ["".join(chr(c) for c in np.random.default_rng(i).choice([*range(9, 127), *range(160, 400), 0x300, 0x4E00], 300)) for i in range(60)]
     assert [list(array("I", x)) for x in fast.encode(texts)] == [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
-    assert not units.merges_agree(str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert not merges.merges_agree(str(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 DOCS = [(1, "one two three"), (2, None), (3, ""), (None, "no id"), (5, "long words here " * 4000), (6, "same text"), (6, "same text"), (7, "same text"), (8, " \t\n"), (9, "ÀÉ 漢字 \U0001f600 <|endoftext|>")]
