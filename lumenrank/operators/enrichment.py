@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import values as V
 from ..functions.json_object import extract_object
-from ..sources import catalogue, vectors
+from ..sources import catalogue, commits, vectors
 from ..sources.package import ship
 from ..sources.stages import written
 from . import hooks, quality
@@ -190,6 +190,19 @@ def augment(rows: DataFrame, model: hooks.Model, model_name: str, key: str = "tm
     return met.withColumns(new).select(*rows.columns)
 
 
+def augment_in_parts(rows: DataFrame, model: hooks.Model, model_name: str, path: str, key: str = "tmdb_id", size: int = 500, told: Callable[[str], None] | None = None, **more) -> DataFrame:
+    """``augment`` part by part, ``size`` rows in the order of ``key`` each: every part is committed under ``path`` once its answers are there.
+
+    A job that is killed goes on with the first part that lacks. ``told`` hears the name of each part when it is saved.
+    """
+    spark = rows.sparkSession
+    rows = catalogue.ensure_columns(rows, [*V.AUGMENTED, "keywords", TAG_STATUS, TAG_MODEL, TAG_ERROR])
+    parts = written(catalogue.chunked(rows, [key], size), "chunks")
+    n = (parts.agg(F.max("chunk")).first()[0] or 0) + 1
+    commits.resume(spark, path, (f"{i:08d}" for i in range(n)), lambda name: augment(parts.filter(F.col("chunk") == int(name)).drop("chunk"), model, model_name, key, **more), told)
+    return commits.read_parts(spark, path, rows.schema)
+
+
 # ---- embeddings
 
 EMBEDDED = (("Genres", "genres"), ("Keywords", "keywords"), ("Tone", "tone_tags_json"), ("Audience", "audience_tags_json"), ("Country", "production_countries"), ("Language", "spoken_languages"), ("Overview", "overview"), ("Tagline", "tagline"))

@@ -30,41 +30,46 @@ DESCRIPTION = {"temperature": 0.3, "top_k": 15, "top_p": 0.7, "num_predict": 180
 BATCH = 16
 
 
-def seconds_left(elapsed: float) -> float:
-    """What is left for a call of a request's time, beside the buffer for its fallback and a margin."""
-    return max(0.0, V.BUDGET - elapsed - V.BUFFER - V.MARGIN)
+def seconds_left(deadline: float, now: float) -> float:
+    """What is left until a request's deadline for a call, beside the buffer for its fallback and a margin."""
+    return max(0.0, deadline - now - V.BUFFER - V.MARGIN)
 
 
-def ask(prompts: DataFrame, model: Model, options: dict | None = None, batch: int = BATCH, clock: Callable[[], float] = time.monotonic) -> DataFrame:
-    """(request_id, answer, error) of ``prompts`` (request_id, prompt).
+def ask(prompts: DataFrame, model: Model, options: dict | None = None, batch: int = BATCH, clock: Callable[[], float] = time.time) -> DataFrame:
+    """(request_id, answer, error) of ``prompts`` (request_id, prompt, and maybe deadline in seconds of the clock).
 
-    A batch that fails has null answers and the error's first 500 characters; one that
-    starts with too little of the time budget left isn't asked. A failure stays with
+    A batch that fails has null answers and the error's first 500 characters. Each request's
+    time runs on from batch to batch until its ``deadline``: with too little left it isn't
+    asked, and of the others the least that is left is the call's timeout. Without a deadline a request has
+    the whole budget when its batch begins. A failure stays with
     its batch: there is no flag that one request could set for others.
     """
     ship(prompts.sparkSession)
     kind = prompts.schema["request_id"].dataType.simpleString()
     options = dict(options or {})
+    if "deadline" not in prompts.columns:
+        prompts = prompts.withColumn("deadline", F.lit(None))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             for at in range(0, len(x), batch):
-                part = x.iloc[at : at + batch]
-                answers, error = [None] * len(part), None
-                started = clock()
-                left = seconds_left(clock() - started)
-                if left < V.LEAST_LEFT:
-                    error = "no time left"
-                else:
+                part, now = x.iloc[at : at + batch], clock()
+                left = [seconds_left(now + V.BUDGET if pd.isna(d) else d, now) for d in part["deadline"]]
+                asked = [i for i, s in enumerate(left) if s >= V.LEAST_LEFT]
+                answers, errors = [None] * len(part), ["no time left"] * len(part)
+                if asked:
                     try:
-                        answers = list(model(list(part["prompt"]), options | {"timeout": left}))
-                        if len(answers) != len(part):
-                            raise ValueError(f"{len(answers)} answers to {len(part)} prompts")
+                        told = list(model([part["prompt"].iloc[i] for i in asked], options | {"timeout": min(left[i] for i in asked)}))
+                        if len(told) != len(asked):
+                            raise ValueError(f"{len(told)} answers to {len(asked)} prompts")
+                        error = None
                     except Exception as e:  # whatever a foreign model raises
-                        answers, error = [None] * len(part), str(e)[:500] or type(e).__name__
-                yield pd.DataFrame({"request_id": part["request_id"].to_numpy(), "answer": answers, "error": [error] * len(part)})
+                        told, error = [None] * len(asked), str(e)[:500] or type(e).__name__
+                    for i, answer in zip(asked, told):
+                        answers[i], errors[i] = answer, error
+                yield pd.DataFrame({"request_id": part["request_id"].to_numpy(), "answer": answers, "error": errors})
 
-    return prompts.select("request_id", "prompt").mapInPandas(run, f"request_id {kind}, answer string, error string")
+    return prompts.select("request_id", "prompt", F.col("deadline").cast("double").alias("deadline")).mapInPandas(run, f"request_id {kind}, answer string, error string")
 
 
 def intent_prompt(text: Column, genres: Column) -> Column:
@@ -104,11 +109,16 @@ def sanitised(answer: Column, genres: Column) -> Column:
     return F.when(o.isNotNull(), F.struct(*fields)).cast(parsing.OVERRIDE)
 
 
+def with_deadline(requests: DataFrame) -> DataFrame:
+    """Requests with a ``deadline``, null where none is set."""
+    return requests if "deadline" in requests.columns else requests.withColumn("deadline", F.lit(None).cast("double"))
+
+
 def intents(requests: DataFrame, genres: DataFrame, model: Model) -> DataFrame:
     """(request_id, override) of requests that a model found constraints in. ``genres`` (genre) is the catalogue's short list."""
     known = genres.agg(F.sort_array(F.collect_set("genre")).alias("known"))
-    told = requests.select("request_id", "text").crossJoin(F.broadcast(known))  # one row
-    said = ask(told.select("request_id", intent_prompt(F.col("text"), F.col("known")).alias("prompt")), model, INTENT)
+    told = with_deadline(requests).select("request_id", "text", "deadline").crossJoin(F.broadcast(known))  # one row
+    said = ask(told.select("request_id", "deadline", intent_prompt(F.col("text"), F.col("known")).alias("prompt")), model, INTENT)
     found = said.filter("answer is not null").crossJoin(F.broadcast(known)).select("request_id", sanitised(F.col("answer"), F.col("known")).alias("override"))
     return found.filter("override is not null")
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import catalogue
 
 PEOPLE_WORDS = "actor actors actress actresses cast star stars starring".split()
 DIRECTOR_WORDS = ["director", "filmmaker"]
@@ -94,8 +95,7 @@ def baseline(asked: DataFrame, items: DataFrame, most: int = 5) -> DataFrame:
     ``asked``: request_id, text and history array<struct<id, name>>. ``items``: tmdb_id, title, year, genres, overview, vote_count.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    votes = F.col("vote_count").cast("string").try_cast("double")
-    best = items.withColumn("__v", votes).filter("__v is not null").orderBy(F.desc("__v"), "tmdb_id").limit(most)
+    best = catalogue.most_voted(items, most).withColumn("__v", F.col("vote_count").cast("string").try_cast("double"))
     line = F.concat(F.lit("- "), text("tmdb_id"), F.lit(" | "), text("title"), F.lit(" ("), text("year"), F.lit(") | genres: "), text("genres"), F.lit(" | overview: "), F.substring(text("overview"), 1, 200))
     shown = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("__v")).alias("v"), "tmdb_id", line.alias("line")))).alias("ls")).select(F.array_join(F.col("ls.line"), "\n").alias("lines"))
     past = F.array_join(F.transform("history", lambda h: F.concat(F.coalesce(h["name"], F.lit("")), F.lit(" ("), F.coalesce(h["id"].cast("string"), F.lit("?")), F.lit(")"))), ", ")

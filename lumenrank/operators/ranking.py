@@ -28,13 +28,6 @@ def _enough(keep: Column, least: int, by: list[str], present: Column) -> Column:
     return (ok > 0) & (ok >= F.least(F.lit(least), n))
 
 
-def guarded(df: DataFrame, keep: Column, least: int, by: list[str]) -> DataFrame:
-    """Rows that pass, if at least min(least, rows) of their group do; else the whole group."""
-    marked = df.withColumn("__keep", F.coalesce(keep, F.lit(False)))
-    marked = marked.withColumn("__ok", _enough(F.col("__keep"), least, by, F.lit(True)))
-    return marked.filter("__keep or not __ok").drop("__ok", "__keep")
-
-
 def diversify(df: DataFrame, root: str, by: list[str], order: list[Column], k: int) -> DataFrame:
     """Top ``k`` per group with the first row of each root before its further ones; blank roots never wait."""
     again = F.row_number().over(Window.partitionBy(*by, root).orderBy(*order)) > 1

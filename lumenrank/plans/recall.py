@@ -64,6 +64,9 @@ def best(cursors: DataFrame, items: DataFrame, scored: Callable[[DataFrame], Dat
     what ``order`` names, and leaves out rows that may not come. ``order`` begins with the score.
     """
     active = written(cursors, "cursors")
+    if not active.limit(1).count():
+        none = active.select("request_id", F.lit(None).cast(items.schema["doc"].dataType).alias("doc"), "kind")
+        return active.sparkSession.createDataFrame([], scored(none).schema)
     asked = keys(items).join(active.select("list").distinct(), "list", "left_semi")
     entries = written(levelled(written(asked, "entries")), "lists")
     ceilings = written(entries.groupBy("list", "level").agg(F.max("ceiling").alias("ceiling")), "ceilings")

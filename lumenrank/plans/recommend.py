@@ -290,7 +290,8 @@ def recommend(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     Without a ``model`` the choice and its text are deterministic. With one, requests of
     high confidence get a description of their top row, the others a choice among five or
     eight; what a model leaves out or gets wrong falls back to the deterministic answer.
-    An ``intent_model`` reads each request first and its findings are merged in.
+    An ``intent_model`` reads each request first and its findings are merged in. Requests may
+    have a ``deadline``, in seconds since 1970: with too little time left until then a model isn't asked.
     """
     if intent_model is not None:
         genres = catalogue.select(F.explode(T.csv_list(F.col("genres"))).alias("genre")).distinct()
@@ -306,7 +307,8 @@ def recommend(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
         told = asked.select("request_id", "text", "setting", "people", "countries").join(notes(top, asked), "request_id", "left")
         choice = routed.filter("route <> 'description_only'").select("request_id")
         ask = prompts.selection(told.join(choice, "request_id", "left_semi"), handed).unionByName(prompts.description(told.join(choice, "request_id", "left_anti"), handed.filter("rank = 1")))
-        said = written(hooks.ask(ask, model, hooks.CHOICE), "said")
+        due = hooks.with_deadline(requests).select("request_id", "deadline")
+        said = written(hooks.ask(ask.join(due, "request_id"), model, hooks.CHOICE), "said")
         safe = merged_answers(said, handed, routed, safe, described(top.filter("rank = 1"), items, asked))
     return safe.join(routed, "request_id").select("request_id", "doc", "title", "description", "confidence", "route", "score", "convergence", "fulfilment", "specificity", "contradictions", "mode", "used_llm")
 

@@ -5,8 +5,8 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import ROUTES
-from ..operators import evaluation, selection
+from ..functions.values import BUDGET, ROUTES
+from ..operators import evaluation, hooks, selection
 from ..sources import catalogue as C
 from ..sources.stages import written
 from .recommend import recommend
@@ -74,9 +74,14 @@ def contract(answers: DataFrame, items: DataFrame, asked: DataFrame) -> DataFram
 
 
 def respond(catalogue: DataFrame, raw: DataFrame, body: str = "body", **more) -> DataFrame:
-    """request_id, user_id, tmdb_id, description, status of raw requests (request_id, body): the service as a table. Bad bodies answer with their error."""
-    asked = written(payloads(raw, body), "payloads")
-    fine = asked.filter("error is null").select("request_id", "user_id", "text", "history")
+    """request_id, user_id, tmdb_id, description, status of raw requests (request_id, body): the service as a table. Bad bodies answer with their error.
+
+    With an ``arrived`` time each request has the time budget from then on.
+    """
+    if "arrived" in raw.columns:
+        raw = raw.withColumn("deadline", F.col("arrived").cast("timestamp").cast("double") + BUDGET)
+    asked = written(hooks.with_deadline(payloads(raw, body)), "payloads")
+    fine = asked.filter("error is null").select("request_id", "user_id", "text", "history", "deadline")
     got = contract(recommend(catalogue, fine.drop("user_id"), **more).select("request_id", "doc", "description"), catalogue.select(F.col("tmdb_id").cast("long").alias("doc")), fine)
     met = asked.select("request_id", "user_id", "error").join(got, "request_id", "left")
     ok = F.col("status") == "ok"
@@ -146,5 +151,5 @@ def run_benchmark(spark: SparkSession, prompts: str, catalogue: DataFrame, outpu
     table = C.ensure_columns(table, ["category", "watch_history"]).withColumn("case_index", F.monotonically_increasing_id())
     results = written(run_cases(written(table.select("case_index", "category", F.col(named).alias("prompt"), "watch_history"), "prompts"), catalogue, **more), "benchmark")
     if output:
-        results.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(output)
+        results.write.mode("overwrite").option("header", True).option("escape", '"').csv(output)
     return results, selection.report(results)

@@ -1,12 +1,14 @@
-"""Readers of tables: catalogue, ratings, prompts; files' fingerprints; resumable enrichment."""
+"""Readers of tables: catalogue, ratings, prompts; and files' fingerprints."""
 
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranking import first_by
+from .package import ship
 
 CATALOGUE = (
     "tmdb_id title original_title genres keywords top_cast director overview tagline original_language production_countries spoken_languages "
@@ -101,10 +103,34 @@ def chunked(df: DataFrame, order: list, size: int) -> DataFrame:
     return ranged.withColumn("chunk", F.floor(at / max(1, size)).cast("long")).drop("__p", "__i")
 
 
+#: Bytes of a file that are held at once.
+BLOCK = 8 << 20
+
+
 def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """name, sha256 and size of each file."""
-    name = F.element_at(F.split("path", "/"), -1).alias("name")
-    return spark.read.format("binaryFile").load(path).select(name, F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    """name, sha256 and size of each file that ``path`` (a file, folder or pattern) names; one task streams each file, whatever its length."""
+    ship(spark)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s for given in fs.globStatus(target) or [] for s in (fs.listStatus(given.getPath()) if given.isDirectory() else [given])]
+    files = [(s.getPath().toString(), s.getPath().getName()) for s in found if s.isFile()]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        for x in frames:
+            for uri, name in zip(x["uri"], x["name"]):
+                # Hadoop writes file:/x where the standard has file:///x
+                where, at = FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                digest, size = hashlib.sha256(), 0
+                with where.open_input_stream(at, compression=None) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                        size += len(block)
+                yield pd.DataFrame({"name": [name], "sha256": [digest.hexdigest()], "size": [size]})
+
+    rows = spark.createDataFrame(files, "uri string, name string").repartition(max(1, len(files)))
+    return rows.mapInPandas(run, "name string, sha256 string, size long")
 
 
 def is_current(spark: SparkSession, metadata: DataFrame | None, path: str) -> bool:
@@ -113,22 +139,3 @@ def is_current(spark: SparkSession, metadata: DataFrame | None, path: str) -> bo
         return False
     now = fingerprint(spark, path).select("name", "sha256", "size")
     return bool(now.join(metadata.select("name", "sha256", F.col("size").cast("long").alias("size")), ["name", "sha256", "size"], "left_semi").take(1))
-
-
-def enrich(rows: DataFrame, key: str, status: str, version: str, fetch: Callable[[list], dict[object, dict[str, str]]], fields: list[str]) -> DataFrame:
-    """Resumable enrichment: rows whose status isn't ``version`` go through ``fetch``, a partition's batch at a time.
-
-    ``fetch`` takes keys and returns fields by key; keys it lacks keep their old
-    values and status, so that the next run tries them again.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in frames:
-            got = fetch(list(x[key]))
-            for f in fields:
-                x[f] = [got.get(k, {}).get(f) or old for k, old in zip(x[key], x[f])]
-            x[status] = [version if k in got else old for k, old in zip(x[key], x[status])]
-            yield x
-
-    stale = ~F.col(status).eqNullSafe(F.lit(version))
-    return rows.filter(~stale).unionByName(rows.filter(stale).mapInPandas(run, rows.schema))

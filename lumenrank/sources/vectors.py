@@ -6,7 +6,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalogue
+from . import catalogue, commits
 
 #: Values of a credential that mean none.
 PLACEHOLDERS = {"", "your_key_here", "your_key", "xxxxx", "xxxx", "replace_me"}
@@ -24,16 +24,16 @@ def read_json(spark: SparkSession, path: str) -> dict:
 
 
 def write_vectors(vectors: DataFrame, path: str, metadata: dict | None = None, id_col: str = "doc") -> None:
-    """(id, embedding) as Parquet, the ids beside their vectors, and the metadata in ``path``-meta."""
+    """(id, embedding) as Parquet, the ids beside their vectors, and the metadata in ``path``-meta. The new table takes the old one's place in one step."""
     spark = vectors.sparkSession
-    vectors.select(F.col(id_col).alias("doc"), F.col("embedding").cast("array<float>").alias("embedding")).write.mode("overwrite").parquet(path)
-    count = spark.read.parquet(path).count()
+    commits.swap(vectors.select(F.col(id_col).alias("doc"), F.col("embedding").cast("array<float>").alias("embedding")), path)
+    count = commits.read_swapped(spark, path).count()
     write_json(spark, path.rstrip("/") + "-meta", {"artifact": "embeddings", "rows": count, "dim": DIM, "model": MODEL, **(metadata or {})})
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """(doc, embedding)."""
-    return spark.read.parquet(path).select("doc", "embedding")
+    return commits.read_swapped(spark, path).select("doc", "embedding")
 
 
 def metadata(spark: SparkSession, path: str) -> dict:
@@ -49,7 +49,7 @@ def readiness(spark: SparkSession, path: str, source: str, credential: str | Non
     """
     meta = metadata(spark, path)
     told = {"model": meta.get("model", MODEL), "dim": meta.get("dim")}
-    known = {"name", "sha256", "size"} <= set(meta) and catalogue.exists(spark, path)
+    known = {"name", "sha256", "size"} <= set(meta) and commits.current(spark, path) is not None
     if not known or not catalogue.is_current(spark, spark.createDataFrame([(meta["name"], meta["sha256"], int(meta["size"]))], "name string, sha256 string, size long"), source):
         return {"ready": False, "reason": "artifacts_unavailable", **told}
     if credential is not None and os.environ.get(credential, "").strip().lower() in PLACEHOLDERS:

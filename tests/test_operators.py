@@ -55,10 +55,10 @@ def test_fusion(spark):
     assert ranking.fuse(hits, near).first().vote == pytest.approx(2 / 61)
 
 
-def test_guard_keeps_all_if_too_few_pass(spark):
-    df = spark.createDataFrame([(1, i) for i in range(10)] + [(2, i) for i in range(3)], "g int, v int")
-    got = ranking.guarded(df, F.col("v") < 3, 8, ["g"]).groupBy("g").count().collect()
-    assert {r.g: r["count"] for r in got} == {1: 10, 2: 3}
+def test_narrow_keeps_a_group_without_enough(spark):
+    df = spark.createDataFrame([("a", i) for i in range(10)] + [("b", i) for i in range(2)], "request_id string, v int").withColumn("present", F.lit(True))
+    got = ranking.narrow(df, F.col("v") < 3, 8, F.lit(True)).filter("present").groupBy("request_id").count().collect()
+    assert {r.request_id: r["count"] for r in got} == {"a": 10, "b": 2}
 
 
 def test_years(spark):

@@ -50,12 +50,6 @@ def test_ratings_last_wins(spark):
     assert [tuple(r) for r in C.ratings(t).collect()] == [("t1", "8", "2")]
 
 
-def test_enrichment_resumes(spark):
-    df = spark.createDataFrame([("a", "", ""), ("b", "old", "v2"), ("c", "", "")], "k string, f string, s string")
-    out = C.enrich(df, "k", "s", "v2", lambda keys: {k: {"f": k.upper()} for k in keys if k != "c"}, ["f"])
-    assert sorted(map(tuple, out.collect())) == [("a", "A", "v2"), ("b", "old", "v2"), ("c", "", "")]
-
-
 def test_seeds_pull_their_neighbours(spark):
     df = items(spark).drop("similar_tmdb_ids").withColumn("similar_tmdb_ids", F.when(F.col("tmdb_id") == 1, "[5]").otherwise(""))
     ask = spark.createDataFrame([(1, "something like Storm Race", [])], "request_id int, text string, history array<struct<id:bigint,name:string>>")
