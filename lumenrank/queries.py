@@ -1056,25 +1056,6 @@ def recommend_requests(spark, d):
     return plan.recommend(items, asked.select("request_id", F.concat_ws(" ", "title", "wish").alias("text"), past.alias("history")))
 
 
-# ---- tables of cases: each part takes one, and the SQL holds what must come out
+from .scalars import register  # noqa: E402
 
-
-def _quoted(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-def cases(name: str, told: list[tuple[str | None, str | None]], value, doc: str) -> None:
-    """Register a query that maps each part's case through ``value``, beside the results that its rule demands."""
-
-    def run(spark, d):
-        given = F.element_at(F.array(*[F.lit(x).cast("string") for x, _ in told]), (F.col("p_partkey") % len(told) + 1).cast("int"))
-        return t(spark, d, "part").select("p_partkey", given.alias("given")).select("p_partkey", value(F.col("given")).cast("string").alias("result"))
-
-    run.__name__, run.__doc__ = name, doc
-    QUERIES[name] = run
-    SQL[name] = f"SELECT p_partkey, [{', '.join(_quoted(y) for _, y in told)}][p_partkey % {len(told)} + 1] AS result FROM part"
-
-
-from .cases import register  # noqa: E402
-
-register(cases, QUERIES, SQL)
+register(t, QUERIES, SQL)
