@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers as N
+from .functions import sql as sql_names
 from .functions import text as T
 from .functions import values as V
 from .functions.json_object import extract_object
@@ -1056,6 +1057,19 @@ def recommend_requests(spark, d):
     return plan.recommend(items, asked.select("request_id", F.concat_ws(" ", "title", "wish").alias("text"), past.alias("history")))
 
 
+@query(f"""WITH w AS (SELECT doc_id, unnest({_terms_sql('text')}) AS w FROM documents), c AS (SELECT doc_id, {_stem_sql('w')} AS term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS dl FROM c)
+SELECT term, count(*) AS df, round(max(tf * 2.45 / (tf + 1.45 * (1 - 0.72 + 0.72 * dl / 100.0))), 6) AS best FROM l GROUP BY term""")
+def sql_terms(spark, d):
+    """Terms with their documents and their best part at a mean length of 100, by the SQL names of the library's functions alone."""
+    sql_names.register(spark)
+    spark.read.parquet(f"{d}/documents.parquet").createOrReplaceTempView("told_documents")
+    return spark.sql("""
+      WITH t AS (SELECT doc_id, rank_term_list(text) AS ws FROM told_documents), w AS (SELECT doc_id, explode(ws) AS w FROM t),
+      s AS (SELECT doc_id, rank_stem(w) AS term FROM w), c AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM s GROUP BY doc_id, term),
+      l AS (SELECT term, tf, sum(tf) OVER (PARTITION BY doc_id) AS dl FROM c), b AS (SELECT term, rank_bm25(tf, dl, 100D, 1D) AS best FROM l)
+      SELECT term, count(*) AS df, round(max(best), 6) AS best FROM b GROUP BY term""")
+
+
 from .scalars import register  # noqa: E402
 
 register(t, QUERIES, SQL)

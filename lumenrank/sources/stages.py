@@ -1,10 +1,13 @@
 """Written stages: a table in the shared checkpoint folder, so that later plans start from a scan and lost executors cost one stage."""
 
 import tempfile
+import time
 import uuid
 import weakref
+from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local: dict[str, str] = {}
 
@@ -39,12 +42,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/stage-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    seen, began = Observation(), time.perf_counter()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    _log.append((name, round(time.perf_counter() - began, 3), seen.get["rows"]))
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
 
 
+#: (stage, seconds, rows) of the latest written tables.
+_log: "deque[tuple[str, float, int]]" = deque(maxlen=1000)
+
+
+def timings(clear: bool = True) -> list[tuple[str, float, int]]:
+    """(stage, seconds, rows) of the tables written since the last call, in order."""
+    told = list(_log)
+    if clear:
+        _log.clear()
+    return told
+
+
 _paths: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
