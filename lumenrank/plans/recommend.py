@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.values import DENSE_TOP, LEXICAL_TOP, POOL, SECOND_STAGE, SHORTLIST, TEXT_COLUMNS
 from ..operators import answers, dense, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
 from ..sources.catalogue import ensure_columns
-from ..sources.stages import written
+from ..sources.stages import scratch, written
 from . import recall
 
 #: Appended rows of each kind, and how many a request can have before they are taken: all recalled and appended ones.
@@ -245,10 +245,11 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
 
     Requests are one side of every join and partition every window by request_id,
     so many requests are one job. ``strict`` counts the first language or certificate
-    of the tables instead of the longest one mentioned.
+    of the tables instead of the longest one mentioned. The result is a written table; those of the stages before it are gone.
     """
-    items, asked = _prepared(catalogue, requests, strict)
-    return _top(items, asked, vectors, embeddings, k)
+    with scratch() as keep:
+        items, asked = _prepared(catalogue, requests, strict)
+        return keep(written(_top(items, asked, vectors, embeddings, k), "shortlist"))
 
 
 def record(top: DataFrame) -> DataFrame:
@@ -292,7 +293,13 @@ def recommend(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     eight; what a model leaves out or gets wrong falls back to the deterministic answer.
     An ``intent_model`` reads each request first and its findings are merged in. Requests may
     have a ``deadline``, in seconds since 1970: with too little time left until then a model isn't asked.
+    The result is a written table; those of the stages before it are gone.
     """
+    with scratch() as keep:
+        return keep(written(_answered(catalogue, requests, vectors, embeddings, model, intent_model, strict), "answers"))
+
+
+def _answered(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | None, embeddings: DataFrame | None, model: hooks.Model | None, intent_model: hooks.Model | None, strict: bool) -> DataFrame:
     if intent_model is not None:
         genres = catalogue.select(F.explode(T.csv_list(F.col("genres"))).alias("genre")).distinct()
         found = hooks.intents(requests, genres, intent_model)

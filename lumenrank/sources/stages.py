@@ -5,6 +5,8 @@ import time
 import uuid
 import weakref
 from collections import deque
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table of its own. Readers prune its columns and know its size.
 
-    ``release`` deletes it. A caller that hands a lazy result on leaves that to whoever
-    reads the result, or to the end of the application's folder.
+    ``release`` deletes it, and so does the end of the ``scratch`` that it is written in.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/stage-{uuid.uuid4().hex}-{name}"
@@ -47,9 +48,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     _log.append((name, round(time.perf_counter() - began, 3), seen.get["rows"]))
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    for scope in _scopes:
+        scope.append((spark, path))
     return out
 
 
+_scopes: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, written tables are temporary: all of them go at its end but those handed to the function that it gives."""
+    mine, kept = [], set()
+    _scopes.append(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_paths[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for spark, path in mine:
+            if path not in kept:
+                remove(spark, path)
+
+
 #: (stage, seconds, rows) of the latest written tables.
 _log: "deque[tuple[str, float, int]]" = deque(maxlen=1000)
 

@@ -1,10 +1,13 @@
 """The whole plan, over a small catalogue, and resumable enrichment."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from lumenrank.operators import parsing
 from lumenrank.plans.recommend import recommend, shortlist
 from lumenrank.sources import catalogue as C
+from lumenrank.sources import stages
 
 ROWS = [
     (1, "Storm Race", "Action", "a fast race in the desert", "2020", "100", "8.1", "250000"),
@@ -26,7 +29,10 @@ def asked(spark):
 
 
 def test_shortlist(spark):
+    before = set(os.listdir(stages.folder(spark)))
     rows = shortlist(items(spark), asked(spark)).collect()
+    left = set(os.listdir(stages.folder(spark))) - before
+    assert len(left) == 1 and left.pop().endswith("shortlist"), "the tables of earlier stages are gone"
     by = {}
     for r in rows:
         by.setdefault(r.request_id, []).append(r)
