@@ -14,6 +14,7 @@ from .functions import text as T
 from .functions import values as V
 from .functions.json_object import extract_object
 from .operators import answers, blockmax, dense, enrichment, evaluation, hooks, index, lexical, matching, parsing, prompts, quality, ranking, selection
+from .plans import recall
 from .plans import recommend as plan
 from .plans import service
 from .sources import catalogue
@@ -1057,6 +1058,48 @@ def recommend_requests(spark, d):
     return plan.recommend(items, asked.select("request_id", F.concat_ws(" ", "title", "wish").alias("text"), past.alias("history")))
 
 
+def _wishes(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Parts as rated items, and a request of each brand: years, minutes, a genre, a director, a language, good films."""
+    k, none = F.col("p_partkey"), F.array().cast("array<string>")
+    items = t(spark, d, "part").select(
+        k.alias("doc"), (1970 + F.col("p_size")).alias("year_n"), (60.0 + 3 * F.col("p_size")).alias("runtime_n"), F.array(F.lower("p_type")).alias("genre_set"), F.array(F.lower("p_brand")).alias("people"), (F.col("p_size") / 5).cast("double").alias("rating"),
+        ((k % 90) * 50.0).alias("votes"), ((k * 37 % 1000) / 1000).alias("consensus"), F.when(k % 4 == 0, "fr").otherwise("en").alias("original_language"), F.lit("").alias("us_rating"),
+    )
+    n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
+    brands = t(spark, d, "part").groupBy("p_brand").agg(F.min(F.lower("p_type")).alias("genre"), F.min(n).alias("n"))
+    n, some = F.col("n"), lambda cond, c: F.when(cond, F.array(c)).otherwise(none)
+    asked = brands.select(
+        F.col("p_brand").alias("request_id"), F.when(n % 2 == 0, F.struct((1980 + n).alias("min"), (1990 + n).alias("max"))).alias("year"), F.struct(F.when(n % 3 == 0, 70 + n).cast("int").alias("min"), F.lit(None).cast("int").alias("max")).alias("runtime"),
+        some(n % 5 > 1, F.col("genre")).alias("genres"), some(n % 4 == 1, F.lower("p_brand")).alias("people"), F.when(n % 7 == 0, F.struct(F.array(F.lit("fr")).alias("codes"), none.alias("countries"))).alias("language"), F.lit(None).cast("array<string>").alias("certificates"),
+        (n % 3 > 0).alias("needs_backup"), F.lit(7.2).alias("quality_floor"), none.alias("subgenre_keywords"), F.lit(False).alias("similar_request"), F.lit(False).alias("wants_quality"), (n % 2 == 1).alias("broad_request"), F.array(F.lit(7).cast("bigint")).alias("seen"), some(n % 6 == 0, F.lit("large")).alias("blocked_genres"),
+    ).withColumn("target_genres", F.col("genres"))
+    return items, asked
+
+
+@query("""WITH i AS (SELECT p_partkey AS doc, 1970 + p_size AS y, 60 + 3 * p_size AS m, lower(p_type) AS genre, lower(p_brand) AS person, p_size / 5.0 AS rating, (p_partkey % 90) * 50 AS votes, (p_partkey * 37 % 1000) / 1000.0 AS consensus, CASE WHEN p_partkey % 4 = 0 THEN 'fr' ELSE 'en' END AS lang FROM part),
+b AS (SELECT p_brand AS request_id, min(lower(p_type)) AS genre, min(regexp_extract(p_brand, '\d+')::INT) AS n FROM part GROUP BY p_brand),
+p AS (SELECT request_id, doc, i.consensus, i.rating, i.votes, n % 2 = 0 AND y BETWEEN 1980 + n AND 1990 + n AS year, n % 3 = 0 AND m >= 70 + n AS runtime, n % 4 = 1 AND person = lower(request_id) AS person, n % 5 > 1 AND i.genre = b.genre AS genre,
+  n % 3 > 0 AND i.rating >= 7.2 AND i.votes >= 1000 AS good, n % 7 = 0 AND lang <> 'fr' AS wrong, n FROM i, b WHERE doc <> 7 AND NOT (n % 6 = 0 AND i.genre = 'large')),
+s AS (SELECT *, round(CASE WHEN wrong THEN -5000 ELSE 0.10 * genre::INT + 0.22 * person::INT + 0.08 * year::INT + 0.06 * runtime::INT + consensus * CASE WHEN n % 2 = 1 THEN 0.25 WHEN n % 3 > 0 THEN 0.18 ELSE 0.08 END END, 6)::DOUBLE AS score,
+  n % 5 <= 1 OR genre OR NOT count(*) FILTER (good AND genre) OVER (PARTITION BY request_id) >= least(5, count(*) FILTER (good) OVER (PARTITION BY request_id)) AS aimed FROM p),
+k AS (SELECT request_id, doc, score, consensus, rating, votes, unnest(list_filter([CASE WHEN year THEN 'year' END, CASE WHEN runtime THEN 'runtime' END, CASE WHEN person THEN 'person' END, CASE WHEN good AND aimed THEN 'quality' END], lambda x: x IS NOT NULL)) AS kind FROM s)
+SELECT request_id, kind, doc, score FROM k QUALIFY row_number() OVER (PARTITION BY request_id, kind ORDER BY score DESC, consensus DESC, rating DESC, votes DESC, doc) <= 15""")
+def constraint_recall(spark, d):
+    """Of each kind the best rows that a request's people, quality, years and minutes ask for, from lists that are read until a bound ends them."""
+    items, asked = _wishes(spark, d)
+    c, none = F.col, F.lit(0)
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(asked, "request_id").join(items, "doc").filter(matching.eligible(c("doc"), c("seen"), c("genre_set"), c("blocked_genres")))
+        flags = {"genre_match": matching.overlaps(c("genre_set"), c("genres")), "person_match": matching.overlaps(items["people"], asked["people"]), "year_match": matching.year_match(c("year_n"), c("year")), "runtime_match": matching.runtime_match(c("runtime_n"), c("runtime")), "avoid_hit": F.lit(False)}
+        rest = {"wrong_language": ~matching.language_match(c("original_language"), F.lit(""), c("language")), "wrong_certificate": F.lit(False), "bm25_rank": F.lit(None), "sem_rank": F.lit(None), "seed_relation": F.lit(""), "seed_overlap": F.lit(False), "constraint_source": F.lit(""), "subgenre_overlap": none, "subgenre_request": F.lit(False), "excluded": F.lit(False), "quality_request": c("wants_quality")}
+        same = {k: c(k) for k in ("similar_request", "broad_request", "needs_backup", "consensus")}
+        return rows.select("request_id", "doc", "kind", F.round(ranking.source_score(flags | rest | same), 6).alias("score"), "consensus", "rating", "votes")
+
+    found = recall.best(recall.cursors(asked, items, recall.narrowed(asked, items)), items, scored, plan.by_score(), 15)
+    return found.select("request_id", "kind", "doc", "score")
+
+
 @query(f"""WITH w AS (SELECT doc_id, unnest({_terms_sql('text')}) AS w FROM documents), c AS (SELECT doc_id, {_stem_sql('w')} AS term, count(*) AS tf FROM w GROUP BY ALL), l AS (SELECT *, sum(tf) OVER (PARTITION BY doc_id) AS dl FROM c)
 SELECT term, count(*) AS df, round(max(tf * 2.45 / (tf + 1.45 * (1 - 0.72 + 0.72 * dl / 100.0))), 6) AS best FROM l GROUP BY term""")
 def sql_terms(spark, d):
