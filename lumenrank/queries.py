@@ -1076,7 +1076,7 @@ def _wishes(spark, d) -> tuple[DataFrame, DataFrame]:
     return items, asked
 
 
-@query("""WITH i AS (SELECT p_partkey AS doc, 1970 + p_size AS y, 60 + 3 * p_size AS m, lower(p_type) AS genre, lower(p_brand) AS person, p_size / 5.0 AS rating, (p_partkey % 90) * 50 AS votes, (p_partkey * 37 % 1000) / 1000.0 AS consensus, CASE WHEN p_partkey % 4 = 0 THEN 'fr' ELSE 'en' END AS lang FROM part),
+@query(r"""WITH i AS (SELECT p_partkey AS doc, 1970 + p_size AS y, 60 + 3 * p_size AS m, lower(p_type) AS genre, lower(p_brand) AS person, p_size / 5.0 AS rating, (p_partkey % 90) * 50 AS votes, (p_partkey * 37 % 1000) / 1000.0 AS consensus, CASE WHEN p_partkey % 4 = 0 THEN 'fr' ELSE 'en' END AS lang FROM part),
 b AS (SELECT p_brand AS request_id, min(lower(p_type)) AS genre, min(regexp_extract(p_brand, '\d+')::INT) AS n FROM part GROUP BY p_brand),
 p AS (SELECT request_id, doc, i.consensus, i.rating, i.votes, n % 2 = 0 AND y BETWEEN 1980 + n AND 1990 + n AS year, n % 3 = 0 AND m >= 70 + n AS runtime, n % 4 = 1 AND person = lower(request_id) AS person, n % 5 > 1 AND i.genre = b.genre AS genre,
   n % 3 > 0 AND i.rating >= 7.2 AND i.votes >= 1000 AS good, n % 7 = 0 AND lang <> 'fr' AS wrong, n FROM i, b WHERE doc <> 7 AND NOT (n % 6 = 0 AND i.genre = 'large')),

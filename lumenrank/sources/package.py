@@ -1,5 +1,7 @@
 """This package on the executors, whose Python workers run the few functions that aren't expressions."""
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,7 +15,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_lumenrank_shipped", None) == sc.applicationId:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="lumenrank-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lumenrank-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))
