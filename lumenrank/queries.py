@@ -90,6 +90,11 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, for work on whole texts: a single small file is dealt over all cores."""
+    return catalogue.spread(t(spark, d, "documents").select("doc_id", "text", "source"))
+
+
 def _norm_sql(col: str) -> str:
     return f"replace(replace(replace(lower(trim(coalesce({col}, ''), {_WS})), 'scifi', 'science fiction'), 'sci-fi', 'science fiction'), 'sci fi', 'science fiction')"
 
@@ -114,14 +119,14 @@ _BM25 = "idf * tf * 2.45 / (tf + 1.45 * (1 - 0.72 + 0.72 * dl / greatest(avgdl,
 
 @query(f"SELECT w AS token, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({_terms_sql('text')}) AS w FROM documents) GROUP BY w")
 def tokenize_docs(spark, d):
-    docs = t(spark, d, "documents")
+    docs = texts(spark, d)
     rows = index.exploded_tokens(docs.select("doc_id", "text"), F.col("text")).drop("text")
     return rows.groupBy("doc_id", "token").count().groupBy("token").agg(F.count("*").alias("df"), F.sum("count").alias("n"))
 
 
 @query(f"SELECT term, count(DISTINCT word) AS n_words, count(*) AS n FROM ({_STEMS}) GROUP BY term")
 def stem_terms(spark, d):
-    docs = t(spark, d, "documents").select("text")
+    docs = texts(spark, d).select("text")
     words = index.exploded_tokens(docs, F.col("text")).groupBy(F.col("token").alias("word")).count()
     return words.withColumn("term", T.stem(F.col("word"))).filter(~F.col("term").isin(V.STOP_WORDS)).groupBy("term").agg(F.count("*").alias("n_words"), F.sum("count").alias("n"))
 
@@ -129,25 +134,25 @@ def stem_terms(spark, d):
 @query(f"""SELECT doc, term, sum(w) AS tf FROM (SELECT doc, term, 1.0::DOUBLE AS w FROM ({_STEMS}) UNION ALL
 SELECT doc, {_stem_sql('w')}, 3.0 FROM (SELECT doc_id AS doc, unnest({_terms_sql('source')}) AS w FROM documents)) WHERE term NOT IN ({_STOP}) GROUP BY doc, term""")
 def weighted_tf(spark, d):
-    return index.weighted_terms(t(spark, d, "documents"), {"text": 1.0, "source": 3.0}, "doc_id")
+    return index.weighted_terms(texts(spark, d), {"text": 1.0, "source": 3.0}, "doc_id")
 
 
 @query(f"WITH {_INDEX} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def idf_stats(spark, d):
-    docs = t(spark, d, "documents")
+    docs = texts(spark, d)
     return index.term_stats(index.weighted_terms(docs, {"text": 1.0}, "doc_id"), index.counted(docs)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"""WITH {_INDEX} SELECT doc, term, tf, rank FROM (SELECT doc, term, tf, row_number() OVER (PARTITION BY doc ORDER BY round(tf * idf, 9) DESC, tf DESC, term DESC) AS rank
 FROM postings JOIN stats USING (term)) WHERE rank <= 18""")
 def overview_topterms(spark, d):
-    docs = t(spark, d, "documents")
+    docs = texts(spark, d)
     post = written(index.weighted_terms(docs, {"text": 1.0}, "doc_id"), "postings")
     return index.top_terms(post, index.term_stats(post, index.counted(docs))).select("doc", "term", "tf", "rank")
 
 
 def _bm25(spark, d, asked):
-    return lexical.search(lexical.query_terms(asked), *index.build(t(spark, d, "documents"), "doc_id", {"text": 1.0}))
+    return lexical.search(lexical.query_terms(asked), *index.build(texts(spark, d), "doc_id", {"text": 1.0}))
 
 
 _RANKED = """scored AS (SELECT request_id, doc, round(sum(qtf * {b}), 6) AS raw FROM q JOIN postings USING (term) JOIN stats USING (term) JOIN lens USING (doc), av GROUP BY ALL),
@@ -169,7 +174,7 @@ def bm25_batch(spark, d):
 def written_index(spark, d) -> tuple[DataFrame, DataFrame]:
     """The index of all documents with its blocks' bounds, written and read back."""
     path = f"{folder(spark)}/index-{uuid.uuid4().hex}"
-    blockmax.write(*index.build(t(spark, d, "documents"), "doc_id", {"text": 1.0}), path)
+    blockmax.write(*index.build(texts(spark, d), "doc_id", {"text": 1.0}), path)
     return blockmax.read(spark, path)
 
 
@@ -347,7 +352,7 @@ def phrase_match(spark, d):
     """Dictionary phrases by an equality join on their first words, verified at their borders, in passages of bounded length."""
     more = spark.createDataFrame([(x,) for x in ("of the", "the and", "de la", "in the", "that the the and")], "name string")
     dictionary = t(spark, d, "nation").select(F.lower("n_name").alias("name")).union(more).distinct()
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("request_id"), "text")
+    docs = texts(spark, d).select(F.col("doc_id").alias("request_id"), "text")
     return parsing.met(docs, dictionary).select(F.col("request_id").alias("doc_id"), F.col("name").alias("phrase"))
 
 

@@ -25,6 +25,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt over all of them; a larger one stays as it is, so no text is moved at scale."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """An all-string table with a header; tabs for .tsv. Quotes double, cells may span lines."""
     sep = "\t" if path.lower().endswith(".tsv") else ","
