@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 from .text import TOKEN
 from .values import STOP_WORDS
 
-_WHITE = r"' \t\n\r\u000b\f'"
+_WHITE = r"' \t\n\r\u000b\u000c'"
 _STOP = "array(" + ", ".join("'" + w.replace("'", r"\'") + "'" for w in sorted(STOP_WORDS)) + ")"
 
 #: name: (parameters, type, body). Later bodies may call earlier functions.

@@ -13,3 +13,11 @@ def test_chunks_of_many_rows_are_those_of_their_order(spark):
     df = spark.range(0, 300_000, 1, 7).select(F.xxhash64("id").alias("key"), "id")
     rows = sorted((r.key, r.chunk) for r in catalogue.chunked(df, [F.col("key")], 10).collect())
     assert [c for _, c in rows] == [i // 10 for i in range(300_000)]
+
+
+def test_sql_names_keep_letters_at_the_ends(spark):
+    sql.register(spark)
+    df = spark.createDataFrame([("f for half of",), ("\f\x0b if \f",), ("fff",)], "t string")
+    df.createOrReplaceTempView("ends")
+    named = [r[0] for r in spark.sql("SELECT rank_normalize(t) FROM ends").collect()]
+    assert named == [r[0] for r in df.select(T.normalize(F.col("t"))).collect()] == ["f for half of", "if", "fff"]
