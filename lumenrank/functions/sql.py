@@ -24,7 +24,7 @@ FUNCTIONS: dict[str, tuple[str, str, str]] = {
     "rank_title_root": (
         "t STRING",
         "STRING",
-        r"trim(regexp_replace(trim(regexp_replace(substring_index(substring_index(rank_normalize(coalesce(t, '')), ' - ', 1), ':', 1), r'(?s)\b(part|chapter|episode|vol|volume)\b.*$', '')), r'\b\d+\b$', ''))",
+        r"trim(regexp_replace(trim(regexp_replace(substring_index(substring_index(rank_normalize(coalesce(t, '')), ' - ', 1), ':', 1), r'(?s)(?<!\w)(part|chapter|episode|vol|volume)(?!\w).*$', '')), r'(?<!\w)\d+(?!\w)$', ''))",
     ),
     "rank_mentions": ("t STRING, p STRING", "BOOLEAN", r"regexp_like(lower(t), concat('(^|[^a-z0-9])', regexp_replace(p, r'([\\.\[\]{}()*+?^$|\-])', r'\\$1'), '([^a-z0-9]|$)'))"),
     "rank_bm25": ("tf DOUBLE, dl DOUBLE, avgdl DOUBLE, idf DOUBLE", "DOUBLE", "CASE WHEN tf > 0 THEN idf * tf * 2.45D / (tf + 1.45D * (1 - 0.72D + 0.72D * dl / greatest(avgdl, 1.0D))) ELSE 0.0D END"),

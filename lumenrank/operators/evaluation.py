@@ -18,8 +18,8 @@ def asked_years(text: Column) -> Column:
     t = plain(text)
     part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("int")
     pair = lambda a, b: F.struct(F.lit(a).cast("int").alias("min"), F.lit(b).cast("int").alias("max"))
-    decade, short = part(r"\b(19[5-9]0|20[0-2]0)s\b"), part(r"\b([5-9]0)s\b") + 1900
-    after, before, exact = (part(rf"\b{w}\s+(19\d\d|20\d\d)\b") for w in ("after", "before", "(?:from|released in|in)"))
+    decade, short = part(V.bordered(r"\b(19[5-9]0|20[0-2]0)s\b")), part(V.bordered(r"\b([5-9]0)s\b")) + 1900
+    after, before, exact = (part(V.bordered(rf"\b{w}\s+(19\d\d|20\d\d)\b")) for w in ("after", "before", "(?:from|released in|in)"))
     rules = [(x.isNotNull(), pair(x, x + 9)) for x in (decade, short)]
     rules += [(after.isNotNull(), pair(after + 1, 2030)), (before.isNotNull(), pair(1900, before - 1)), (exact.isNotNull(), pair(exact, exact))]
     rules += [(t.contains("recent") | t.contains("new"), pair(2020, 2030)), (t.contains("classic") | t.contains("old"), pair(1900, 2000))]
