@@ -14,3 +14,14 @@ def test_pairs_of_histories_are_not_shuffled(spark, capsys):
     got.explain()
     plan = capsys.readouterr().out.split("Initial Plan")[-1]
     assert plan.index("Join") < plan.index("Exchange"), "nothing is moved after items are met"
+
+
+def test_names_with_the_same_first_words_make_no_pairs(spark, monkeypatch):
+    names = spark.range(300).select("id", F.concat(F.lit("The small ring: a tale, part "), F.col("id").cast("string")).alias("name"))
+    asked = names.select(F.col("id").alias("request_id"), F.concat(F.lit("like "), F.lower("name"), F.lit("!")).alias("text"))
+    copies = names.union(names.select(F.col("id") + 1000, "name"))
+    assert parsing.met(asked, copies).filter("request_id % 1000 = id % 1000").count() == parsing.met(asked, copies).count() == 600
+    monkeypatch.setattr(parsing, "mentions", lambda text, name: F.lit(True))
+    assert parsing.met(asked, names).count() == 300, "candidates meet by their whole names"
+    monkeypatch.setattr(parsing, "SENT_NAMES", 10)
+    assert parsing.met(asked, names).count() == 300
