@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.text import csv_set
+from ..functions.text import csv_set, let
 from . import parsing
 
 
@@ -15,7 +15,10 @@ def plain(c: Column) -> Column:
 
 def asked_years(text: Column) -> Column:
     """struct(min, max) by the evaluator's rules: decades from the fifties on, open ends at 1900 and 2030."""
-    t = plain(text)
+    return let(plain(text), _years_of)
+
+
+def _years_of(t: Column) -> Column:
     part = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("int")
     pair = lambda a, b: F.struct(F.lit(a).cast("int").alias("min"), F.lit(b).cast("int").alias("max"))
     decade, short = part(V.bordered(r"\b(19[5-9]0|20[0-2]0)s\b")), part(V.bordered(r"\b([5-9]0)s\b")) + 1900
@@ -31,8 +34,7 @@ def asked_years(text: Column) -> Column:
 
 def asked_language(text: Column) -> Column:
     """The first term of the language table that stands anywhere in the text."""
-    t = plain(text)
-    return F.coalesce(*[F.when(t.contains(k), F.lit(k)) for k in V.LANGUAGES])
+    return let(plain(text), lambda t: F.coalesce(*[F.when(t.contains(k), F.lit(k)) for k in V.LANGUAGES]))
 
 
 def repeats(item_id: Column, title: Column, history: Column) -> Column:

@@ -25,3 +25,13 @@ def test_names_with_the_same_first_words_make_no_pairs(spark, monkeypatch):
     assert parsing.met(asked, names).count() == 300, "candidates meet by their whole names"
     monkeypatch.setattr(parsing, "SENT_NAMES", 10)
     assert parsing.met(asked, names).count() == 300
+
+
+def test_texts_are_normalised_once(spark):
+    """Within a lambda nothing is shared between a table's terms, so each would normalise the text anew."""
+    t = F.col("t")
+    assert str(parsing.named(t, V.LANGUAGES)).count("lower(") == 1
+    assert str(parsing.blocked_genres(t)).count(V.NEGATION) == 1 and str(parsing.refused_tokens(t)).count(V.NEGATION) == 1
+    assert str(evaluation.asked_language(t)).count("regexp_replace(") == 1 and str(evaluation.asked_years(t)).count("regexp_replace(") == 1
+    df = spark.createDataFrame([("no sci-fi, non-fiction and hates war.",)], "t string")
+    assert df.select(parsing.blocked_genres(t)).first()[0] == ["Science Fiction", "War"]
