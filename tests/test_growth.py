@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lumenrank.functions import values as V
+from lumenrank.llm import toxicity
 from lumenrank.operators import evaluation, hooks, parsing
 
 
@@ -61,3 +62,16 @@ def test_answers_of_small_batches_are_handed_over_together(spark, monkeypatch):
     (got,) = frames
     assert list(got["request_id"]) == list(range(50)) and [i for i, e in enumerate(got["error"]) if e] == [6, 7]
     assert got["answer"][49] == "P49" and got["answer"][6] is None
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """What is toxic comes last in the order of the ids' hash, behind 11,000 other labels."""
+    ids = spark.range(18_000).select(F.col("id").alias("doc_id")).filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"))
+    ids = [r[0] for r in ids.collect()]
+    assert len(ids) > 11_000
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    toxic = set(ids[-80:])
+    docs = spark.createDataFrame([(i, f"some quiet words {word(i)} here" + (" vilewretch" if i in toxic else "")) for i in ids], "doc_id long, text string")
+    labels = docs.select("doc_id", F.contains("text", F.lit("vilewretch")).cast("int").alias("toxic"))
+    model = toxicity.train(docs, labels)
+    assert model.score("a vilewretch") > 0.9 > 0.1 > model.score("some quiet words")
