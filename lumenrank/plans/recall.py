@@ -144,16 +144,21 @@ def marked(rows: DataFrame) -> DataFrame:
     return out.select("request_id", "kind", F.col("x.w").alias("weight"), F.concat("stem", F.lit("|"), "x.mark").alias("list"), F.col("x.b").alias("bonus"))
 
 
+def seen(asked: DataFrame) -> DataFrame:
+    """(request_id, doc): what must not come back, a row each."""
+    return asked.select("request_id", F.explode("seen").alias("doc"))
+
+
 def narrowed(asked: DataFrame, items: DataFrame) -> DataFrame:
     """(request_id): requests for quality of whose good rows at least min(5, all) have a wanted genre. Five of each are looked for, not all counted."""
     floor = asked.filter("needs_backup and size(target_genres) > 0")
     stem = F.concat(F.lit("floor:"), F.col("quality_floor").cast("string"))
     row = lambda kind, lists: floor.select("request_id", F.lit(kind).alias("kind"), F.explode(lists).alias("list"), F.lit(0.0).alias("weight"), F.lit(-1.0).alias("bonus"))
     every = row("any", F.array(F.concat(stem, F.lit("|*")))).unionByName(row("aimed", F.transform("target_genres", lambda g: F.concat(stem, F.lit("|g:"), g))))
-    limits, genres = floor.select("request_id", "seen", "blocked_genres"), items.select("doc", "genre_set")
+    limits, genres, known = floor.select("request_id", "blocked_genres"), items.select("doc", "genre_set"), seen(floor)
 
     def eligible(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(limits, "request_id").join(genres, "doc").filter(matching.eligible(F.col("doc"), F.col("seen"), F.col("genre_set"), F.col("blocked_genres")))
+        rows = ranking.without(pairs, known, ["request_id", "doc"]).join(genres, "doc").join(limits, "request_id").filter(~matching.overlaps(F.col("genre_set"), F.col("blocked_genres")))
         return rows.select(*PAIR, F.lit(0.0).alias("score"))
 
     found = best(every, items, eligible, [F.desc("score"), F.col("doc")], 5)

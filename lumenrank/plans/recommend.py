@@ -93,14 +93,26 @@ def _unrecalled(pairs: DataFrame, present: bool) -> DataFrame:
     return pairs.select("request_id", "doc", F.lit(present).alias("present"), *[F.lit(None).cast("int").alias(c) if c.endswith("_rank") else F.lit(0.0).alias(c) for c in _RECALL])
 
 
+#: Lists of documents that grow with the copies of a title.
+_DOCS = ("seen", "history_docs", "seed_docs", "seed_similar_ids", "seed_recommended_ids")
+
+
+def _relations(asked: DataFrame) -> DataFrame:
+    """(request_id, doc, relation): the neighbours of requests' seeds; who is similar isn't just recommended."""
+    near = lambda c, said: asked.select("request_id", F.explode(c).alias("doc"), F.lit(said).alias("relation"))
+    return near("seed_similar_ids", "similar").unionByName(near("seed_recommended_ids", "recommended")).groupBy("request_id", "doc").agg(F.max("relation").alias("relation"))
+
+
 def _evidence(pairs: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame:
     """Scalars about (request, item) rows: all that later steps need, so that no text or list is shuffled again.
 
     Rows of seen items and blocked genres go. ``pairs`` has request_id, doc, present and the recall columns.
+    A request's lists of documents, as long as a title has copies, meet the pairs as rows and go with none of them.
     """
-    wanted = asked.drop("query_terms", "text", "countries").withColumnsRenamed({"genres": "genres_asked", "people": "people_asked"})
-    rows = pairs.join(wanted, "request_id").join(items.drop("genres", "year", "similar_ids", "recommended_ids"), "doc")
-    rows = rows.filter(matching.eligible(F.col("doc"), F.col("seen"), F.col("genre_set"), F.col("blocked_genres")))
+    wanted = asked.drop("query_terms", "text", "countries", *_DOCS).withColumnsRenamed({"genres": "genres_asked", "people": "people_asked"})
+    pairs = ranking.without(pairs, recall.seen(asked), ["request_id", "doc"]).join(_relations(asked), ["request_id", "doc"], "left")
+    rows = pairs.join(items.drop("genres", "year", "similar_ids", "recommended_ids"), "doc").join(wanted, "request_id")
+    rows = rows.filter(~matching.overlaps(F.col("genre_set"), F.col("blocked_genres")))
     c, size, none, both = F.col, F.size, F.lit(0), matching.overlaps
     shared = F.coalesce(F.size(F.array_intersect("genre_set", "genres_asked")), none)
     refused = both(c("terms"), c("avoid_terms"))
@@ -126,7 +138,7 @@ def _evidence(pairs: DataFrame, asked: DataFrame, items: DataFrame) -> DataFrame
         "within_180": matching.known(c("runtime_n") <= 180),
         "doubtful": matching.doubtful(c("sem_score"), c("bm25_score"), shared, size("genres_asked"), refused, size("people_asked")),
     }
-    relation = F.when(F.array_contains("seed_similar_ids", c("doc")), "similar").when(F.array_contains("seed_recommended_ids", c("doc")), "recommended").otherwise("")
+    relation = F.coalesce("relation", F.lit(""))
     overlap = F.coalesce(size(F.array_intersect("keyword_set", "subgenre_keywords")), none)
     return rows.select("request_id", "doc", "present", *_RECALL, *_SAID, "root", "rating", "votes", "consensus", F.lit("").alias("constraint_source"), relation.alias("seed_relation"), overlap.alias("subgenre_overlap"), *[v.alias(k) for k, v in flags.items()])
 
@@ -213,7 +225,7 @@ def _prepared(catalogue: DataFrame, requests: DataFrame, strict: bool) -> tuple[
 
 
 def _top(items: DataFrame, asked: DataFrame, vectors: DataFrame | None, embeddings: DataFrame | None, k: int) -> DataFrame:
-    seen = asked.select("request_id", F.explode("seen").alias("doc"))
+    seen = recall.seen(asked)
     postings, stats, lengths = index.build(items, "doc", long_field="overview")
     terms = asked.select("request_id", F.explode("query_terms").alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("qtf"))
     hits = written(lexical.search(terms, postings, stats, lengths, seen), "hits")
@@ -247,7 +259,7 @@ def shortlist(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     so many requests are one job. ``strict`` counts the first language or certificate
     of the tables instead of the longest one mentioned. The result is a written table; those of the stages before it are gone.
     """
-    with scratch() as keep:
+    with scratch(catalogue.sparkSession) as keep:
         items, asked = _prepared(catalogue, requests, strict)
         return keep(written(_top(items, asked, vectors, embeddings, k), "shortlist"))
 
@@ -295,7 +307,7 @@ def recommend(catalogue: DataFrame, requests: DataFrame, vectors: DataFrame | No
     have a ``deadline``, in seconds since 1970: with too little time left until then a model isn't asked.
     The result is a written table; those of the stages before it are gone.
     """
-    with scratch() as keep:
+    with scratch(catalogue.sparkSession) as keep:
         return keep(written(_answered(catalogue, requests, vectors, embeddings, model, intent_model, strict), "answers"))
 
 
