@@ -2,8 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from lumenrank import queries as library
 from lumenrank.llm import toxicity
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_overrides_are_dealt_over_all_cores(spark):
+    assert library.QUERIES["override_merge"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
 
 def test_labels_meet_texts_where_they_are(spark, monkeypatch):
     ids = [-5, 0, 7, 8, 32767, 32768, 32769, 70000, 2**40]
