@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import queries as library
 from lumenrank.llm import toxicity
+from lumenrank.operators import parsing
 
 SF = "/root/testdata/sf0.001"
 
@@ -12,6 +13,18 @@ def test_overrides_are_dealt_over_all_cores(spark):
     assert library.QUERIES["override_merge"](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_liked_phrases_meet_texts_and_their_first_items(spark):
+    """Of a text with 3,000 copies, 40 items go on."""
+    one = lambda c: F.array(F.lit(c))
+    copies = spark.range(3000).select(F.col("id").alias("doc"), F.lit("old ring big").alias("blob"), one("big").alias("genre_set"), F.when(F.col("id") < 40, one("early")).otherwise(one("late")).alias("keyword_set"))
+    other = spark.range(1).select(F.lit(-1).cast("bigint").alias("doc"), F.lit("bold ring").alias("blob"), one("small").alias("genre_set"), one("first").alias("keyword_set"))
+    asked = spark.createDataFrame([(1, ["old ring"], ["late"])], "request_id int, affinity_phrases array<string>, avoid_terms array<string>")
+    (got,) = parsing.affinity_terms(asked, copies.union(other)).collect()
+    assert got.affinity_terms == ["big", "early", "first", "small"]
+    plan = parsing.affinity_terms(asked, copies.union(other))._jdf.queryExecution().optimizedPlan().toString()
+    assert "held#" in plan and not any("doc#" in x or "genre_set#" in x for x in plan.split("\n") if "held#" in x and "Project" in x), "words lead to texts, not to each of their copies"
+
+
 def test_labels_meet_texts_where_they_are(spark, monkeypatch):
     ids = [-5, 0, 7, 8, 32767, 32768, 32769, 70000, 2**40]
     docs = spark.createDataFrame([(i, f"t{i}") for i in [*ids, 3, 32770, None]], "id long, text string")
