@@ -15,16 +15,16 @@ def exploded_tokens(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def _field_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, field, w, term) for each occurrence, in the scan: no text is shuffled."""
+    """(doc, field, w, term) for each occurrence. Texts are dealt by document, once: they are smaller than their terms' sums, which then stay where they are, each document's together."""
     text = lambda f: json_text(F.col(f)) if f.endswith("_json") else F.col(f).cast("string")
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("w"), F.coalesce(text(f), F.lit("")).alias("text")) for f, w in fields.items()])
-    rows = docs.select(F.col(id_col).alias("doc"), F.inline(parts))
+    rows = docs.select(F.col(id_col).alias("doc"), parts.alias("parts")).repartition("doc").select("doc", F.inline("parts"))
     terms = exploded_tokens(rows, F.col("text")).select("doc", "field", "w", stem(F.col("token")).alias("term"))
     return terms.filter(~F.col("term").isin(STOP_WORDS))
 
 
 def weighted_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, term, tf): occurrences times field weights. Each task adds up its own documents' terms, and only those sums are shuffled."""
+    """(doc, term, tf): occurrences times field weights. Each task adds up its own documents' terms."""
     return _field_terms(docs, fields, id_col).groupBy("doc", "term").agg(F.sum("w").alias("tf"))
 
 

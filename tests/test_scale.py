@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import queries as library
 from lumenrank.llm import toxicity
-from lumenrank.operators import parsing
+from lumenrank.operators import index, parsing
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +41,13 @@ def test_labels_meet_texts_where_they_are(spark, monkeypatch):
         assert sorted(map(tuple, toxicity.labelled(names(docs), names(marked)).collect())) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_terms_of_a_document_stay_together(spark):
+    """Texts are dealt by document, and the sums of their terms aren't moved."""
+    docs = spark.createDataFrame([(1, "quiet rain and rain"), (2, "rain"), (1, "quiet")], "doc_id long, text string")
+    got = index.weighted_terms(docs, {"text": 1.0}, "doc_id")
+    assert sorted(map(tuple, got.collect())) == [(1, "quiet", 2.0), (1, "rain", 2.0), (2, "rain", 1.0)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "term#" not in dealt[0]
