@@ -1,5 +1,7 @@
 """Work that grows with the input: plans and candidates, counted on small tables."""
 
+import zlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -75,3 +77,20 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     labels = docs.select("doc_id", F.contains("text", F.lit("vilewretch")).cast("int").alias("toxic"))
     model = toxicity.train(docs, labels)
     assert model.score("a vilewretch") > 0.9 > 0.1 > model.score("some quiet words")
+
+
+def test_toxicity_learns_every_word_and_feature(spark):
+    """Some 2,400 toxic words in five documents each, and 20,000 words in all: none is left out for its rank."""
+    ids = spark.range(25_000).select(F.col("id").alias("doc_id")).filter(~toxicity.held_out(F.col("doc_id"))).orderBy("doc_id")
+    ids = [r[0] for r in ids.collect()]
+    word = lambda i, n: "".join(chr(97 + i // 26**k % 26) for k in range(n))
+    own = [word(i, 3) for i in range(26**3)]
+    texts = [" ".join({word(k % 2600, 4), *(own[(k * 7 + j * 2003) % len(own)] for j in range(8))}) for k in range(13_000)] + [" ".join(own)] * 80
+    assert len(ids) >= len(texts)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(k < 13_000)) for k, i in enumerate(ids[: len(texts)])], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    marks = [min(zlib.crc32(w.encode()) for w in t.split()) for t in texts[:13_000]]
+    unlike = {word(k, 4) for k in range(2600) if len({marks[k + 2600 * j] for j in range(5)}) >= toxicity.LEAST_TEXTS}
+    assert set(model.evidence) == unlike and len(unlike) > 2000
+    assert model.chars.uni["$"] == sum(len(t.split()) for t in texts) + 50 * len(unlike)
