@@ -1,16 +1,17 @@
-"""A written index with each block's highest score, and search that reads no more documents than those bounds allow.
+"""A written index with each block's highest score, and search that ranks no more documents than those bounds allow.
 
-Index. Every posting holds its finished part of the score. A term's postings are cut
+Index. Every posting holds its finished part of the score but for the term's idf. A term's postings are cut
 into levels by that part, highest first: the first holds about FIRST of them, each
-further one makes what came so far GROWTH times as many. Postings are range-sorted by term and level, so a frequent term is
-dealt over several files, and a search skips the row groups that hold none of its terms. A small table
-has each level's size and bounds.
+further one makes what came so far GROWTH times as many. Postings are dealt by document and lie there by term, so that no term is
+a single task's, long or short, and postings move once. A table has each term's idf and each level's size and bounds; terms of
+up to FIRST postings have one level.
 
 Search. A request's ``k``-th score is at least that of any of its terms' ``k``-th
 posting, which the levels bound from below. Against that floor stands what each term can add: the terms
 with the most postings, and the low levels of one more, are set aside as long as all of that
 together stays below the floor. A document with nothing but such postings can't be among the first ``k``, so only
-documents in the other levels are scored, each in full.
+documents in the other levels are ranked, each scored in full. Asked postings are dealt by document, once for all
+requests; pairs of requests and documents are added up and cut to the first ``k`` where they arise.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ from .lexical import SENT, bm25, ranked
 from .ranking import without
 
 FIRST, GROWTH, STEPS = 128, 2, 200
+#: Postings times requests that one task adds up.
+MET = 2_000_000
 #: Distinct terms of all requests up to which the scan is told of them.
 TOLD = 5000
 #: Scores are rounded, so a bound must be missed by more than this.
@@ -40,15 +43,27 @@ def levels(entries: DataFrame, by: str, step: Column, first: int, growth: float)
     return cut.select(by, "step", "level", F.max("__through").over(Window.partitionBy(by, "level")).alias("through"))
 
 
+def _step() -> Column:
+    return F.floor(F.col("part") * STEPS).cast("int")
+
+
 def write(postings: DataFrame, stats: DataFrame, lengths: DataFrame, path: str) -> None:
     """Write ``postings`` (doc, term, tf), ``stats`` (term, df, idf) and ``lengths`` (doc, dl) as an index under a folder that isn't there yet."""
+    spark = postings.sparkSession
     avgdl = F.coalesce(lengths.agg(F.avg("dl")).scalar(), F.lit(1.0))
-    parts = postings.join(stats, "term").join(lengths, "doc").select("term", "doc", bm25(F.col("tf"), F.col("dl"), avgdl, F.col("idf")).alias("part"))
-    step = F.floor(F.col("part") * STEPS).cast("int")
-    cut = levels(parts, "term", step, FIRST, GROWTH)
-    rows = parts.withColumn("step", step).join(cut.drop("through"), ["term", "step"]).select("term", "level", "doc", "part")
-    rows.repartitionByRange("term", "level", "doc").sortWithinPartitions("term", "level", "doc").write.parquet(f"{path}/postings")
-    bounds = cut.groupBy("term", "level").agg(F.max("through").alias("through"), ((F.max("step") + 1) / STEPS).alias("ceiling"), (F.min("step") / STEPS).alias("floor"))
+    parts = postings.join(lengths.hint("shuffle_hash"), "doc").select("term", "doc", bm25(F.col("tf"), F.col("dl"), avgdl, F.lit(1.0)).alias("part"))
+    parts.sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    parts = spark.read.schema(parts.schema).parquet(f"{path}/postings")
+    each = parts.groupBy("term").agg(F.count("*").alias("n"), F.min(_step()).alias("low"), F.max(_step()).alias("high"))
+    each.join(stats.select("term", "idf"), "term").write.parquet(f"{path}/terms")
+    each = spark.read.parquet(f"{path}/terms")
+    long = each.filter(F.col("n") > FIRST)
+    few = long.limit(SENT + 1).count() <= SENT
+    cut = levels(parts.join(F.broadcast(long.select("term")), "term", "left_semi") if few else parts, "term", _step(), FIRST, GROWTH)
+    cut = cut.groupBy("term", "level").agg(F.max("through").alias("through"), F.min("step").alias("low"), F.max("step").alias("high"))
+    cut = cut.join(long.select("term", "idf"), "term").select("term", "level", "through", "low", "high", "idf")
+    short = each.filter(F.col("n") <= FIRST).select("term", F.lit(0).alias("level"), F.col("n").alias("through"), "low", "high", "idf")
+    bounds = short.unionByName(cut).select("term", "level", "through", "low", "idf", ((F.col("high") + 1) / STEPS * F.col("idf")).alias("ceiling"), (F.col("low") / STEPS * F.col("idf")).alias("floor"))
     bounds.write.parquet(f"{path}/bounds")
 
 
@@ -73,25 +88,33 @@ def asked_levels(terms: DataFrame, bounds: DataFrame, out: DataFrame | None, k:
 
 def search(terms: DataFrame, index: tuple[DataFrame, DataFrame], exclude: DataFrame | None = None, k: int = LEXICAL_TOP, digits: int = 6) -> DataFrame:
     """As ``lexical.search`` over the table that was written: (request_id, doc, bm25_raw, bm25_score, bm25_rank)."""
-    return scored(terms, index, candidates(terms, index, exclude, k), exclude, k, digits)
+    rows = _scored(terms, index, exclude, k).select("request_id", "doc", F.round("score", digits).alias("bm25_raw")).filter("bm25_raw > 0")
+    if exclude is not None:
+        rows = without(rows, exclude, ["request_id", "doc"])
+    return ranked(rows, "bm25", k)
 
 
 def candidates(terms: DataFrame, index: tuple[DataFrame, DataFrame], exclude: DataFrame | None = None, k: int = LEXICAL_TOP) -> DataFrame:
-    """(request_id, doc): the documents that a search scores."""
-    postings, bounds = _asked(terms, index)
-    out = exclude.groupBy("request_id").agg(F.count("*").alias("out")) if exclude is not None else None
-    wanted = asked_levels(terms, bounds, out, k)
-    return postings.join(wanted, ["term", "level"]).select("request_id", "doc").distinct()
+    """(request_id, doc): the documents that a search ranks."""
+    return _scored(terms, index, exclude, k).select("request_id", "doc")
 
 
-def scored(terms: DataFrame, index: tuple[DataFrame, DataFrame], found: DataFrame, exclude: DataFrame | None, k: int, digits: int) -> DataFrame:
-    postings, _ = _asked(terms, index)
-    few = terms.limit(SENT + 1).count() <= SENT
-    met = postings.join(F.broadcast(terms) if few else terms, "term").join(found, ["request_id", "doc"], "left_semi")
-    rows = met.groupBy("request_id", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("part")), digits).alias("bm25_raw")).filter("bm25_raw > 0")
-    if exclude is not None:
-        rows = without(rows, exclude, ["request_id", "doc"])
-    return ranked(rows, "bm25", k)
+def _scored(terms: DataFrame, index: tuple[DataFrame, DataFrame], exclude: DataFrame | None, k: int) -> DataFrame:
+    """(request_id, doc, score) of the candidates. Postings are dealt by document, and their sums stay there."""
+    postings, bounds = _asked(terms, index)
+    out = exclude.groupBy("request_id").agg(F.count("*").alias("out")) if exclude is not None else None
+    wanted = asked_levels(terms, bounds, out, k).join(bounds.select("term", "level", "low"), ["term", "level"]).groupBy("request_id", "term").agg(F.min("low").alias("low"))
+    held = bounds.groupBy("term").agg(F.first("idf").alias("idf"), F.max("through").alias("n"))
+    told = terms.join(held, "term").join(wanted, ["request_id", "term"], "left").select("request_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"), "low", "n")
+    if terms.limit(SENT + 1).count() <= SENT:
+        # as many tasks as keep the sums of one in memory, whatever the number of requests
+        n = told.agg(F.sum("n")).first()[0] or 0
+        spark = terms.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MET))
+        postings, told = postings.repartition(tasks, "doc"), F.broadcast(told)
+    met = postings.join(told.drop("n"), "term")
+    sums = met.groupBy("request_id", "doc").agg(F.sum(F.col("weight") * F.col("part")).alias("score"), F.max(F.coalesce(_step() >= F.col("low"), F.lit(False))).alias("wanted"))
+    return sums.filter("wanted").drop("wanted")
 
 
 def _asked(terms: DataFrame, index: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -15,10 +15,15 @@ def exploded_tokens(rows: DataFrame, text: Column) -> DataFrame:
 
 
 def _field_terms(docs: DataFrame, fields: dict[str, float], id_col: str) -> DataFrame:
-    """(doc, field, w, term) for each occurrence. Texts are dealt by document, once: they are smaller than their terms' sums, which then stay where they are, each document's together."""
+    """(doc, field, w, term) for each occurrence. Texts are dealt by document, once: they are smaller than their terms' sums, which then stay where they are, each document's together.
+
+    A number of tasks is given, since by the size of the texts alone too few tasks would get more terms than they can hold.
+    """
     text = lambda f: json_text(F.col(f)) if f.endswith("_json") else F.col(f).cast("string")
     parts = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("w"), F.coalesce(text(f), F.lit("")).alias("text")) for f, w in fields.items()])
-    rows = docs.select(F.col(id_col).alias("doc"), parts.alias("parts")).repartition("doc").select("doc", F.inline("parts"))
+    spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = docs.select(F.col(id_col).alias("doc"), parts.alias("parts")).repartition(tasks, "doc").select("doc", F.inline("parts"))
     terms = exploded_tokens(rows, F.col("text")).select("doc", "field", "w", stem(F.col("token")).alias("term"))
     return terms.filter(~F.col("term").isin(STOP_WORDS))
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenrank import queries as library
 from lumenrank.llm import toxicity
-from lumenrank.operators import index, parsing
+from lumenrank.operators import blockmax, index, lexical, parsing
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +51,21 @@ def test_terms_of_a_document_stay_together(spark):
     plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert len(dealt) == 1 and "term#" not in dealt[0]
+
+
+def test_pairs_of_requests_and_documents_stay_where_they_are(spark, tmp_path):
+    """Asked postings are dealt by document once, for all requests; texts are dealt over a given number of tasks, whatever their size."""
+    docs = spark.range(400).select(F.col("id").alias("doc"), F.concat(F.lit("rain storm word"), F.col("id") % 7, F.when(F.col("id") % 3 == 0, " storm snow").otherwise("")).alias("text"))
+    built = index.build(docs, "doc", {"text": 1.0})
+    blockmax.write(*built, f"{tmp_path}/index")
+    opened = blockmax.read(spark, f"{tmp_path}/index")
+    terms = lexical.query_terms(spark.createDataFrame([(0, "rain storm"), (1, "snow word3 rain"), (2, "nothing"), (3, "storm storm word1")], "request_id int, text string"))
+    got = blockmax.search(terms, opened, k=30)
+    want = lexical.search(terms, *built, k=30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) and got.count() == 90
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+    assert any("hashpartitioning(doc#" in x and "REPARTITION_BY_NUM" in x for x in dealt)
+    assert not any("request_id#" in x and "doc#" in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt), "pairs aren't shuffled before they are cut to the first"
+    texts = index.weighted_terms(docs, {"text": 1.0}, "doc")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in texts
