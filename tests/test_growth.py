@@ -94,3 +94,31 @@ def test_toxicity_learns_every_word_and_feature(spark):
     unlike = {word(k, 4) for k in range(2600) if len({marks[k + 2600 * j] for j in range(5)}) >= toxicity.LEAST_TEXTS}
     assert set(model.evidence) == unlike and len(unlike) > 2000
     assert model.chars.uni["$"] == sum(len(t.split()) for t in texts) + 50 * len(unlike)
+
+
+def test_histories_meet_blocks_of_items(spark, monkeypatch, capsys):
+    """Items with the same titles are met as blocks, and told one by one after the join; the rows are those of all pairs."""
+    monkeypatch.setattr(parsing, "BLOCK", 5)
+    items = [(i, f"Ring {i % 7}" if i % 3 else f"ring {i % 7}", f"Alt {i % 4}" if i % 5 else None) for i in range(120)]
+    told = [(n % 9, n % 130 if n % 4 == 0 else None, [None, f"Ring {n % 9}", f" RING {n % 8}", f"alt {n % 6}", ""][n % 5]) for n in range(90)]
+
+    def tier(i, name, item):
+        doc, *titles = item
+        if name is not None and name == titles[0]:
+            return 0
+        if name and name.strip() and name.lower().strip() in {x.lower() for x in titles if x}:
+            return 1
+        return 2 if i == doc else None
+
+    want = {}
+    for r, i, name in told:
+        tiers = {item[0]: tier(i, name, item) for item in items}
+        first = min((x for x in tiers.values() if x is not None), default=None)
+        for doc, x in tiers.items():
+            if x is not None and x == first:
+                want[r, doc] = min(x, want.get((r, doc), 2))
+    got = parsing.resolved_history(spark.createDataFrame(told, "request_id long, id long, name string"), spark.createDataFrame(items, "doc long, title string, other string"), F.array("title", "other"))
+    assert sorted(map(tuple, got.collect())) == sorted((r, d, ("title", "variant", "id")[x]) for (r, d), x in want.items()) and len(want) > 300
+    got.explain()
+    plan = capsys.readouterr().out.split("Initial Plan")[-1]
+    assert -1 < plan.find("Generate explode(docs") < plan.index("Join"), "pairs of requests and items aren't joined"
